@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _shift(base: str, days: str) -> str:
-    return f"date_add(DATE'{base}', CAST({days} AS INT))"
+    return f"CAST(date_add(DATE'{base}', CAST({days} AS INTEGER)) AS DATE)"
 
 
 # --- text runs -------------------------------------------------------------------------
@@ -204,3 +204,99 @@ SELECT skill, mode, runs, prog_passed, prog_total, qual_passed, qual_total,
        coalesce(round_even(mean_words, 0), 0.0::DOUBLE) AS words
 FROM totals
 """
+
+
+# --- contacts and touches ---------------------------------------------------------------
+# Each pair below is the same list of expressions in both dialects; they differ only in the
+# spelling of array literals and integer division.
+_PROSPECT = {
+    "id": "c_custkey",
+    "slug": "'customer' || right(c_name, 9)",
+    "org": "c_name",
+    "contact": "'Contact ' || c_custkey",
+    "status": "CASE c_mktsegment WHEN 'BUILDING' THEN 'research' WHEN 'AUTOMOBILE' THEN 'ready' "
+    "WHEN 'HOUSEHOLD' THEN 'contacted' WHEN 'MACHINERY' THEN 'responded' "
+    "ELSE CASE WHEN c_acctbal < 0 THEN 'passed' ELSE 'closed' END END",
+    "touch_count": "CAST(c_custkey % 7 AS INTEGER)",
+    "created": _shift("1995-01-01", "c_custkey % 1000"),
+    "last_contact": f"CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE {_shift('1997-01-01', 'c_custkey * 13 % 1700')} END",
+    "next_followup": "CASE WHEN c_mktsegment = 'HOUSEHOLD' AND c_custkey % 3 <> 0 "
+    f"THEN {_shift('1997-01-04', 'c_custkey * 13 % 1700')} "
+    f"WHEN c_mktsegment = 'AUTOMOBILE' THEN {_shift('2000-06-01', 'c_custkey % 600')} END",
+    "source": "CASE WHEN c_custkey % 4 = 0 THEN 'referral-from-' || CAST(c_custkey / 4 AS BIGINT) ELSE 'research' END",
+    "angle": "CASE c_nationkey % 5 WHEN 0 THEN 'health' WHEN 1 THEN 'media' WHEN 2 THEN 'metabolism' "
+    "WHEN 3 THEN 'equity' END",
+    "segment": "CASE c_nationkey % 4 WHEN 0 THEN 'rebuilder' WHEN 1 THEN 'container-builder' "
+    "WHEN 2 THEN 'emergent-practitioner' ELSE 'undocumented' END",
+}
+_FUNDER = {
+    "slug": "'supplier' || right(s_name, 9)",
+    "funder": "s_name",
+    "type": "CASE s_nationkey % 3 WHEN 0 THEN 'foundation' WHEN 1 THEN 'government' ELSE 'corporate' END",
+    "grant_range": "'$' || (s_suppkey % 9 + 1) || 'K-' || ((s_suppkey % 9 + 1) * 10) || 'K'",
+    "deadline_raw": "CASE s_suppkey % 10 WHEN 0 THEN 'unknown' WHEN 1 THEN NULL "
+    f"ELSE CAST({_shift('2001-05-01', 's_suppkey * 7 % 300')} AS VARCHAR(10)) END",
+    "deadline": f"CASE WHEN s_suppkey % 10 > 1 THEN {_shift('2001-05-01', 's_suppkey * 7 % 300')} END",
+    "status": "CASE s_nationkey % 6 WHEN 0 THEN 'research' WHEN 1 THEN 'loi-prep' WHEN 2 THEN 'submitted' "
+    "WHEN 3 THEN 'reviewed' WHEN 4 THEN 'awarded' ELSE 'declined' END",
+    "next_action": "'step ' || (s_suppkey % 4)",
+    "angle": "CASE s_nationkey % 4 WHEN 0 THEN 'health' WHEN 1 THEN 'media' WHEN 2 THEN 'metabolism' ELSE 'equity' END",
+}
+_TOUCH = {
+    "touch_id": "o_orderkey",
+    "contact_id": "o_custkey",
+    "date": "CAST(o_orderdate AS DATE)",
+    "type": "CASE o_orderpriority WHEN '1-URGENT' THEN 'call' WHEN '2-HIGH' THEN 'meeting' "
+    "WHEN '3-MEDIUM' THEN 'email-sent' WHEN '4-NOT SPECIFIED' THEN 'stewardship-touch' ELSE 'proposal-sent' END",
+    "status": "CASE o_orderstatus WHEN 'O' THEN 'contacted' WHEN 'F' THEN 'responded' ELSE 'research' END",
+    "note": "'order ' || o_orderkey",
+}
+
+
+def _columns(spec: dict[str, str]) -> str:
+    return ", ".join(f'{e} AS "{c}"' for c, e in spec.items())
+
+
+def _project(df: DataFrame, spec: dict[str, str]) -> DataFrame:
+    return df.selectExpr(*[f"{e} AS `{c}`" for c, e in spec.items()])
+
+
+SHAPE_SQL["prospects"] = f"SELECT {_columns(_PROSPECT)} FROM customer"
+SHAPE_SQL["funders"] = f"SELECT {_columns(_FUNDER)} FROM supplier"
+SHAPE_SQL["touches"] = f"SELECT {_columns(_TOUCH)} FROM orders"
+
+
+def prospects(spark: SparkSession, sf: str) -> DataFrame:
+    return _project(table(spark, sf, "customer"), _PROSPECT)
+
+
+def funders(spark: SparkSession, sf: str) -> DataFrame:
+    return _project(table(spark, sf, "supplier"), _FUNDER)
+
+
+def touches(spark: SparkSession, sf: str) -> DataFrame:
+    return _project(table(spark, sf, "orders"), _TOUCH)
+
+
+# Contacts with their touches nested: two per contact, from arithmetic on the key.
+SHAPE_SQL["nested"] = f"""
+SELECT c_custkey AS id, [
+  {{'date': {_shift('2001-03-01', 'c_custkey % 150')}, 'type': CASE WHEN c_nationkey % 3 = 0 THEN 'stewardship-touch' ELSE 'call' END,
+   'note': 'first', 'nextAction': 'write', 'nextActionDue': CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE {_shift('2001-06-01', 'c_custkey % 120')} END}},
+  {{'date': {_shift('2001-04-01', 'c_custkey % 120')}, 'type': 'stewardship-touch',
+   'note': 'second', 'nextAction': NULL, 'nextActionDue': NULL}}] AS touches
+FROM customer
+"""
+
+
+def nested(spark: SparkSession, sf: str) -> DataFrame:
+    first = (
+        f"named_struct('date', {_shift('2001-03-01', 'c_custkey % 150')}, 'type', "
+        "CASE WHEN c_nationkey % 3 = 0 THEN 'stewardship-touch' ELSE 'call' END, 'note', 'first', 'nextAction', 'write', "
+        f"'nextActionDue', CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE {_shift('2001-06-01', 'c_custkey % 120')} END)"
+    )
+    second = (
+        f"named_struct('date', {_shift('2001-04-01', 'c_custkey % 120')}, 'type', 'stewardship-touch', "
+        "'note', 'second', 'nextAction', CAST(NULL AS STRING), 'nextActionDue', CAST(NULL AS DATE))"
+    )
+    return table(spark, sf, "customer").selectExpr("c_custkey AS id", f"array({first}, {second}) AS touches")
