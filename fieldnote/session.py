@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -68,7 +69,7 @@ def cut_lineage(df):
 
 def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A short list of definitions as a table the optimizer knows to be small."""
-    fields = [f.strip().rsplit(" ", 1) for f in schema.split(",")]
+    fields = [f.strip().rsplit(" ", 1) for f in re.split(r",(?![^(]*\))", schema)]
     structs = [
         F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, fields)]) for row in rows
     ]
