@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,14 +32,6 @@ def flag(cond: Column) -> Column:
     return F.when(cond, 1).otherwise(0).cast("bigint")
 
 
-def count_where(cond: Column) -> Column:
-    return F.count_if(cond)
-
-
-def any_of(conds: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conds)
-
-
 def day(value) -> Column:
     """A date parameter: ISO text or a column."""
     return value if isinstance(value, Column) else F.lit(value).cast("date")

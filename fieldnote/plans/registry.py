@@ -85,4 +85,4 @@ def _closure(names: list[str]) -> list[str]:
     return seen
 
 
-MODULES = ["text_queries", "contact_queries"]
+MODULES = ["text_queries", "contact_queries", "finance_queries"]

@@ -300,3 +300,55 @@ def nested(spark: SparkSession, sf: str) -> DataFrame:
         "'note', 'second', 'nextAction', CAST(NULL AS STRING), 'nextActionDue', CAST(NULL AS DATE))"
     )
     return table(spark, sf, "customer").selectExpr("c_custkey AS id", f"array({first}, {second}) AS touches")
+
+
+# --- ledger, projects, invoices -------------------------------------------------------------
+_LEDGER = {
+    "project": "l_orderkey",
+    "client": "l_suppkey",
+    "line": "l_linenumber",
+    "date": "CAST(l_shipdate AS DATE)",
+    "kind": "CASE l_linestatus WHEN 'O' THEN 'income' ELSE 'expense' END",
+    "scope": "CASE l_returnflag WHEN 'N' THEN 'personal' ELSE 'business' END",
+    "category": "CASE l_linenumber % 5 WHEN 0 THEN 'software' WHEN 1 THEN 'travel' WHEN 2 THEN 'meals' "
+    "WHEN 3 THEN 'equipment' ELSE 'shipping' END",
+    "tier": "CAST(l_partkey % 3 + 1 AS INTEGER)",
+    "amount": "CAST(l_extendedprice AS DECIMAL(18,2))",
+    "logged_on": "CAST(date_add(CAST(l_shipdate AS DATE), CAST(l_quantity AS INTEGER) % 12) AS DATE)",
+    "receipt": "CASE WHEN l_discount > 0.05 THEN NULL ELSE 'r' END",
+}
+_PROJECT = {
+    "project": "o_orderkey",
+    "client": "o_custkey",
+    "tier": "CAST(o_orderkey % 3 + 1 AS INTEGER)",
+    "status": "CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'F' THEN 'completed' ELSE 'proposed' END",
+    "started": "CAST(o_orderdate AS DATE)",
+    "ended": "CAST(date_add(CAST(o_orderdate AS DATE), CAST(o_orderkey % 45 + 5 AS INTEGER)) AS DATE)",
+    "value": "CAST(o_totalprice AS DECIMAL(18,2))",
+    "hours": "CAST(o_orderkey % 200 + 20 AS DECIMAL(18,2))",
+    "mission": "CASE o_orderpriority WHEN '5-LOW' THEN false WHEN '3-MEDIUM' THEN NULL ELSE true END",
+    "discount_pct": "CAST(CASE WHEN o_orderkey % 6 = 0 THEN o_orderkey % 35 ELSE 0 END AS INTEGER)",
+    "price": "CAST(o_orderkey % 9000 AS DECIMAL(18,2))",
+    "segment": "CASE o_orderkey % 4 WHEN 0 THEN 'rebuilder' WHEN 1 THEN 'container-builder' "
+    "WHEN 2 THEN 'emergent-practitioner' ELSE 'undocumented' END",
+    "override": "CASE o_orderkey % 10 WHEN 0 THEN true WHEN 1 THEN false END",
+    "flexible": "o_orderkey % 7 = 0",
+    "energy": "CAST(o_orderkey % 10 + 1 AS INTEGER)",
+    "due_on": "CAST(date_add(CAST(o_orderdate AS DATE), 30) AS DATE)",
+    "paid": "o_orderstatus = 'F'",
+}
+SHAPE_SQL["ledger"] = f"SELECT {_columns(_LEDGER)} FROM lineitem"
+SHAPE_SQL["projects"] = f"SELECT {_columns(_PROJECT)} FROM orders"
+SHAPE_SQL["tiers"] = (
+    "SELECT * FROM (VALUES (1, 'story', 'rebuilder', 1500::DECIMAL(18,2), 2500::DECIMAL(18,2)), "
+    "(2, 'program', 'container-builder', 3000, 8000), (3, 'embedding', 'emergent-practitioner', 4000, 8000)) "
+    "AS t(tier, key, segment, floor, ceiling)"
+)
+
+
+def ledger(spark: SparkSession, sf: str) -> DataFrame:
+    return _project(table(spark, sf, "lineitem"), _LEDGER)
+
+
+def projects(spark: SparkSession, sf: str) -> DataFrame:
+    return _project(table(spark, sf, "orders"), _PROJECT)
