@@ -54,4 +54,4 @@ def band(score: Column, bands: Sequence[tuple[float, str]]) -> Column:
 
 def minutes_between(later: Column, earlier: Column) -> Column:
     """Whole minutes from ``earlier`` to ``later`` (timestamps)."""
-    return F.floor((F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(60000000)).cast("bigint")
+    return F.floor((F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / F.lit(60000000)).cast("bigint")

@@ -68,6 +68,7 @@ _NEEDS = {
     "scores": ["expectations"],
     "totals": ["scores"],
     "shown": ["totals"],
+    "codes": ["turns"],
 }
 
 
@@ -85,4 +86,4 @@ def _closure(names: list[str]) -> list[str]:
     return seen
 
 
-MODULES = ["text_queries", "contact_queries", "finance_queries"]
+MODULES = ["text_queries", "contact_queries", "finance_queries", "survey_queries", "signal_queries"]

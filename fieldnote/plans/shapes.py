@@ -352,3 +352,77 @@ def ledger(spark: SparkSession, sf: str) -> DataFrame:
 
 def projects(spark: SparkSession, sf: str) -> DataFrame:
     return _project(table(spark, sf, "orders"), _PROJECT)
+
+
+# --- survey, coded turns, signals -----------------------------------------------------------
+_RESPONSE = {
+    "project": "l_orderkey",
+    "point": "CASE l_linestatus WHEN 'F' THEN 'baseline' ELSE 'final' END",
+    "stakeholder": "CASE l_returnflag WHEN 'A' THEN 'leadership' WHEN 'N' THEN 'staff' ELSE 'funders' END",
+    "question": "'q' || (l_linenumber % 3 + 1)",
+    "item": "'i' || l_linenumber",
+    "score": "CAST(l_quantity AS INTEGER) % 10 + 1",
+    "participant": "l_partkey",
+    "org": "l_partkey % 97",
+    "region": "l_suppkey % 5",
+    "program": "l_suppkey",
+    "artifacts": "CAST(l_tax * 100 AS INTEGER)",
+    "kit": "l_partkey",
+    "engagement": "l_orderkey",
+    "royal": "CAST(l_quantity AS INTEGER) % 10",
+    "nomadic": "CAST(floor(l_extendedprice) AS BIGINT) % 10",
+}
+SHAPE_SQL["responses"] = f"SELECT {_columns(_RESPONSE)} FROM lineitem"
+
+
+def responses(spark: SparkSession, sf: str) -> DataFrame:
+    return _project(table(spark, sf, "lineitem"), _RESPONSE)
+
+
+# Codes by pattern over the conversation turns.
+CODES = {
+    "fear-surface": "the of",
+    "fear-underlying": "tion the",
+    "fear-root": "ing [a-z]+ed",
+    "fear-transformation": "and [a-z]+ion",
+    "line-of-flight": "was",
+    "self-correction": "that[, ]",
+    "pause": "[.] [a-z]+[.]",
+}
+_TURN = {
+    "client": "CAST(floor(conv_id / 10) AS BIGINT)",
+    "session": "conv_id",
+    "segment": "turn",
+    "pos": "conv_id * 1000 + turn",
+    "role": "role",
+    "text": "text",
+}
+SHAPE_SQL["turns"] = f"SELECT {_columns(_TURN)} FROM conversations"
+SHAPE_SQL["codes"] = " UNION ALL ".join(
+    f"SELECT client, session, segment, pos, role, '{c}' AS code FROM turns WHERE regexp_matches(text, '{p}', 'i')"
+    for c, p in CODES.items()
+)
+
+
+def turns(spark: SparkSession, sf: str) -> DataFrame:
+    return _project(table(spark, sf, "conversations"), _TURN)
+
+
+_SIGNAL = {
+    "event_id": "event_id",
+    "account": "user_id",
+    "ts": "ts",
+    "kind": "event_type",
+    "type": "event_type",
+    "topic": "'topic-' || (CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) % 6)",
+    "likes": "CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER)",
+    "comments": "event_id % 7",
+    "views": "CAST(floor(value * 10) AS BIGINT) + 100",
+    "engagements": "CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) + event_id % 7",
+    "feel": "CASE WHEN value < 8 THEN 'heavy' WHEN value < 20 THEN 'neutral' WHEN value < 40 THEN 'light' ELSE 'flow' END",
+}
+SHAPE_SQL["signals"] = f"SELECT {_columns(_SIGNAL)} FROM events"
+
+
+def signals(spark: SparkSession, sf: str) -> DataFrame:
+    return _project(table(spark, sf, "events"), _SIGNAL)
