@@ -48,7 +48,7 @@ def compose(sql: str, shapes: str, dates: str = "", times: str = "") -> str:
     swaps = [f"CAST({d} AS VARCHAR) AS {d}" for d in dates.split()]
     swaps += [f"strftime({t}, '%Y-%m-%d %H:%M:%S') AS {t}" for t in times.split()]
     body = sql.strip()
-    if body.upper().startswith("WITH "):
+    if ctes and body.upper().startswith("WITH "):
         ctes.append(body[5:].strip())
         text = "WITH " + ",\n".join(ctes)
     else:
@@ -69,6 +69,8 @@ _NEEDS = {
     "totals": ["scores"],
     "shown": ["totals"],
     "codes": ["turns"],
+    "duels": ["bouts"],
+    "sides": ["bouts"],
 }
 
 
@@ -86,4 +88,4 @@ def _closure(names: list[str]) -> list[str]:
     return seen
 
 
-MODULES = ["text_queries", "contact_queries", "finance_queries", "survey_queries", "signal_queries"]
+MODULES = ["text_queries", "contact_queries", "finance_queries", "survey_queries", "signal_queries", "pair_queries", "governance_queries", "stream_queries"]

@@ -39,8 +39,12 @@ FROM documents
 
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:
+    return runs_of(spread(table(spark, sf, "documents")))
+
+
+def runs_of(documents: DataFrame) -> DataFrame:
     mail = "concat('Subject: note ', doc_id, '\\nTo: someone\\n\\n', text, '\\n\\nBest,\\nA. Signer')"
-    return spread(table(spark, sf, "documents")).selectExpr(
+    return documents.selectExpr(
         "doc_id AS run_id",
         "lang AS skill",
         "CAST(doc_id % 12 + 1 AS INT) AS iteration",
@@ -426,3 +430,61 @@ SHAPE_SQL["signals"] = f"SELECT {_columns(_SIGNAL)} FROM events"
 
 def signals(spark: SparkSession, sf: str) -> DataFrame:
     return _project(table(spark, sf, "events"), _SIGNAL)
+
+
+# --- bouts between the nations of supplier and customer; supplier tree -----------------------
+_PHASES = ["P1", "P2", "P2c", "P2d", "P3", "P3b", "P1"]
+_BOUT = {
+    "a": "'nation-' || lpad(CAST(s_nationkey AS VARCHAR(3)), 2, '0')",
+    "b": "'nation-' || lpad(CAST(c_nationkey AS VARCHAR(3)), 2, '0')",
+    "phase": "CASE l_linenumber " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PHASES, 1)) + " END",
+    "date": "CAST(l_shipdate AS DATE)",
+    "score_a": "CAST(l_quantity AS INTEGER) % 11",
+    "score_b": "CAST(l_partkey % 11 AS INTEGER)",
+    "killed": "l_returnflag = 'R'",
+}
+_BOUT_JOIN = (
+    "lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey "
+    "JOIN customer ON c_custkey = o_custkey WHERE s_nationkey <> c_nationkey"
+)
+SHAPE_SQL["bouts"] = (
+    f"SELECT {_columns(_BOUT)}, list_filter([CASE WHEN l_partkey % 2 = 0 THEN 'K1' END, CASE WHEN l_partkey % 3 = 0 THEN 'K2' END, "
+    f"CASE WHEN l_suppkey % 5 = 0 THEN 'K3' END], lambda x: x IS NOT NULL) AS criteria FROM {_BOUT_JOIN}"
+)
+SHAPE_SQL["duels"] = """
+SELECT least(a, b) AS a, greatest(a, b) AS b, CASE WHEN a > b THEN score_b ELSE score_a END AS score_a,
+       CASE WHEN a > b THEN score_a ELSE score_b END AS score_b, phase, killed, date FROM bouts
+"""
+SHAPE_SQL["sides"] = """
+SELECT a AS claim, b AS against, score_a AS score, phase, killed, date FROM bouts
+UNION ALL SELECT b, a, score_b, phase, killed, date FROM bouts
+"""
+SHAPE_SQL["edges"] = (
+    "SELECT CAST(floor(s_suppkey / 2) AS BIGINT) AS parent, s_suppkey AS child, CAST(s_suppkey % 50 AS BIGINT) AS born, "
+    "CASE s_nationkey % 4 WHEN 0 THEN 'causal' WHEN 1 THEN 'precondition' WHEN 2 THEN 'complement' ELSE 'meta' END AS type "
+    "FROM supplier WHERE s_suppkey > 1"
+)
+
+
+def bouts(spark: SparkSession, sf: str) -> DataFrame:
+    joined = (
+        table(spark, sf, "lineitem")
+        .join(table(spark, sf, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+        .join(table(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+        .join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+        .filter("s_nationkey <> c_nationkey")
+    )
+    criteria = (
+        "array_compact(array(IF(l_partkey % 2 = 0, 'K1', NULL), IF(l_partkey % 3 = 0, 'K2', NULL), "
+        "IF(l_suppkey % 5 = 0, 'K3', NULL))) AS criteria"
+    )
+    return joined.selectExpr(*[f"{e} AS `{c}`" for c, e in _BOUT.items()], criteria)
+
+
+def edges(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "supplier").filter("s_suppkey > 1").selectExpr(
+        "CAST(floor(s_suppkey / 2) AS BIGINT) AS parent",
+        "s_suppkey AS child",
+        "CAST(s_suppkey % 50 AS BIGINT) AS born",
+        "CASE s_nationkey % 4 WHEN 0 THEN 'causal' WHEN 1 THEN 'precondition' WHEN 2 THEN 'complement' ELSE 'meta' END AS type",
+    )
