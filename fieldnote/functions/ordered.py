@@ -65,6 +65,22 @@ class Following:
     value: Column
 
 
+# Any value will do: a separate flag tells it from a real one.
+_STAND_IN = {"date": "1970-01-01", "timestamp": "1970-01-01", "timestamp_ntz": "1970-01-01"}
+
+
+def _pair_keys(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Plain non-null columns that identify a (key, bucket) pair, nulls included.
+
+    Grouping, join and window then ask for the same hash partitioning, so the rows are
+    shuffled once.  A null-safe join condition would ask for another one.
+    """
+    kinds = dict(df.dtypes)
+    cols = {f"_p{i}": F.coalesce(F.col(n), F.lit(_STAND_IN.get(kinds[n], "0")).cast(kinds[n])) for i, n in enumerate(names)}
+    flags = sum((F.when(F.col(n).isNull(), 1 << i).otherwise(0) for i, n in enumerate(names)), F.lit(0))
+    return df.withColumns({**cols, "_nulls": flags}), [*cols, "_nulls"]
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -77,12 +93,15 @@ def running(
     for i, s in enumerate(specs):
         if not isinstance(s, RowNumber):
             df = df.withColumn(f"_v{i}", s.value)
-    df = df.withColumn("_b", bucket)
+    df, pair = _pair_keys(df.withColumn("_b", bucket), [*keys, "_b"])
+    key_cols, bucket_col = pair[: len(keys)], pair[len(keys)]
     rank = F.struct(*[F.col(c) for c in order])
 
-    sums, carried = [], []
-    across = W.partitionBy(*[F.col(f"_k_{k}") for k in keys]).orderBy("_kb")
+    # One pre-aggregated row per pair; a null bucket sorts first, as null order values do.
+    owner = [*key_cols, F.col("_nulls").bitwiseAND((1 << len(keys)) - 1)]
+    across = W.partitionBy(*owner).orderBy(F.col("_nulls").desc(), bucket_col)
     before = across.rowsBetween(W.unboundedPreceding, -1)
+    sums, carried = [], []
     for i, s in enumerate(specs):
         v = f"_v{i}"
         match s:
@@ -105,17 +124,11 @@ def running(
             case Following():
                 sums.append(F.min_by(F.col(v), rank).alias(f"_s{i}"))
                 carried.append(F.lead(f"_s{i}").over(across))
+    pairs = df.groupBy(*pair).agg(*sums)
+    pairs = pairs.select(*pair, *[c.alias(f"_c{i}") for i, c in enumerate(carried)])
+    joined = df.join(pairs, pair)
 
-    pairs = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_kb")).agg(*sums)
-    pairs = pairs.select(
-        *[f"_k_{k}" for k in keys], "_kb", *[c.alias(f"_c{i}") for i, c in enumerate(carried)]
-    )
-    on = F.col("_b").eqNullSafe(F.col("_kb"))
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    joined = df.join(pairs, on, "left")
-
-    inside = W.partitionBy(*keys, "_b").orderBy(*order)
+    inside = W.partitionBy(*pair).orderBy(*order)
     upto = inside.rowsBetween(W.unboundedPreceding, 0)
     prior = inside.rowsBetween(W.unboundedPreceding, -1)
     first, last = F.row_number().over(inside) == 1, F.lead(F.lit(1)).over(inside).isNull()

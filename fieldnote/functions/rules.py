@@ -1,6 +1,6 @@
 """Rule registry: a name maps to a function of a measured document and an assertion row.
 
-A rule sees the columns ``body``, ``unquoted``, ``words`` and ``lines`` of the document and
+A rule sees the columns ``body``, ``unquoted``, ``words``, ``lines`` and ``ascii`` of the document and
 ``patterns``, ``min``, ``max`` and ``quote_aware`` of the assertion, plus ``hits``: the first
 match of every pattern that matches.  It returns a struct of ``passed`` and ``evidence``.
 """
@@ -12,11 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fieldnote.functions.text import is_ascii
+
 Rule = Callable[[], Column]
 RULES: dict[str, Rule] = {}
 
-# Matching ignores case and treats letters of every script as letters.
-_FLAGS = "(?iU)"
 DEFAULT_MIN, DEFAULT_MAX = 0, 10000
 
 
@@ -29,7 +29,12 @@ def verdict(passed: Column, evidence: Column) -> Column:
 
 
 def _pattern(p: Column) -> Column:
-    return F.concat(F.lit(_FLAGS + "(?:"), p, F.lit(")"))
+    """Ignore case and treat letters of every script as letters.
+
+    When text and pattern are both ASCII the cheaper ASCII matching finds the same.
+    """
+    plain = F.col("ascii") & is_ascii(p)
+    return F.concat(F.when(plain, "(?i)(?:").otherwise("(?iU)(?:"), p, F.lit(")"))
 
 
 def first_hits() -> Column:

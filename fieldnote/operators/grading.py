@@ -54,6 +54,7 @@ def text_metrics(runs: DataFrame, signers: Sequence[str] = (), text: str = "text
         .withColumn("unquoted", T.strip_quotes(F.col("body")))
         .withColumn("words", T.word_total(F.col("body")))
         .withColumn("lines", T.line_total(F.col("body")))
+        .withColumn("ascii", T.is_ascii(F.col("body")))
     )
 
 
@@ -83,7 +84,7 @@ def grade(
     keys: Sequence[str] = RUN_KEYS,
 ) -> DataFrame:
     """Expectations in long form: one row per run and assertion with a three-valued grade."""
-    measured = text_metrics(runs, signers).select(*keys, "body", "unquoted", "words", "lines")
+    measured = text_metrics(runs, signers).select(*keys, "body", "unquoted", "words", "lines", "ascii")
     pairs = expand(measured, assertions)
     verdict = F.when(F.col("check") == "programmatic", apply_rules(F.col("rule"), legacy))
     graded = pairs.withColumn("hits", first_hits()).withColumn("_v", verdict).select(
