@@ -1,9 +1,11 @@
-"""Running values per key that do not send a whole key to one task.
+"""Running values per key that do not send a heavy key to one task.
 
 A plain window sorts all rows of a key in one task, which breaks when one contact holds a
-third of the data.  Here the rows of a key are cut into consecutive buckets (any expression
-that never decreases along the order, such as the month of the event).  Windows run inside a
-(key, bucket) pair; one pre-aggregated row per pair carries the state across buckets.
+third of the data.  So the keys are counted first (one pass over the key columns, combined
+per task).  Without heavy keys a plain window is all it takes.  Otherwise the rows of the
+heavy keys, and only those, are cut into consecutive buckets: any expression that never
+decreases along the order, such as the day of the event.  Windows then run inside a
+(key, bucket) pair, and one pre-aggregated row per pair carries the state across buckets.
 """
 
 from __future__ import annotations
@@ -16,6 +18,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+# A key is heavy above this many rows and above its share of the table; the share bounds the
+# number of heavy keys, and with it what is collected and broadcast.
+HEAVY_ROWS = 1_000_000
+MOST_HEAVY_KEYS = 10_000
+
+
 @dataclass
 class RowNumber:
     """1, 2, 3 ... along the order."""
@@ -81,24 +89,62 @@ def _pair_keys(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, list[str
     return df.withColumns({**cols, "_nulls": flags}), [*cols, "_nulls"]
 
 
+def heavy_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """Keys with too many rows for one task, at most MOST_HEAVY_KEYS of them; None if none."""
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    heavy = counts.filter(F.col("_n") > F.greatest(F.lit(HEAVY_ROWS), total / MOST_HEAVY_KEYS)).select(*keys)
+    found = heavy.collect()
+    return df.sparkSession.createDataFrame(found, heavy.schema) if found else None
+
+
+def _mark_heavy(df: DataFrame, keys: Sequence[str], heavy: DataFrame) -> DataFrame:
+    """Flag the rows of heavy keys; the list is bounded, so it may be broadcast."""
+    listed = heavy.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.lit(True).alias("_heavy"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_h{i}"))
+    return df.join(F.broadcast(listed), same, "left").drop(*[f"_h{i}" for i in range(len(keys))])
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     bucket: Column,
     specs: Sequence,
+    split: bool | None = None,
 ) -> DataFrame:
-    """Add the columns named by ``specs``; ``order`` must be total within a key."""
+    """Add the columns named by ``specs``; ``order`` must be total within a key.
+
+    ``split`` forces (True) or rules out (False) the cut into buckets for all keys; without
+    keys the cut is always made.
+    """
     cols = df.columns
     for i, s in enumerate(specs):
         if not isinstance(s, RowNumber):
             df = df.withColumn(f"_v{i}", s.value)
-    df, pair = _pair_keys(df.withColumn("_b", bucket), [*keys, "_b"])
-    key_cols, bucket_col = pair[: len(keys)], pair[len(keys)]
+    if not keys or split:
+        df = df.withColumn("_b", bucket).withColumn("_heavy", F.lit(True))
+    else:
+        heavy = heavy_keys(df, keys) if split is None else None
+        if heavy is None:
+            return df.select(*cols, *_outputs(specs, list(keys), order, [F.lit(None)] * len(specs)))
+        df = _mark_heavy(df, keys, heavy)
+        df = df.withColumn("_b", F.when(F.col("_heavy"), bucket))
+    df, pair = _pair_keys(df, [*keys, "_b"])
+    pairs = _carried(df.filter("_heavy"), len(keys), pair, order, specs)
+    joined = df.join(pairs, pair, "left")
+    return joined.select(*cols, *_outputs(specs, pair, order, [F.col(f"_c{i}") for i in range(len(specs))]))
+
+
+def _carried(df: DataFrame, width: int, pair: Sequence[str], order: Sequence[str], specs: Sequence) -> DataFrame:
+    """Per (key, bucket) pair, the state that the earlier buckets of the key hand over."""
+    key_cols, bucket_col = pair[:width], pair[width]
     rank = F.struct(*[F.col(c) for c in order])
 
-    # One pre-aggregated row per pair; a null bucket sorts first, as null order values do.
-    owner = [*key_cols, F.col("_nulls").bitwiseAND((1 << len(keys)) - 1)]
+    # A null bucket sorts first, as null order values do.
+    owner = [*key_cols, F.col("_nulls").bitwiseAND((1 << width) - 1)]
     across = W.partitionBy(*owner).orderBy(F.col("_nulls").desc(), bucket_col)
     before = across.rowsBetween(W.unboundedPreceding, -1)
     sums, carried = [], []
@@ -125,19 +171,21 @@ def running(
                 sums.append(F.min_by(F.col(v), rank).alias(f"_s{i}"))
                 carried.append(F.lead(f"_s{i}").over(across))
     pairs = df.groupBy(*pair).agg(*sums)
-    pairs = pairs.select(*pair, *[c.alias(f"_c{i}") for i, c in enumerate(carried)])
-    joined = df.join(pairs, pair)
+    return pairs.select(*pair, *[c.alias(f"_c{i}") for i, c in enumerate(carried)])
 
-    inside = W.partitionBy(*pair).orderBy(*order)
+
+def _outputs(specs: Sequence, part: Sequence[str], order: Sequence[str], carried: Sequence[Column]) -> list[Column]:
+    """Window expressions inside a partition, combined with what was carried into it."""
+    inside = W.partitionBy(*part).orderBy(*order)
     upto = inside.rowsBetween(W.unboundedPreceding, 0)
     prior = inside.rowsBetween(W.unboundedPreceding, -1)
     first, last = F.row_number().over(inside) == 1, F.lead(F.lit(1)).over(inside).isNull()
     outs = []
-    for i, s in enumerate(specs):
-        v, c = F.col(f"_v{i}"), F.col(f"_c{i}")
+    for i, (s, c) in enumerate(zip(specs, carried)):
+        v = F.col(f"_v{i}")
         match s:
             case RowNumber():
-                e = (c + F.row_number().over(inside)).cast("bigint")
+                e = (F.coalesce(c, F.lit(0)) + F.row_number().over(inside)).cast("bigint")
             case RunningSum():
                 e = F.sum(v).over(upto)
                 e = F.when(c.isNull(), e).when(e.isNull(), c).otherwise(c + e)
@@ -150,7 +198,7 @@ def running(
             case Following():
                 e = F.when(last, c).otherwise(F.lead(v).over(inside))
         outs.append(e.alias(s.out))
-    return joined.select(*cols, *outs)
+    return outs
 
 
 def islands(

@@ -235,7 +235,7 @@ def replay_touches(touches: DataFrame) -> DataFrame:
             touches,
             ["contact_id"],
             list(TOUCH_ORDER),
-            F.trunc("date", "year"),
+            F.col("date"),
             [RowNumber("touch_number"), LastValue("_mark", mark)],
         )
         .withColumn("next_followup", F.col("_mark.due"))
@@ -258,7 +258,7 @@ def contact_state(touches: DataFrame) -> DataFrame:
 def stage_spans(history: DataFrame) -> DataFrame:
     """How long every stage of a contact lasted; the open stage has no length."""
     spans = running(
-        history, ["contact_id"], list(TOUCH_ORDER), F.trunc("date", "year"), [Following("until", F.col("date"))]
+        history, ["contact_id"], list(TOUCH_ORDER), F.col("date"), [Following("until", F.col("date"))]
     )
     return spans.withColumn("days", days_between(F.col("until"), F.col("date")))
 
@@ -286,7 +286,7 @@ def asof_touch(events: DataFrame, touches: DataFrame) -> DataFrame:
     merged = touches.select(*cols, F.lit(0).alias("kind")).unionByName(events.select(*cols, F.lit(1).alias("kind")))
     seen = F.when(F.col("kind") == 0, F.struct("date", "touch_id"))
     out = running(
-        merged, ["contact_id"], ["date", "kind", "touch_id"], F.trunc("date", "year"), [LastValue("_t", seen)]
+        merged, ["contact_id"], ["date", "kind", "touch_id"], F.col("date"), [LastValue("_t", seen)]
     ).filter("kind = 1")
     return out.select(
         "contact_id",
@@ -301,14 +301,14 @@ def asof_touch(events: DataFrame, touches: DataFrame) -> DataFrame:
 def exchanges(touches: DataFrame, gap_days: int) -> DataFrame:
     """One exchange per run of touches less than ``gap_days`` apart."""
     marked = running(
-        touches, ["contact_id"], list(TOUCH_ORDER), F.trunc("date", "year"), [Previous("_p", F.col("date"))]
+        touches, ["contact_id"], list(TOUCH_ORDER), F.col("date"), [Previous("_p", F.col("date"))]
     )
     opens = F.col("_p").isNull() | (days_between(F.col("date"), F.col("_p")) >= gap_days)
     numbered = running(
         marked.withColumn("_open", F.when(opens, 1).otherwise(0).cast("bigint")),
         ["contact_id"],
         list(TOUCH_ORDER),
-        F.trunc("date", "year"),
+        F.col("date"),
         [RunningSum("exchange", F.col("_open"))],
     )
     return numbered.groupBy("contact_id", "exchange").agg(

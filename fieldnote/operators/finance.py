@@ -80,7 +80,7 @@ def buffer_conflicts(projects: DataFrame, days: int = 7, keys: Sequence[str] = (
         projects,
         list(keys),
         ["started", "project"],
-        F.trunc("started", "year"),
+        F.col("started"),
         [RunningMax("busy_until", F.col("ended"))],
     )
     gap = days_between(F.col("started"), F.col("busy_until"))

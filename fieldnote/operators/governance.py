@@ -91,7 +91,7 @@ def secret_hits(docs: DataFrame, key: str, text: str = "text", allow: str = PLAC
 def bad_transitions(history: DataFrame, edges: Sequence[tuple[str, str]]) -> DataFrame:
     """Stage changes the declared graph does not allow; staying in a stage is no change."""
     steps = running(
-        history, ["contact_id"], ["date", "touch_id"], F.trunc("date", "year"), [Previous("from_status", F.col("status"))]
+        history, ["contact_id"], ["date", "touch_id"], F.col("date"), [Previous("from_status", F.col("status"))]
     )
     changes = steps.filter(F.col("from_status").isNotNull() & (F.col("from_status") != F.col("status")))
     allowed = local_table(history.sparkSession, list(edges), "from_status string, status string")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldnote.functions import text as T
 from fieldnote.functions.rules import apply_rules, first_hits
 from fieldnote.functions.stats import pct
+from fieldnote.session import small
 
 MODES = ("with_skill", "baseline")
 PENDING = "pending_llm_grade"
@@ -28,7 +29,7 @@ def latest_iteration(df: DataFrame, name: str = "iteration_name", compat: str =
     ranked = df.withColumn("_rank", rank)
     newest = ranked.groupBy(F.col("skill").alias("_skill")).agg(F.max("_rank").alias("_max"))
     hit = F.col("skill").eqNullSafe(F.col("_skill")) & (F.col("_rank") == F.col("_max"))
-    return ranked.join(newest, hit, "left_semi").drop("_rank")
+    return ranked.join(small(newest), hit, "left_semi").drop("_rank")
 
 
 def expected_grid(specs: DataFrame, iterations: DataFrame, modes: Sequence[str] = MODES) -> DataFrame:
@@ -67,10 +68,10 @@ def expand(runs: DataFrame, assertions: DataFrame) -> DataFrame:
     """One row per run and applicable assertion, in one pass over the runs.
 
     Universal assertions (``eval`` null) meet every run of their skill, fixture assertions
-    only runs of their eval.  No hint: definition tables fall under the broadcast threshold,
-    which the optimizer checks, and a larger one is joined by shuffling on the skill.
+    only runs of their eval.  A definition table is broadcast after its size was checked, so
+    the texts stay where they were read.
     """
-    rules = assertions.withColumnsRenamed({"skill": "_skill", "eval": "_eval"})
+    rules = small(assertions).withColumnsRenamed({"skill": "_skill", "eval": "_eval"})
     here = F.col("_eval").isNull() | (F.col("_eval") == F.col("eval"))
     return runs.join(rules, (F.col("skill") == F.col("_skill")) & here).drop("_skill", "_eval")
 

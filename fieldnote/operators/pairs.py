@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldnote.functions.ordered import RowNumber, running
 from fieldnote.functions.stats import ratio
-from fieldnote.session import cut_lineage, local_table
+from fieldnote.session import BROADCAST_ROWS, cut_lineage, local_table
 
 
 def numbered(df: DataFrame, order: Sequence[str], bucket: Column, out: str) -> DataFrame:
@@ -236,26 +236,31 @@ def reach(edges: DataFrame, roots: DataFrame, types: Sequence[str] | None = None
     """(root, node, depth) for every node reachable from the roots, nearest depth first.
 
     Breadth first: each round joins only the newest nodes to the edges and drops those seen
-    before, so cycles end.  Every round is checkpointed in the shared folder; the number of
-    rounds is the depth of the graph.
+    before, so cycles end.  Edges and rounds are checkpointed in the shared folder; the number
+    of rounds is the depth of the graph.  While the newest nodes are few they are broadcast,
+    so that the edges stay in place; their number is known from the round before.
     """
     steps = edges if types is None else edges.filter(F.col("type").isin(list(types)))
-    steps = steps.select("src", "dst").distinct()
-    found = cut_lineage(
+    steps = cut_lineage(steps.select("src", "dst").distinct())
+    newest = cut_lineage(
         roots.select(F.col("node").alias("root"), "node").distinct().withColumn("depth", F.lit(0).cast("bigint"))
     )
-    newest = found
-    while True:
+    found, count = newest, newest.count()
+    total = count
+    while count:
+        front = F.broadcast(newest) if count <= BROADCAST_ROWS else newest
+        seen = found.select("root", "node")
         onward = (
-            newest.join(steps, newest.node == steps.src)
+            front.join(steps, F.col("node") == F.col("src"))
             .select("root", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"))
             .distinct()
-            .join(found.select("root", "node"), ["root", "node"], "left_anti")
+            .join(F.broadcast(seen) if total <= BROADCAST_ROWS else seen, ["root", "node"], "left_anti")
         )
         newest = cut_lineage(onward)
-        if newest.isEmpty():
-            return found
+        count = newest.count()
+        total += count
         found = found.unionByName(newest)
+    return found
 
 
 def lineage(edges: DataFrame, root, direction: str = "descendants") -> DataFrame:

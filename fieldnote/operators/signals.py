@@ -80,7 +80,7 @@ def weekly_corr(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def streaks(df: DataFrame, feel: str, least: int, keys: Sequence[str] = ("account",)) -> DataFrame:
     """Unbroken runs of one feel with at least ``least`` activities."""
-    runs = islands(df, list(keys), ["ts", "event_id"], F.to_date("ts"), F.col("feel") == feel, "run")
+    runs = islands(df, list(keys), ["ts", "event_id"], F.date_trunc("hour", "ts"), F.col("feel") == feel, "run")
     return (
         runs.groupBy(*keys, "run")
         .agg(F.min("ts").alias("began"), F.max("ts").alias("ended"), F.count(F.lit(1)).alias("length"))
@@ -140,7 +140,7 @@ def vs_own_avg(posts: DataFrame, times: float, keys: Sequence[str] = ("account",
         posts,
         list(keys),
         ["ts", "event_id"],
-        F.to_date("ts"),
+        F.date_trunc("hour", "ts"),
         [RowNumber("_n"), RunningSum("_s", F.col("engagements"))],
     )
     before = ratio(F.col("_s") - F.col("engagements"), F.col("_n") - 1)

@@ -397,7 +397,7 @@ def effective_rate(spark, sf):
     shapes="projects",
 )
 def running_total(spark, sf):
-    p = M.running_total(S.projects(spark, sf), ["client"], ["started", "project"], "value", F.trunc("started", "year"))
+    p = M.running_total(S.projects(spark, sf), ["client"], ["started", "project"], "value", F.col("started"))
     return p.select("project", "client", F.col("running_total").cast("decimal(18,2)").alias("running_total"))
 
 

@@ -80,3 +80,13 @@ def spread(df: DataFrame) -> DataFrame:
     """Use all cores on expensive per-row work when the input is only a few files."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+# Rows a definition table may have and still be sent to every executor.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Mark ``df`` for broadcast once its rows were counted and found few; a larger table is
+    returned as it is and joined by shuffling, where AQE splits skewed keys."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

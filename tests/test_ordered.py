@@ -39,8 +39,11 @@ def loop(data):
     return out
 
 
+@pytest.mark.parametrize("heavy", [10**6, 150, 0])
 @pytest.mark.parametrize("seed,width", [(1, 7), (2, 1), (3, 1000)])
-def test_running_equals_loop(spark, seed, width):
+def test_running_equals_loop(spark, monkeypatch, seed, width, heavy):
+    """No heavy key, only the hot one, or all of them."""
+    monkeypatch.setattr(O, "HEAVY_ROWS", heavy)
     data = make(seed)
     v = F.col("v")
     df = spark.createDataFrame(data, "k string, ts int, id int, v int").repartition(5)
@@ -52,6 +55,16 @@ def test_running_equals_loop(spark, seed, width):
     assert {r.id: (r.n, r.s, r.m, r.mi, r.l, r.lx, r.p, r.f) for r in got} == loop(data)
 
 
+def test_heavy_keys_are_few_and_exact(spark, monkeypatch):
+    df = spark.createDataFrame(make(1), "k string, ts int, id int, v int")
+    assert O.heavy_keys(df, ["k"]) is None
+    monkeypatch.setattr(O, "HEAVY_ROWS", 150)
+    assert [r.k for r in O.heavy_keys(df, ["k"]).collect()] == ["hot"]
+    monkeypatch.setattr(O, "HEAVY_ROWS", 0)
+    monkeypatch.setattr(O, "MOST_HEAVY_KEYS", 3)
+    assert O.heavy_keys(df, ["k"]).count() <= 3
+
+
 def test_running_without_key(spark):
     df = spark.range(1000).repartition(7)
     got = O.running(df, [], ["id"], F.floor(F.col("id") / 50), [O.RowNumber("n")])
