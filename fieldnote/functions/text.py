@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f" + "".join(
     map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 )
+# White space inside a line, as a character class.
+_BLANKS = r" \t\x1f\xa0\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}"
 LINE_BREAK = r"\R|[\x1c-\x1e]"
 WORD = r"[^\s\x1c-\x1f]+"
 OPENING_HEADERS = ("to:", "subject:", "from:")
@@ -90,8 +92,7 @@ def looks_like_mail(text: Column) -> Column:
     """A mail header opens one of the first eight lines; the rest of the text is not read."""
     line = r"[^\n\x0b\f\r\x85\x{2028}\x{2029}\x1c-\x1e]*+(?:" + LINE_BREAK + ")"
     heads = "|".join(OPENING_HEADERS)
-    blank = r"[ \t\x1f\xa0\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]*+"
-    return text.rlike(rf"(?i)\A(?:{line}){{0,7}}{blank}(?:{heads})")
+    return text.rlike(rf"(?i)\A(?:{line}){{0,7}}[{_BLANKS}]*+(?:{heads})")
 
 
 def extract_body(text: Column, signers: Sequence[str] = ()) -> Column:
@@ -112,9 +113,12 @@ def extract_body(text: Column, signers: Sequence[str] = ()) -> Column:
 
 
 def strip_quotes(text: Column) -> Column:
+    """Blank out quoted spans, in fixed order; texts without an opening mark are left alone."""
+    marked, clean = F.lit(False), text
     for span in QUOTED_SPANS:
-        text = F.regexp_replace(text, span, " ")
-    return text
+        marked = marked | text.contains(F.lit(span[0]))
+        clean = F.regexp_replace(clean, span, " ")
+    return F.when(marked, clean).otherwise(text)
 
 
 def is_ascii(text: Column) -> Column:

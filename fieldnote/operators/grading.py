@@ -49,14 +49,24 @@ def with_missing(runs: DataFrame, grid: DataFrame) -> DataFrame:
 
 
 def text_metrics(runs: DataFrame, signers: Sequence[str] = (), text: str = "text") -> DataFrame:
-    """Body, quote-free body, word and line counts, each computed once per document."""
-    return (
-        runs.withColumn("body", T.extract_body(F.col(text), signers))
-        .withColumn("unquoted", T.strip_quotes(F.col("body")))
-        .withColumn("words", T.word_total(F.col("body")))
-        .withColumn("lines", T.line_total(F.col("body")))
-        .withColumn("ascii", T.is_ascii(F.col("body")))
-    )
+    """Body, quote-free body, word and line counts, each computed once per document.
+
+    They are built inside one higher-order function, which Spark evaluates before the next
+    operator.  As plain columns they would be deferred into the join with the assertions and
+    computed again for every assertion.
+    """
+
+    def measure(body: Column) -> Column:
+        return F.struct(
+            body.alias("body"),
+            T.strip_quotes(body).alias("unquoted"),
+            T.word_total(body).alias("words"),
+            T.line_total(body).alias("lines"),
+            T.is_ascii(body).alias("ascii"),
+        )
+
+    measured = T.let(T.extract_body(F.col(text), signers), measure)
+    return runs.withColumn("_m", measured).select("*", "_m.*").drop("_m")
 
 
 def assertion_union(universal: DataFrame, fixture: DataFrame) -> DataFrame:
