@@ -143,10 +143,10 @@ def vs_own_avg(posts: DataFrame, times: float, keys: Sequence[str] = ("account",
         F.date_trunc("hour", "ts"),
         [RowNumber("_n"), RunningSum("_s", F.col("engagements"))],
     )
-    before = ratio(F.col("_s") - F.col("engagements"), F.col("_n") - 1)
+    earlier, n = F.col("_s") - F.col("engagements"), F.col("_n") - 1
     return (
-        seen.withColumn("multiple", F.bround(F.try_divide(F.col("engagements").cast("double"), before), 4))
-        .filter(F.col("engagements") >= times * before)
+        seen.withColumn("multiple", ratio(F.col("engagements") * n, earlier, 4))
+        .filter(F.col("engagements") >= times * ratio(earlier, n))
         .drop("_n", "_s")
     )
 

@@ -250,7 +250,7 @@ def category_delta(spark, sf):
     f"""
 WITH g AS (SELECT client, {_M.format("sum(amount)")} AS received FROM ledger WHERE kind = 'income' AND date BETWEEN DATE'2000-07-01' AND DATE'2000-08-10' GROUP BY 1)
 SELECT client, received, round_even(100 * CAST(received AS DOUBLE) / 350000, 1) AS progress_pct, {_M.format("greatest(350000 - received, 0)")} AS remaining,
-       CAST(8 AS BIGINT) AS weeks_left, round_even(CAST(greatest(350000 - received, 0) AS DOUBLE) / 8, 2) AS needed_per_week FROM g
+       CAST(8 AS BIGINT) AS weeks_left, round_even(CAST(greatest(350000 - received, 0) * 100 AS DOUBLE) / 8, 0) / 100 AS needed_per_week FROM g
 """,
     shapes="ledger",
 )
