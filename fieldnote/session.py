@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
@@ -68,12 +69,14 @@ def cut_lineage(df):
 
 
 def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A short list of definitions as a table the optimizer knows to be small."""
+    """A short list of definitions as a table the optimizer knows to be small.
+
+    It travels as one literal, which keeps building the plan cheap.
+    """
     fields = [f.strip().rsplit(" ", 1) for f in re.split(r",(?![^(]*\))", schema)]
-    structs = [
-        F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, fields)]) for row in rows
-    ]
-    return spark.range(1, numPartitions=1).select(F.inline(F.array(*structs)))
+    kind = "array<struct<" + ", ".join(f"`{n}`: {t}" for n, t in fields) + ">>"
+    text = json.dumps([dict(zip((n for n, _ in fields), row)) for row in rows])
+    return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(text), kind)))
 
 
 def spread(df: DataFrame) -> DataFrame:
