@@ -145,17 +145,17 @@ def classify(expectations: DataFrame, assertions: DataFrame) -> DataFrame:
 
     An id defined under both classes yields a row for each; an id defined nowhere drops out.
     """
-    rules = assertions.select(
-        F.col("skill").alias("_skill"), F.col("eval").alias("_eval"), F.col("assertion_id").alias("_id"), "check"
+    # All definitions of an id as one short list, so that each expectation joins once.
+    defs = (
+        assertions.filter(F.col("check").isin("programmatic", "qualitative"))
+        .groupBy(F.col("skill").alias("_skill"), F.col("assertion_id").alias("_id"))
+        .agg(F.collect_set(F.struct("eval", "check")).alias("_defs"))
     )
-    bare = expectations.drop("check")
     here = (F.col("skill") == F.col("_skill")) & (F.col("assertion_id") == F.col("_id"))
-    here = here & (F.col("_eval").isNull() | (F.col("_eval") == F.col("eval")))
-    classes = [
-        bare.join(rules.filter(F.col("check") == c).drop("check"), here, "left_semi").withColumn("check", F.lit(c))
-        for c in ("programmatic", "qualitative")
-    ]
-    return classes[0].unionByName(classes[1])
+    meant = F.filter("_defs", lambda d: d["eval"].isNull() | (d["eval"] == F.col("eval")))
+    classes = F.array_distinct(F.transform(meant, lambda d: d["check"]))
+    found = expectations.drop("check").join(small(defs), here)
+    return found.withColumn("check", F.explode(classes)).drop("_skill", "_id", "_defs")
 
 
 def run_scores(expectations: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
