@@ -1,0 +1,146 @@
+"""Secret scan: fixed patterns, and strings that neither the text around them nor a
+dictionary of identifiers helps to compress.
+
+Dictionary-primed zstandard novelty: a candidate stands in a sensitive context (a word such
+as key, token or credential shortly before it).  The text around it, without the candidate,
+and common identifiers prime a compressor; the marginal compressed bytes of the candidate
+over its length are its novelty.  Names, paths and repeated words compress, random keys
+do not.
+
+All work is row by row and moves nothing.  Defined results: a null or empty text has no
+spans; positions are code points; repeated rows give repeated results; extra columns are
+kept by ``redact``.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fieldnote.llm.workers import ready
+
+KINDS = ("assign", "access", "hex", "novel")
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
+HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
+CONTEXT = re.compile(r"(?i:passw|passphrase|secret|token|api.?key|private.?key|access.?key|credential|authori[sz]ation|bearer)[^\n]{0,48}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+# Which texts need a closer look; RE2 reads them all at once.
+BASE_HINT = r"""(?i:password|passwd|secret|token|api_?key)["']? *[:=] *["']?[A-Za-z0-9+/_.=-]{6}|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
+CONTEXT_HINT = r"(?i:passw|passphrase|secret|token|api.?key|private.?key|access.?key|credential|authori[sz]ation|bearer)"
+IDENTIFIERS = (
+    b"access account address api application authentication authorization bearer client config connection credential "
+    b"database default description development endpoint environment example expires function generate github header "
+    b"identifier instance internal interface key login manager message module name number object option parameter "
+    b"password permission placeholder private production project property provider public refresh region register "
+    b"request resource response return secret security server service session settings signature source staging "
+    b"storage string system test token type undefined update user username value version your_key_here xxxxxxxxxxxxxxxx "
+    b"abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 1234567890 changeme"
+)
+AROUND = 256
+
+
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the fixed patterns, in order."""
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
+    out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    return sorted(out)
+
+
+def novelty(text: str, start: int, end: int) -> float:
+    """Marginal compressed bytes of text[start:end] per byte, given what stands around it."""
+    import zstandard
+
+    around = (text[max(0, start - AROUND) : start] + " " + text[end : end + AROUND]).encode()
+    known = zstandard.ZstdCompressionDict(IDENTIFIERS + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    press = zstandard.ZstdCompressor(level=9, dict_data=known, write_checksum=False, write_content_size=False)
+    word = text[start:end].encode()
+    return (len(press.compress(word)) - len(press.compress(b""))) / len(word)
+
+
+def novel_spans(text: str, known: list[tuple[int, int, int]], least: float = 0.8) -> list[tuple[int, int, int]]:
+    """Candidates in a sensitive context that are new and outside the ``known`` spans."""
+    found: dict[int, int] = {}
+    for c in CONTEXT.finditer(text):
+        for m in CANDIDATE.finditer(text, c.start()):
+            if m.start() >= c.end():
+                break
+            found[m.start()] = m.end()
+    out = []
+    for a, b in sorted(found.items()):
+        word = text[a:b]
+        if not (any(x.isdigit() for x in word) and any(x.isalpha() for x in word)):
+            continue
+        if not any(a < e and s < b for s, _, e in known) and novelty(text, a, b) >= least:
+            out.append((a, 3, b))
+    return out
+
+
+def _shown(spans: list[tuple[int, int, int]]) -> str:
+    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+
+
+def _hints(column: pa.Array) -> tuple[list[bool], list[bool]]:
+    look = lambda p: pc.fill_null(pc.match_substring_regex(column, p), False).to_pylist()
+    return look(BASE_HINT), look(CONTEXT_HINT)
+
+
+def _spans(column: pa.Array) -> Iterator[tuple[list, list]]:
+    for i, (base, context) in enumerate(zip(*_hints(column))):
+        text = column[i].as_py() if base or context else ""
+        fixed = base_spans(text) if base else []
+        yield fixed, sorted(fixed + novel_spans(text, fixed)) if context else fixed
+
+
+def scan_secrets(docs: DataFrame) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, n_novel, base_sha256 and spans of every row."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for fixed, every in _spans(batch.column(1)):
+                n = [sum(k == i for _, k, _ in every) for i in range(4)]
+                rows.append((*n, hashlib.sha256(_shown(fixed).encode()).hexdigest(), _shown(every)))
+            cols = list(zip(*rows)) or [[]] * 6
+            types = [pa.int64()] * 4 + [pa.string()] * 2
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0)] + [pa.array(c, t) for c, t in zip(cols, types)],
+                ["doc_id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"],
+            )
+
+    return ready(docs).select("doc_id", "text").mapInArrow(
+        run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string"
+    )
+
+
+def blotted(text: str, spans: list[tuple[int, int, int]], mark: str = "[secret]") -> str:
+    """``text`` with every stretch of spans replaced by ``mark``."""
+    out, end = [], 0
+    for a, _, b in spans:
+        if a >= end:
+            out += [text[end:a], mark]
+        end = max(end, b)
+    return "".join(out) + text[end:]
+
+
+def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+    """``docs`` with the secrets in ``text`` replaced; ``n_chars`` is renewed where there is one."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(at)
+            new = [blotted(column[i].as_py(), every, mark) if every else column[i].as_py() for i, (_, every) in enumerate(_spans(column))]
+            cols = [pa.array(new, column.type) if i == at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+
+    out = ready(docs).mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
