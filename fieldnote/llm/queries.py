@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldnote.llm import mixing, packing, quality, secrets, simhash, url_rules
+from fieldnote.llm import mixing, packing, quality, secret_scan, simhash, url_rules
 from fieldnote.session import local_table
 
 QUERIES: dict = {}
@@ -117,6 +117,6 @@ def op8_quality_rules(spark, sf):
 
 @query("op10_secret_scans")
 def op10_secret_scans(spark, sf):
-    return secrets.scan_secrets(read(spark, sf, "documents")).select(
+    return secret_scan.scan_secrets(read(spark, sf, "documents")).select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel"
     )
