@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldnote.llm import mixing, packing, quality, secret_scan, simhash, url_rules
+from fieldnote.llm import lm, mixing, packing, phrases, quality, secret_scan, simhash, url_rules
 from fieldnote.session import local_table
 
 QUERIES: dict = {}
@@ -120,3 +120,28 @@ def op10_secret_scans(spark, sf):
     return secret_scan.scan_secrets(read(spark, sf, "documents")).select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel"
     )
+
+
+@query("op3_substring_dedup", sql=f"""
+WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id, text) AS k, {_WORDS} AS w FROM documents),
+x AS (SELECT k, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d),
+y AS (
+  SELECT k, i, string_agg(w, ' ') OVER f AS s, count(*) OVER f AS n FROM x
+  WINDOW f AS (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+),
+z AS (SELECT k, i, row_number() OVER (PARTITION BY s ORDER BY k, i) AS r FROM y WHERE n = 20),
+g AS (SELECT DISTINCT k, unnest(range(i, i + 20)) AS i FROM z WHERE r > 1),
+s AS (
+  SELECT x.k, count(g.k) AS n_removed, string_agg(w, ' ' ORDER BY x.i) FILTER (WHERE g.k IS NULL) AS kept
+  FROM x LEFT JOIN g ON x.k = g.k AND x.i = g.i GROUP BY x.k
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN s USING (k)
+""")
+def op3_substring_dedup(spark, sf):
+    return phrases.dedup(read(spark, sf, "documents"))
+
+
+@query("op9_lm_scoring")
+def op9_lm_scoring(spark, sf):
+    return lm.score(read(spark, sf, "documents"))
