@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldnote.llm import lm, mixing, packing, phrases, quality, secret_scan, simhash, url_rules
+from fieldnote.llm import ann, lm, mixing, packing, phrases, quality, secret_scan, simhash, url_rules
 from fieldnote.session import local_table
 
 QUERIES: dict = {}
@@ -145,3 +145,8 @@ def op3_substring_dedup(spark, sf):
 @query("op9_lm_scoring")
 def op9_lm_scoring(spark, sf):
     return lm.score(read(spark, sf, "documents"))
+
+
+@query("op7_nearest_neighbours")
+def op7_nearest_neighbours(spark, sf):
+    return ann.search(read(spark, sf, "embeddings")).select("query_id", "rank", "vec_id", "score")
