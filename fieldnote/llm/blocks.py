@@ -37,9 +37,12 @@ _REPLY = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("stage", pa.in
 
 
 def count_for(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
-    """How many blocks ``docs`` makes, by the planner's size of its input."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(1, min(-(-size // block_bytes), 1 << 20))
+    """How many blocks ``docs`` makes, by the planner's size of its input, or where the planner
+    has none by the bytes of its texts."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, -(-size // block_bytes))
 
 
 def blocked(docs: DataFrame, n: int, *more: str) -> DataFrame:
@@ -138,11 +141,11 @@ class Keys:
 
 
 def answer(
-    requests: DataFrame, stage: int, kinds: list, fn: Callable[[list[np.ndarray], np.ndarray], list | tuple]
+    requests: DataFrame, stage: int, kinds: list, fn: Callable[..., list | tuple], numbered: bool = False
 ) -> DataFrame:
     """Replies to ``requests``.  ``fn`` gets all keys (and extras) of a part and for each the number
     of its block, and returns arrays of answers in the same order, or these and
-    arrays that every block gets whole."""
+    arrays that every block gets whole.  ``numbered``: it gets the number of the part too."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
@@ -151,12 +154,12 @@ def answer(
         columns = [[expand(r[i], k, i == 0) for r in rows] for i, k in enumerate(kinds)]
         sizes = [len(c) for c in columns[0]]
         whose = np.repeat(np.arange(len(rows)), sizes)
-        out, same = fn([np.concatenate(c) for c in columns], whose), []
+        part = table["part"][0].as_py()
+        out, same = fn([np.concatenate(c) for c in columns], whose, *[part] * numbered), []
         if isinstance(out, tuple):
             out, same = out
         cuts = np.cumsum([0, *sizes])
         data = [[squeeze(x[a:b]) for x in out] + [squeeze(x) for x in same] for a, b in zip(cuts, cuts[1:])]
-        part = table["part"][0].as_py()
         n = len(rows)
         return pa.table(
             [pa.array(blocks, pa.int64()), pa.array([part] * n, pa.int32()), pa.array([stage] * n, pa.int32()), pa.array(data, pa.list_(pa.binary()))],

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldnote.llm import ann, lm, mixing, packing, phrases, quality, secret_scan, simhash, url_rules
+from fieldnote.llm import ann, lm, mixing, packing, phrases, quality, secret_scan, simhash, suffix, url_rules
 from fieldnote.session import local_table
 
 QUERIES: dict = {}
@@ -150,3 +150,8 @@ def op9_lm_scoring(spark, sf):
 @query("op7_nearest_neighbours")
 def op7_nearest_neighbours(spark, sf):
     return ann.search(read(spark, sf, "embeddings")).select("query_id", "rank", "vec_id", "score")
+
+
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark, sf):
+    return suffix.dedup(read(spark, sf, "documents"))
