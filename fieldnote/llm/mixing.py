@@ -154,15 +154,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, total: float = 1.5, most: float = 2.0)
         F.array_repeat(F.lit(-1).cast("long"), F.col("p.epochs").cast("int")),
         F.when(more == 0, F.array().cast("array<bigint>")).otherwise(F.array(more.cast("long"))),
     )
-    joined = docs.alias("d").join(sources.alias("p"), F.expr("d.source <=> p.source")).select("d.*", F.explode(takes).alias("_n"))
+    joined = docs.alias("d").join(sources.alias("p"), F.expr("d.source <=> p.source")).select("d.*", F.explode(takes).alias(T.free_name(docs.columns)))
     return _cut(joined, docs.columns)
 
 
 def _cut(taken: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows whose last column _n says how many words stay (-1: all)."""
-    inner = F.slice(T.words(F.col("text")), F.lit(1), F.greatest(F.col("_n"), F.lit(1)).cast("int"))
-    text = F.when(F.col("_n") < 0, F.col("text")).otherwise(F.array_join(inner, " "))
+    """Rows whose last column says how many words stay (-1: all)."""
+    n = F.col(taken.columns[-1])
+    inner = F.slice(T.words(F.col("text")), F.lit(1), F.greatest(n, F.lit(1)).cast("int"))
+    text = F.when(n < 0, F.col("text")).otherwise(F.array_join(inner, " "))
     made = {"text": text}
     if "n_chars" in columns:
-        made["n_chars"] = F.when(F.col("_n") < 0, F.col("n_chars")).otherwise(F.length(text).cast("long"))
+        made["n_chars"] = F.when(n < 0, F.col("n_chars")).otherwise(F.length(text).cast("long"))
     return taken.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in columns])

@@ -133,7 +133,5 @@ def ablation(ledgers: DataFrame, policy: int = 2, out: str = "ledger") -> DataFr
 
 def keep(docs: DataFrame, policy: int = 2) -> DataFrame:
     """The documents that pass the policy, with the columns they came with."""
-    free = "_ledger"
-    while free in docs.columns:
-        free += "_"
+    free = T.free_name(docs.columns)
     return ledger(docs, out=free).filter(passes(F.col(free)["failures"], policy)).select(*[F.col(f"`{c}`") for c in docs.columns])

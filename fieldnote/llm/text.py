@@ -25,3 +25,11 @@ def lower_ascii(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def free_name(columns: list[str]) -> str:
+    """A column name that none of ``columns`` has, in either case."""
+    taken, name = {c.lower() for c in columns}, "made"
+    while name in taken:
+        name += "_"
+    return name
