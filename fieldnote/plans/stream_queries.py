@@ -10,8 +10,8 @@ from fieldnote.streaming import streams as X
 
 
 def _stream(spark, sf, name):
-    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return X.read_stream(spark, sf, schema, f"{name}.parquet")
+    path = f"{sf}/{name}.parquet"
+    return X.read_stream(spark, path, spark.read.parquet(path).schema)
 
 
 def _touches(spark, sf):
@@ -50,7 +50,7 @@ HAVING max(date) + 90 <= (SELECT max(date) FROM touches)
     times="began alert_at",
 )
 def quiet_alert(spark, sf):
-    return X.drain_append(X.quiet_alert(_touches(spark, sf), 90), *X.fresh_paths(spark, "quiet"))
+    return X.drain_append(X.quiet_alert(_touches(spark, sf), 90, "0 seconds"), *X.fresh_paths(spark, "quiet"))
 
 
 @query(
@@ -60,7 +60,7 @@ def quiet_alert(spark, sf):
     times="day_start",
 )
 def daily_touches(spark, sf):
-    return X.drain_append(X.daily_touches(_touches(spark, sf)), *X.fresh_paths(spark, "daily"))
+    return X.drain_append(X.daily_touches(_touches(spark, sf), "24 hours"), *X.fresh_paths(spark, "daily"))
 
 
 @query(
@@ -70,7 +70,7 @@ def daily_touches(spark, sf):
     times="window_start",
 )
 def weekly_totals(spark, sf):
-    totals = X.tumbling(_signals(spark, sf), ["kind"], [F.count(F.lit(1)).alias("n"), F.sum("likes").alias("likes")])
+    totals = X.tumbling(_signals(spark, sf), ["kind"], [F.count(F.lit(1)).alias("n"), F.sum("likes").alias("likes")], "1 day")
     return X.drain_updates(totals, *X.fresh_paths(spark, "weekly"), ["window_start", "kind"])
 
 
@@ -81,7 +81,7 @@ def weekly_totals(spark, sf):
     times="window_start",
 )
 def topic_trend(spark, sf):
-    trend = X.sliding(_signals(spark, sf), "10 days", "1 day", ["topic"], [F.count(F.lit(1)).alias("n")])
+    trend = X.sliding(_signals(spark, sf), "10 days", "1 day", ["topic"], [F.count(F.lit(1)).alias("n")], "1 day")
     return X.drain_updates(trend, *X.fresh_paths(spark, "trend"), ["window_start", "topic"])
 
 
@@ -92,7 +92,7 @@ def topic_trend(spark, sf):
     times="window_start",
 )
 def rolling_feel(spark, sf):
-    feel = X.sliding(_signals(spark, sf), "28 days", "7 days", ["feel"], [F.count(F.lit(1)).alias("n")], origin="4 days")
+    feel = X.sliding(_signals(spark, sf), "28 days", "7 days", ["feel"], [F.count(F.lit(1)).alias("n")], "1 day", origin="4 days")
     return X.drain_updates(feel, *X.fresh_paths(spark, "feel"), ["window_start", "feel"])
 
 
@@ -107,7 +107,7 @@ SELECT window_start, event_id, engagements FROM w QUALIFY row_number() OVER (PAR
 )
 def top_post(spark, sf):
     best = F.max(F.struct("engagements", (-F.col("event_id")).alias("minus_id"))).alias("p")
-    top = X.sliding(_signals(spark, sf), "28 days", "7 days", [], [best], origin="4 days")
+    top = X.sliding(_signals(spark, sf), "28 days", "7 days", [], [best], "1 day", origin="4 days")
     top = top.select("window_start", (-F.col("p.minus_id")).alias("event_id"), F.col("p.engagements").alias("engagements"))
     return X.drain_updates(top, *X.fresh_paths(spark, "top"), ["window_start"])
 
@@ -124,7 +124,7 @@ HAVING max(date) + 30 <= (SELECT max(date) - 1 FROM touches)
     times="opened",
 )
 def exchanges(spark, sf):
-    return X.drain_append(X.exchanges(_touches(spark, sf), 30), *X.fresh_paths(spark, "exchanges"))
+    return X.drain_append(X.exchanges(_touches(spark, sf), 30, "1 day"), *X.fresh_paths(spark, "exchanges"))
 
 
 @query(
@@ -147,6 +147,6 @@ def grades(spark, sf):
 )
 def dedup(spark, sf):
     posts = _signals(spark, sf).selectExpr("account AS post_id", "CAST(ts AS DATE) AS scraped_on", "ts")
-    once = X.dedup(posts, ["post_id", "scraped_on"]).select("post_id", "scraped_on")
+    once = X.dedup(posts, ["post_id", "scraped_on"], "7 days").select("post_id", "scraped_on")
     back = X.drain_append(once, *X.fresh_paths(spark, "dedup"))
     return back.groupBy("post_id", "scraped_on").agg(F.count(F.lit(1)).alias("copies_seen"))

@@ -22,6 +22,7 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -79,17 +80,26 @@ def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Data
     return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(text), kind)))
 
 
+# Texts that a few files hold are dealt to all cores below this size; larger ones stay where they are read.
+SPREAD_BYTES = 64 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on expensive per-row work when the input is only a few files."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    """Use all cores on expensive per-row work over a small input, which may be one unsplittable file.
+
+    An input beyond ``SPREAD_BYTES`` (by the planner's size) is never moved.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
 
 
-# Rows a definition table may have and still be sent to every executor.
-BROADCAST_ROWS = 100_000
+# Rows and bytes a definition table may have and still be sent to every executor.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Mark ``df`` for broadcast once its rows were counted and found few; a larger table is
+    """Mark ``df`` for broadcast once its rows and bytes were counted and found few; a larger table is
     returned as it is and joined by shuffling, where AQE splits skewed keys."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    head = df.limit(BROADCAST_ROWS + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("n"))
+    rows, size = head.agg(F.count(F.lit(1)), F.sum("n")).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df

@@ -12,14 +12,26 @@ from fieldnote.operators.grading import grade, settled
 from fieldnote.session import scratch_path
 
 
-def read_stream(spark: SparkSession, path: str, schema, pattern: str = "*.parquet", per_trigger: int = 1000) -> DataFrame:
-    """Parquet files as they land in a folder; the schema is given, never inferred."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", per_trigger)
-        .parquet(path)
-    )
+def read_stream(spark: SparkSession, path: str, schema, per_trigger: int | None = None) -> DataFrame:
+    """A Parquet table, one file or a folder of part files, and what lands in it; the schema is given, never inferred.
+
+    Without ``per_trigger`` all that is there makes up the first micro-batch, so that a backlog
+    gives the same result in however many files and in whatever order it lies.  With a limit, or for
+    what lands later, rows behind the watermark do not count; ``drain_late`` keeps them.
+    """
+    reader = spark.readStream.schema(schema)
+    if per_trigger:
+        reader = reader.option("maxFilesPerTrigger", per_trigger)
+    where, fs = _at(spark, path)
+    if fs.exists(where) and fs.getFileStatus(where).isFile():  # a stream reads folders: this file of its folder
+        return reader.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
+    return reader.parquet(path)
+
+
+def _at(spark: SparkSession, path: str):
+    """``path`` and its file system, whichever that is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 # --- running a stream over what is there ------------------------------------------------
@@ -53,9 +65,42 @@ def drain_updates(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[
         .start()
     )
     query.awaitTermination()
+    if not _batches(stream.sparkSession, path):
+        return stream.sparkSession.createDataFrame([], stream.schema)
     return newest(stream.sparkSession, path, keys, stream.columns)
 
 
+def _batches(spark: SparkSession, path: str) -> list[str]:
+    """Folders of micro-batches below ``path``, seen through Spark's own file system."""
+    where, fs = _at(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
+
+
+def drain_late(touches: DataFrame, ends: Column, lateness: str, path: str, checkpoint: str) -> DataFrame:
+    """Side table: the rows of ``touches`` (with ``ts``) that an operator with that lateness leaves
+    out, because the window or session that a row would open, which ends at ``ends``, was closed
+    when the row came.
+
+    The latest ``ts`` of each micro-batch is written beside the rows.  A batch is held against the
+    watermark that closed windows at the end of the batch before it, which is made of the batches up to the one
+    before that.
+    """
+    spark = touches.sparkSession
+    late = touches.withColumn("_ends", ends)
+
+    def save(batch: DataFrame, number: int) -> None:
+        seen = [n for n in _batches(spark, f"{path}/marks") if int(n[6:]) < number - 1]
+        rows = batch.withColumn("_mark", F.lit(None).cast("timestamp"))
+        if seen:
+            top = spark.read.parquet(*[f"{path}/marks/{n}" for n in seen]).agg(F.max("ts").alias("_top"))
+            rows = batch.join(F.broadcast(top.select((F.col("_top") - F.expr(f"INTERVAL {lateness}")).alias("_mark"))))
+        rows.filter(F.col("_ends") <= F.col("_mark")).drop("_mark", "_ends").write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        batch.agg(F.max("ts").alias("ts")).write.mode("overwrite").parquet(f"{path}/marks/batch={number}")
+
+    late.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(touches.schema).parquet(f"{path}/rows") if _batches(spark, f"{path}/rows") else spark.createDataFrame([], touches.schema)
+
+
 def newest(spark: SparkSession, path: str, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Latest row per key over all batches, as an aggregate."""
     written = spark.read.option("basePath", path).parquet(path)
@@ -80,7 +125,7 @@ def _just_under(days: int) -> str:
     return f"{days - 1} days 23 hours 59 minutes 59 seconds 999999 microseconds"
 
 
-def quiet_alert(touches: DataFrame, days: int, lateness: str = "0 seconds") -> DataFrame:
+def quiet_alert(touches: DataFrame, days: int, lateness: str) -> DataFrame:
     """A row once a contact has been silent for ``days``.
 
     A touch opens or extends a session with that gap; the watermark passing its end is the
@@ -99,7 +144,7 @@ def quiet_alert(touches: DataFrame, days: int, lateness: str = "0 seconds") -> D
     )
 
 
-def daily_touches(touches: DataFrame, lateness: str = "24 hours") -> DataFrame:
+def daily_touches(touches: DataFrame, lateness: str) -> DataFrame:
     """Touches per day and type, accepting rows up to the logging rule's 24 hours late."""
     return (
         touches.withWatermark("ts", lateness)
@@ -109,7 +154,7 @@ def daily_touches(touches: DataFrame, lateness: str = "24 hours") -> DataFrame:
     )
 
 
-def tumbling(events: DataFrame, by: Sequence[str], aggs: Sequence[Column], lateness: str = "1 day") -> DataFrame:
+def tumbling(events: DataFrame, by: Sequence[str], aggs: Sequence[Column], lateness: str) -> DataFrame:
     """Weekly totals, weeks starting on Monday (window origins count from a Thursday)."""
     return (
         events.withWatermark("ts", lateness)
@@ -121,7 +166,7 @@ def tumbling(events: DataFrame, by: Sequence[str], aggs: Sequence[Column], laten
 
 
 def sliding(
-    events: DataFrame, length: str, step: str, by: Sequence[str], aggs: Sequence[Column], lateness: str = "1 day", origin: str = "0 days"
+    events: DataFrame, length: str, step: str, by: Sequence[str], aggs: Sequence[Column], lateness: str, origin: str = "0 days"
 ) -> DataFrame:
     """Counts over overlapping windows: topic trends, feel shares, best posts."""
     return (
@@ -133,7 +178,7 @@ def sliding(
     )
 
 
-def exchanges(touches: DataFrame, gap_days: int, lateness: str = "1 day") -> DataFrame:
+def exchanges(touches: DataFrame, gap_days: int, lateness: str) -> DataFrame:
     """One row per exchange: touches less than ``gap_days`` apart."""
     return (
         touches.withWatermark("ts", lateness)
@@ -143,7 +188,7 @@ def exchanges(touches: DataFrame, gap_days: int, lateness: str = "1 day") -> Dat
     )
 
 
-def dedup(posts: DataFrame, keys: Sequence[str] = ("post_id", "scraped_at"), lateness: str = "7 days") -> DataFrame:
+def dedup(posts: DataFrame, keys: Sequence[str], lateness: str) -> DataFrame:
     """First row of each key; a copy within the lateness is dropped and its state expires."""
     return posts.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(list(keys))
 
@@ -171,5 +216,8 @@ def grade_stream(
     )
     query.awaitTermination()
     spark = runs.sparkSession
+    if not _batches(spark, path):
+        none = spark.createDataFrame([], runs.schema)
+        return grade(none, assertions, kept)
     columns = [c for c in spark.read.parquet(path).columns if c != "batch"]
     return newest(spark, path, ["run_id", "assertion_id"], columns)

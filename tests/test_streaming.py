@@ -37,14 +37,14 @@ def test_touch_state_equals_batch(spark, landed, tmp_path):
 
 
 def test_quiet_alert(spark, landed, tmp_path):
-    got = X.drain_append(X.quiet_alert(stream(spark, landed), 90), str(tmp_path / "o"), str(tmp_path / "c"))
+    got = X.drain_append(X.quiet_alert(stream(spark, landed), 90, "0 seconds"), str(tmp_path / "o"), str(tmp_path / "c"))
     assert rows(got.selectExpr("contact_id", "CAST(alert_at AS STRING)", "touches")) == [
         ("a", "2024-04-19 00:00:00", 2), ("b", "2024-03-31 00:00:00", 1), ("b", "2024-06-29 00:00:00", 1),
     ]
 
 
 def test_exchanges_equal_batch_for_closed_ones(spark, landed, tmp_path):
-    got = X.drain_append(X.exchanges(stream(spark, landed), 30), str(tmp_path / "o"), str(tmp_path / "c"))
+    got = X.drain_append(X.exchanges(stream(spark, landed), 30, "1 day"), str(tmp_path / "o"), str(tmp_path / "c"))
     batch = C.exchanges(spark.read.parquet(landed), 30).filter("last_touch < DATE'2024-12-01'")
     assert rows(got.selectExpr("contact_id", "CAST(opened AS DATE) AS opened", "touches")) == rows(batch.select("contact_id", "opened", "touches"))
 
@@ -63,20 +63,60 @@ def test_resumed_stream_continues(spark, tmp_path):
     assert rows(got.select("contact_id", "touch_count", "status")) == [("a", 2, "responded"), ("b", 1, "contacted")]
 
 
-def test_late_rows_are_dropped_after_the_lateness(spark, tmp_path):
-    src = str(tmp_path / "in")
-    for day in ("2024-01-10", "2024-01-09", "2024-01-01", "2024-01-20"):
-        spark.createDataFrame([(day, "call")], "d string, type string").selectExpr("CAST(d AS TIMESTAMP) AS ts", "type").coalesce(1).write.mode("append").parquet(src)
-    got = X.drain_append(X.daily_touches(stream(spark, src), "24 hours"), str(tmp_path / "o"), str(tmp_path / "c"))
-    days = [r[0] for r in rows(got.selectExpr("CAST(CAST(day_start AS DATE) AS STRING)"))]
-    assert "2024-01-10" in days and "2024-01-20" not in days
+@pytest.fixture(scope="module")
+def shuffled(spark, tmp_path_factory):
+    """A table in six part files in no order of dates."""
+    root = str(tmp_path_factory.mktemp("shuffled"))
+    days = ["2024-03-10", "2024-01-09", "2024-02-01", "2024-04-20", "2024-01-10", "2024-04-19"]
+    for n, day in enumerate(days):
+        rows = [("a", n, day, "call"), ("b" if n % 2 else "c", 10 + n, day, "mail")]
+        df = spark.createDataFrame(rows, "contact_id string, touch_id int, d string, type string")
+        df.selectExpr("contact_id", "touch_id", "CAST(d AS DATE) AS date", "type", "CAST(d AS TIMESTAMP) AS ts").coalesce(1).write.mode("append").parquet(root)
+    return root
+
+
+def daily(df):
+    return X.daily_touches(df, "24 hours")
+
+
+@pytest.mark.parametrize("per_trigger", [None, 1])
+def test_emitted_and_late_rows_are_all_rows(spark, shuffled, tmp_path, per_trigger):
+    batch = spark.read.parquet(shuffled)
+    source = lambda: X.read_stream(spark, shuffled, batch.schema, per_trigger)
+    got = X.drain_append(daily(source()), str(tmp_path / "o"), str(tmp_path / "c"))
+    ends = F.window("ts", "1 day")["end"]
+    late = X.drain_late(source(), ends, "24 hours", str(tmp_path / "l"), str(tmp_path / "k"))
+    closed = "day_start < TIMESTAMP'2024-04-19'"  # two days before the last are still open
+    both = got.unionByName(daily(late)).groupBy("day_start", "type").agg(F.sum("touches").alias("touches")).filter(closed)
+    assert rows(both) == rows(daily(batch).filter(closed))
+    assert (late.count() > 0) == (per_trigger == 1)
+
+
+def test_a_backlog_is_whole_in_any_number_of_files(spark, shuffled, tmp_path):
+    batch = spark.read.parquet(shuffled)
+    one = str(tmp_path / "one.parquet")
+    batch.coalesce(1).write.parquet(one)
+    file = next(p for p in (tmp_path / "one.parquet").iterdir() if p.name.startswith("part-"))
+    got = []
+    for n, path in enumerate((shuffled, one, str(file))):
+        source = X.read_stream(spark, path, batch.schema)
+        got.append(rows(X.drain_append(X.quiet_alert(source, 20, "0 seconds"), str(tmp_path / f"o{n}"), str(tmp_path / f"c{n}"))))
+    assert got[0] == got[1] == got[2] and len(got[0]) > 3
+
+
+def test_an_empty_table_gives_no_rows(spark, tmp_path):
+    schema = "contact_id string, touch_id int, date date, status string"
+    (tmp_path / "none").mkdir()
+    source = X.read_stream(spark, str(tmp_path / "none"), spark.createDataFrame([], schema).schema)
+    got = X.drain_updates(X.touch_state(source), str(tmp_path / "o"), str(tmp_path / "c"), ["contact_id"])
+    assert got.count() == 0 and "touch_count" in got.columns
 
 
 def test_dedup(spark, tmp_path):
     src = str(tmp_path / "in")
     for likes in (1, 2):
         spark.createDataFrame([("p", "2024-01-01", likes), ("q", f"2024-01-0{likes}", likes)], "post_id string, scraped_at string, likes int").withColumn("ts", F.col("scraped_at").cast("timestamp")).coalesce(1).write.mode("append").parquet(src)
-    got = X.drain_append(X.dedup(stream(spark, src)), str(tmp_path / "o"), str(tmp_path / "c"))
+    got = X.drain_append(X.dedup(stream(spark, src), ["post_id", "scraped_at"], "7 days"), str(tmp_path / "o"), str(tmp_path / "c"))
     assert rows(got.select("post_id", "scraped_at")) == [("p", "2024-01-01"), ("q", "2024-01-01"), ("q", "2024-01-02")]
 
 
