@@ -12,6 +12,16 @@ def money(col: Column) -> Column:
     return col.cast("decimal(18,2)")
 
 
+def total(col: Column) -> Column:
+    """A sum of money over any number of rows."""
+    return col.cast("decimal(38,2)")
+
+
+def product(a: Column, b: Column) -> Column:
+    """Of two whole numbers, beyond the range of a long."""
+    return a.cast("decimal(19,0)") * b.cast("decimal(19,0)")
+
+
 def num(col: Column) -> Column:
     return col.cast("double")
 

@@ -9,21 +9,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldnote.functions.ordered import RowNumber, RunningMax, RunningSum, running
-from fieldnote.functions.stats import day, days_between, flag, money, pct, ratio
+from fieldnote.functions.stats import day, days_between, flag, money, pct, ratio, total
 from fieldnote.session import local_table
 
 # Thresholds of the practice rules; each is also a parameter below.
 RESERVE_RATE = "0.30"
 RUSH_RATE = "1.20"
 DISCOUNT_CAPS = {"aligned": 30, "other": 20}
-PROJECT_PREFIX = "RP"
 
 
 def _dec(value: str, kind: str = "decimal(4,2)") -> Column:
     return F.lit(value).cast(kind)
 
 
-def assign_project_id(df: DataFrame, start: str, tie: str, prefix: str = PROJECT_PREFIX) -> DataFrame:
+def assign_project_id(df: DataFrame, start: str, tie: str, prefix: str) -> DataFrame:
     """PREFIX-YYYY-### numbered within the year of the start date.
 
     A year is numbered day by day, with the counts of the earlier days added.
@@ -45,15 +44,21 @@ def price_check(opps: DataFrame, tiers: DataFrame) -> DataFrame:
 
 
 def below_floor(quotes: DataFrame, floors: DataFrame) -> DataFrame:
-    """Quotes under the floor of their service without an override."""
-    joined = quotes.join(floors.select("tier", "floor"), "tier")
-    return joined.filter((F.col("price") < F.col("floor")) & ~F.coalesce(F.col("override"), F.lit(False)))
+    """Quotes under the floor of their service without an override, and those of an unknown service."""
+    joined = quotes.join(floors.select("tier", "floor"), "tier", "left").withColumn("reason", _why("below_floor"))
+    low = F.col("floor").isNull() | (F.col("price") < F.col("floor"))
+    return joined.filter(low & ~F.coalesce(F.col("override"), F.lit(False)))
+
+
+def _why(known: str) -> Column:
+    return F.when(F.col("floor").isNull(), "unknown_tier").otherwise(known)
 
 
 def disqualified(opps: DataFrame, tiers: DataFrame, tolerance: str = "0.70") -> DataFrame:
-    """Budget more than 30 percent below the floor, and not flexible."""
-    joined = opps.join(tiers.select("tier", "floor"), "tier")
-    return joined.filter((F.col("price") < F.col("floor") * _dec(tolerance)) & ~F.col("flexible"))
+    """Budget more than 30 percent below the floor and not flexible; an unknown tier is told apart."""
+    joined = opps.join(tiers.select("tier", "floor"), "tier", "left").withColumn("reason", _why("low_budget"))
+    low = F.col("floor").isNull() | (F.col("price") < F.col("floor") * _dec(tolerance))
+    return joined.filter(low & ~F.coalesce(F.col("flexible"), F.lit(False)))
 
 
 def segment_match(opps: DataFrame, tiers: DataFrame) -> DataFrame:
@@ -198,11 +203,11 @@ def revenue(ledger: DataFrame, targets: Sequence[tuple[int, str]]) -> DataFrame:
         income.groupBy("tier", F.date_trunc("quarter", "date").cast("date").alias("quarter"))
         .agg(F.sum("amount").alias("amount"))
         .rollup("tier", "quarter")
-        .agg(money(F.sum("amount")).alias("amount"), F.grouping_id().cast("bigint").alias("level"))
+        .agg(total(F.sum("amount")).alias("amount"), F.grouping_id().cast("bigint").alias("level"))
     )
     both = rolled.join(goals, "tier", "left")
     short = F.when(F.col("level") == 0, F.col("amount") - F.col("target"))
-    return both.select("tier", "quarter", "level", "amount", money(short).alias("over_target"))
+    return both.select("tier", "quarter", "level", "amount", total(short).alias("over_target"))
 
 
 def reserve(ledger: DataFrame, rate: str = RESERVE_RATE) -> DataFrame:
@@ -230,14 +235,14 @@ def burn(ledger: DataFrame, savings_target: str) -> DataFrame:
 
 
 def category_delta(ledger: DataFrame, targets: Sequence[tuple[str, str]]) -> DataFrame:
-    """Spending per month and category against its target."""
+    """Spending per month and category against its target; without a target the delta is null."""
     goals = local_table(ledger.sparkSession, list(targets), "category string, target decimal(18,2)")
     spent = (
         ledger.filter(F.col("kind") == "expense")
         .groupBy(F.trunc("date", "month").alias("month"), "category")
         .agg(money(F.sum("amount")).alias("spent"))
     )
-    return spent.join(goals, "category").withColumn("delta", money(F.col("spent") - F.col("target"))).drop("target")
+    return spent.join(goals, "category", "left").withColumn("delta", money(F.col("spent") - F.col("target"))).drop("target")
 
 
 def pace(ledger: DataFrame, target: str, first: str, as_of: str, last: str, by: str) -> DataFrame:
@@ -276,8 +281,8 @@ def aging(invoices: DataFrame, as_of: str, steps: Sequence[int] = (15, 30, 45))
 
 
 def discounts(engagements: DataFrame, floors: DataFrame, alarm: float = 0.20) -> DataFrame:
-    """Discount share per quarter, its alarm, and the deals under their floor."""
-    joined = engagements.join(floors.select("tier", "floor"), "tier")
+    """Discount share per quarter, its alarm, the deals under their floor and those of an unknown tier."""
+    joined = engagements.join(floors.select("tier", "floor"), "tier", "left")
     given = F.col("discount_pct") > 0
     share = ratio(F.count_if(given), F.count(F.lit(1)), 4)
     return (
@@ -286,6 +291,7 @@ def discounts(engagements: DataFrame, floors: DataFrame, alarm: float = 0.20) ->
             F.count(F.lit(1)).alias("engagements"),
             share.alias("discount_share"),
             F.count_if(F.col("value") < F.col("floor")).alias("below_floor"),
+            F.count_if(F.col("floor").isNull()).alias("unknown_tier"),
         )
         .withColumn("alarm", F.col("discount_share") > alarm)
     )
@@ -334,8 +340,8 @@ def budget(lines: DataFrame) -> DataFrame:
     cost = F.col("hours") * F.col("rate") + F.col("travel")
     summed = lines.groupBy("project", "line").agg(F.sum("hours").alias("hours"), F.sum(cost).alias("cost"))
     return summed.rollup("project", "line").agg(
-        money(F.sum("hours")).alias("hours"),
-        money(F.sum("cost")).alias("cost"),
+        total(F.sum("hours")).alias("hours"),
+        total(F.sum("cost")).alias("cost"),
         F.grouping_id().cast("bigint").alias("level"),
     )
 

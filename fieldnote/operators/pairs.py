@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldnote.functions.ordered import RowNumber, running
-from fieldnote.functions.stats import ratio
+from fieldnote.functions.stats import product, ratio
 from fieldnote.session import BROADCAST_ROWS, cut_lineage, local_table
 
 
@@ -170,7 +170,8 @@ def connector_profile(bouts: DataFrame, high: int) -> DataFrame:
         F.percentile("score", F.lit(0.5)).alias("median"),
     )
     n = F.col("scores")
-    var = F.try_divide((n * F.col("_q") - F.col("_s") * F.col("_s")).cast("double"), (n * (n - 1)).cast("double"))
+    square = product(F.col("_s"), F.col("_s"))
+    var = F.try_divide((product(n, F.col("_q")) - square).cast("double"), product(n, n - 1).cast("double"))
     return sums.select(
         "claim",
         "scores",

@@ -15,18 +15,19 @@ from fieldnote.session import scratch_path
 
 _NOW = f"DATE'{AS_OF}'"
 _M = "CAST({} AS DECIMAL(18,2))"
+_T = "CAST({} AS DECIMAL(38,2))"
 
 
 @query(
     "assign_project_id",
     """
 WITH n AS (SELECT project, started, row_number() OVER (PARTITION BY year(started) ORDER BY started, project) AS n FROM projects)
-SELECT project, 'RP-' || year(started) || '-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS project_id FROM n
+SELECT project, 'PRJ-' || year(started) || '-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS project_id FROM n
 """,
     shapes="projects",
 )
 def assign_project_id(spark, sf):
-    return M.assign_project_id(S.projects(spark, sf), "started", "project").select("project", "project_id")
+    return M.assign_project_id(S.projects(spark, sf), "started", "project", "PRJ").select("project", "project_id")
 
 
 @query(
@@ -41,20 +42,20 @@ def price_check(spark, sf):
 
 @query(
     "below_floor",
-    "SELECT project, tier, price, floor FROM projects JOIN tiers USING (tier) WHERE price < floor AND NOT coalesce(override, false)",
+    "SELECT project, tier, price, floor, CASE WHEN floor IS NULL THEN 'unknown_tier' ELSE 'below_floor' END AS reason FROM projects LEFT JOIN tiers USING (tier) WHERE (floor IS NULL OR price < floor) AND NOT coalesce(override, false)",
     shapes="projects tiers",
 )
 def below_floor(spark, sf):
-    return M.below_floor(S.projects(spark, sf), tiers(spark)).select("project", "tier", "price", "floor")
+    return M.below_floor(S.projects(spark, sf), tiers(spark)).select("project", "tier", "price", "floor", "reason")
 
 
 @query(
     "disqualified",
-    "SELECT project, tier, price FROM projects JOIN tiers USING (tier) WHERE price < floor * 0.7 AND NOT flexible",
+    "SELECT project, tier, price, CASE WHEN floor IS NULL THEN 'unknown_tier' ELSE 'low_budget' END AS reason FROM projects LEFT JOIN tiers USING (tier) WHERE (floor IS NULL OR price < floor * 0.7) AND NOT coalesce(flexible, false)",
     shapes="projects tiers",
 )
 def disqualified(spark, sf):
-    return M.disqualified(S.projects(spark, sf), tiers(spark)).select("project", "tier", "price")
+    return M.disqualified(S.projects(spark, sf), tiers(spark)).select("project", "tier", "price", "reason")
 
 
 @query(
@@ -190,10 +191,10 @@ def vs_target(spark, sf):
 @query(
     "revenue",
     f"""
-WITH r AS (SELECT tier, CAST(date_trunc('quarter', date) AS DATE) AS quarter, {_M.format("sum(amount)")} AS amount,
+WITH r AS (SELECT tier, CAST(date_trunc('quarter', date) AS DATE) AS quarter, {_T.format("sum(amount)")} AS amount,
                   CAST(grouping_id(tier, CAST(date_trunc('quarter', date) AS DATE)) AS BIGINT) AS level
            FROM ledger WHERE kind = 'income' GROUP BY ROLLUP (tier, CAST(date_trunc('quarter', date) AS DATE)))
-SELECT r.tier, quarter, level, amount, CASE WHEN level = 0 THEN {_M.format("amount - CASE r.tier WHEN 1 THEN 1000000 WHEN 2 THEN 2000000 ELSE 3000000 END")} END AS over_target FROM r
+SELECT r.tier, quarter, level, amount, CASE WHEN level = 0 THEN {_T.format("amount - CASE r.tier WHEN 1 THEN 1000000 WHEN 2 THEN 2000000 ELSE 3000000 END")} END AS over_target FROM r
 """,
     shapes="ledger",
     dates="quarter",
@@ -235,8 +236,8 @@ def burn(spark, sf):
     "category_delta",
     f"""
 SELECT CAST(date_trunc('month', date) AS DATE) AS month, category, {_M.format("sum(amount)")} AS spent,
-       {_M.format("sum(amount) - CASE category WHEN 'software' THEN 50000 ELSE 75000 END")} AS delta
-FROM ledger WHERE kind = 'expense' AND category IN ('software', 'travel') GROUP BY 1, 2
+       {_M.format("sum(amount) - CASE category WHEN 'software' THEN 50000 WHEN 'travel' THEN 75000 END")} AS delta
+FROM ledger WHERE kind = 'expense' GROUP BY 1, 2
 """,
     shapes="ledger",
     dates="month",
@@ -279,8 +280,8 @@ def aging(spark, sf):
     "discounts",
     """
 WITH q AS (SELECT CAST(date_trunc('quarter', started) AS DATE) AS quarter, count(*) AS engagements,
-  round_even(CAST(count_if(discount_pct > 0) AS DOUBLE) / count(*), 4) AS discount_share, count_if(value < floor) AS below_floor
-  FROM projects JOIN tiers USING (tier) GROUP BY 1)
+  round_even(CAST(count_if(discount_pct > 0) AS DOUBLE) / count(*), 4) AS discount_share, count_if(value < floor) AS below_floor, count_if(floor IS NULL) AS unknown_tier
+  FROM projects LEFT JOIN tiers USING (tier) GROUP BY 1)
 SELECT *, discount_share > 0.16 AS alarm FROM q
 """,
     shapes="projects tiers",
@@ -328,8 +329,8 @@ def triage(spark, sf):
 @query(
     "budget_lines",
     f"""
-SELECT l_orderkey AS project, l_linenumber AS line, {_M.format("sum(CAST(l_quantity AS DECIMAL(18,2)))")} AS hours,
-       {_M.format("sum(CAST(l_quantity AS DECIMAL(18,2)) * 150 + l_linenumber * 10)")} AS cost, CAST(grouping_id(l_orderkey, l_linenumber) AS BIGINT) AS level
+SELECT l_orderkey AS project, l_linenumber AS line, {_T.format("sum(CAST(l_quantity AS DECIMAL(18,2)))")} AS hours,
+       {_T.format("sum(CAST(l_quantity AS DECIMAL(18,2)) * 150 + l_linenumber * 10)")} AS cost, CAST(grouping_id(l_orderkey, l_linenumber) AS BIGINT) AS level
 FROM lineitem GROUP BY ROLLUP (l_orderkey, l_linenumber)
 """,
 )

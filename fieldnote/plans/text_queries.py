@@ -427,10 +427,10 @@ _BANNED = ["the of the", "[a-z]+tion of"]
 @query(
     "voice_leaks",
     "SELECT doc_id, source, list_transform(list_filter(['the of the', '[a-z]+tion of'], lambda p: regexp_matches(text, p, 'i')), "
-    "lambda p: regexp_extract(text, p, 0, 'i')) AS hits FROM documents WHERE lang = 'en' AND (regexp_matches(text, 'the of the', 'i') OR regexp_matches(text, '[a-z]+tion of', 'i'))",
+    "lambda p: regexp_extract(text, p, 0, 'i')) AS hits FROM documents WHERE regexp_matches(text, 'the of the', 'i') OR regexp_matches(text, '[a-z]+tion of', 'i')",
 )
 def voice_leaks(spark, sf):
-    docs = spread(S.table(spark, sf, "documents").filter("lang = 'en'"))
+    docs = spread(S.table(spark, sf, "documents"))
     return N.voice_leaks(docs, _BANNED).select("doc_id", "source", "hits")
 
 
@@ -448,11 +448,11 @@ def review_digest(spark, sf):
 
 @query(
     "review_quotes",
-    "SELECT d.lang AS product, d.source AS bucket, d.doc_id, substr(d.text, 1, 70) AS quote FROM documents d JOIN labels l USING (doc_id) WHERE l.quality + 1 > 1",
+    "SELECT d.lang AS product, d.source AS bucket, d.doc_id, d.text AS quote FROM documents d JOIN labels l USING (doc_id) WHERE l.quality + 1 > 1",
 )
 def review_quotes(spark, sf):
     docs = S.table(spark, sf, "documents").join(S.table(spark, sf, "labels"), "doc_id")
-    labelled = docs.selectExpr("doc_id", "lang AS product", "source AS bucket", "quality + 1 AS score", "substring(text, 1, 70) AS quote")
+    labelled = docs.selectExpr("doc_id", "lang AS product", "source AS bucket", "quality + 1 AS score", "text AS quote")
     return N.review_digest(labelled)[1].select("product", "bucket", "doc_id", "quote")
 
 

@@ -6,10 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from fieldnote.plans import registry
 from fieldnote.functions import ordered
 from tools.check import TABLES, compare
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +22,9 @@ def con(sf):
     return c
 
 
+# Reports of faults that a table as small as the one of the tests need not hold.
+MAY_BE_EMPTY: set[str] = set()
+
 SLOW_NODES = re.compile(r"CartesianProduct|BroadcastNestedLoopJoin|EvalPython|MapInPandas|FlatMapGroups")
 
 
@@ -31,7 +35,7 @@ def test_same_result(spark, con, sf, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not SLOW_NODES.search(plan), plan
     out = compare(df, con, ORACLES.get(name))
-    assert out.startswith(("ok", "rows-only", "EMPTY")), out
+    assert out.startswith("ok") or (name in MAY_BE_EMPTY and out == "EMPTY"), out
 
 
 SPLITTING = [
@@ -44,7 +48,7 @@ SPLITTING = [
 def test_same_result_when_keys_are_split(spark, con, sf, monkeypatch, name):
     monkeypatch.setattr(ordered, "HEAVY_ROWS", 3)
     out = compare(QUERIES[name](spark, sf), con, ORACLES[name])
-    assert out.startswith(("ok", "EMPTY")), out
+    assert out.startswith("ok"), out
 
 
 def test_every_query_has_a_twin():

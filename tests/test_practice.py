@@ -121,10 +121,10 @@ def test_budget_and_running_total(spark):
 
 def test_project_ids_pad_and_grow(spark):
     df = spark.range(1200).selectExpr("id", "date_add(DATE'2024-01-01', CAST(id % 300 AS INT)) AS d")
-    got = M.assign_project_id(df, "d", "id")
+    got = M.assign_project_id(df, "d", "id", "PRJ")
     assert got.select("project_id").distinct().count() == 1200
     ids = {r.project_id for r in got.filter("id IN (0, 1199)").collect()}
-    assert "RP-2024-001" in ids and "RP-2024-1200" in ids
+    assert "PRJ-2024-001" in ids and "PRJ-2024-1200" in ids
 
 
 def test_buffer_sees_a_long_earlier_project(spark):
