@@ -75,7 +75,8 @@ def assertion_union(universal: DataFrame, fixture: DataFrame) -> DataFrame:
 
 
 def expand(runs: DataFrame, assertions: DataFrame) -> DataFrame:
-    """One row per run and applicable assertion, in one pass over the runs.
+    """One row per run and applicable assertion, in one pass over the runs.  A run without any, or
+    with an ``error``, stays as one row without assertion, so that summaries list every run.
 
     Universal assertions (``eval`` null) meet every run of their skill, fixture assertions
     only runs of their eval.  A definition table is broadcast after its size was checked, so
@@ -83,7 +84,9 @@ def expand(runs: DataFrame, assertions: DataFrame) -> DataFrame:
     """
     rules = small(assertions).withColumnsRenamed({"skill": "_skill", "eval": "_eval"})
     here = F.col("_eval").isNull() | (F.col("_eval") == F.col("eval"))
-    return runs.join(rules, (F.col("skill") == F.col("_skill")) & here).drop("_skill", "_eval")
+    if "error" in runs.columns:
+        here = here & F.col("error").isNull()
+    return runs.join(rules, (F.col("skill") == F.col("_skill")) & here, "left").drop("_skill", "_eval")
 
 
 def grade(
@@ -95,7 +98,8 @@ def grade(
     keys: Sequence[str] = RUN_KEYS,
 ) -> DataFrame:
     """Expectations in long form: one row per run and assertion with a three-valued grade."""
-    measured = text_metrics(runs, signers).select(*keys, "body", "unquoted", "words", "lines", "ascii")
+    failed = [c for c in runs.columns if c == "error"]
+    measured = text_metrics(runs, signers).select(*keys, *failed, "body", "unquoted", "words", "lines", "ascii")
     pairs = expand(measured, assertions)
     verdict = F.when(F.col("check") == "programmatic", apply_rules(F.col("rule"), legacy))
     graded = pairs.withColumn("hits", first_hits()).withColumn("_v", verdict).select(
@@ -167,7 +171,7 @@ def run_scores(expectations: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataF
         F.count_if(prog).alias("prog_total"),
         F.count_if(qual & passed).alias("qual_passed"),
         F.count_if(qual).alias("qual_total"),
-        F.count_if(F.col("passed").isNull()).alias("pending"),
+        F.count_if(F.col("passed").isNull() & F.col("assertion_id").isNotNull()).alias("pending"),
         F.max("body_words").alias("words"),
     )
 
@@ -236,7 +240,7 @@ def failure_modes(expectations: DataFrame, modes: Sequence[str] = MODES) -> Data
     return (
         counts.withColumn("label", T.label(F.col("text")))
         .drop("text")
-        .orderBy(total.desc(), "assertion_id")
+        .orderBy(total.desc(), "assertion_id", "label")
     )
 
 

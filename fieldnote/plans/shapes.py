@@ -64,10 +64,10 @@ ASSERTIONS = [
     ("length_ok", "Body has a sensible length", "programmatic", "word_count", None, 20, 200, None, None),
     ("reads_well", "Reads well", "qualitative", None, None, None, None, None, None),
     ("is_civil", "Stays civil", "qualitative", None, None, None, None, None, None),
-    ("layout_ok", "Keeps to a few lines", "programmatic", "line_count", None, 1, 12, None, "src1"),
-    ("is_brief", "Stays brief", "programmatic", "word_count_max", None, None, 120, None, "src2"),
-    ("body_length", "Body has the older length", "programmatic", "word_count_body", None, 60, 150, None, "src3"),
-    ("has_tone", "Has the right tone", "programmatic", "tone", None, None, None, None, "src4"),
+    ("layout_ok", "Keeps to a few lines", "programmatic", "line_count", None, 1, 12, None, None),
+    ("is_brief", "Stays brief", "programmatic", "word_count_max", None, None, 120, None, None),
+    ("body_length", "Body has the older length", "programmatic", "word_count_body", None, 60, 150, None, None),
+    ("has_tone", "Has the right tone", "programmatic", "tone", None, None, None, None, None),
     ("no_numbers", "Has no long numbers, quoted or not", "programmatic", "regex_absent",
      ["[0-9][0-9][0-9]", "[0-9]+%"], None, None, False, "src5"),
     ("is_fresh", "Says something new", "qualitative", None, None, None, None, None, "src6"),
@@ -157,16 +157,16 @@ SELECT m.*, a.* EXCLUDE (skill, eval),
                  lambda p: '''' || regexp_extract(CASE WHEN coalesce(a.quote_aware, true) THEN m.unquoted ELSE m.body END, p, 0, 'i') || '''')
             WHEN a.rule = 'regex_present' THEN list_transform(list_filter(a.patterns, lambda p: regexp_matches(m.body, p, 'i')),
                  lambda p: regexp_extract(m.body, p, 0, 'i')) END AS hits
-FROM measured m JOIN assertions a ON a.skill = m.skill AND (a.eval IS NULL OR a.eval = m.eval)
+FROM measured m LEFT JOIN assertions a ON a.skill = m.skill AND (a.eval IS NULL OR a.eval = m.eval)
 """
 SHAPE_SQL["fresh"] = """
 SELECT skill, iteration, eval, mode, run_id, assertion_id, assertion AS text, "check",
-       CASE WHEN "check" = 'qualitative' THEN NULL
+       CASE WHEN "check" = 'qualitative' OR assertion_id IS NULL THEN NULL
             WHEN rule = 'regex_absent' THEN len(hits) = 0 WHEN rule = 'regex_present' THEN len(hits) > 0
             WHEN rule = 'word_count' THEN words BETWEEN coalesce("min", 0) AND coalesce("max", 10000)
             WHEN rule = 'line_count' THEN lines BETWEEN coalesce("min", 0) AND coalesce("max", 10000)
             WHEN rule = 'word_count_max' THEN words <= "max" ELSE false END AS passed,
-       CASE WHEN "check" = 'qualitative' THEN 'pending_llm_grade'
+       CASE WHEN assertion_id IS NULL THEN NULL WHEN "check" = 'qualitative' THEN 'pending_llm_grade'
             WHEN rule = 'regex_absent' THEN CASE WHEN len(hits) = 0 THEN 'none of the banned patterns appeared'
                  ELSE 'found: ' || array_to_string(hits, ', ') END
             WHEN rule = 'regex_present' THEN CASE WHEN len(hits) > 0 THEN 'matched: ' || hits[1]
@@ -192,7 +192,7 @@ SHAPE_SQL["scores"] = """
 SELECT skill, iteration, eval, mode, run_id,
        count_if("check" = 'programmatic' AND coalesce(passed, false)) AS prog_passed, count_if("check" = 'programmatic') AS prog_total,
        count_if("check" = 'qualitative' AND coalesce(passed, false)) AS qual_passed, count_if("check" = 'qualitative') AS qual_total,
-       count_if(passed IS NULL) AS pending, max(body_words) AS words
+       count_if(passed IS NULL AND assertion_id IS NOT NULL) AS pending, max(body_words) AS words
 FROM expectations GROUP BY ALL
 """
 SHAPE_SQL["totals"] = """

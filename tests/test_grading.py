@@ -143,3 +143,16 @@ def test_missing_mode_and_failures(spark):
 def test_latest_iteration(spark, compat, want):
     df = spark.createDataFrame([("s", "iteration-2", 2), ("s", "iteration-10", 10)], "skill string, iteration_name string, n int")
     assert [r.n for r in G.latest_iteration(df, compat=compat).collect()] == [want]
+
+
+def test_runs_without_assertions_and_missing_outputs_stay_in_summaries(spark):
+    runs = spark.createDataFrame([("s", 1, "e", "baseline", "r1", "a film"), ("other", 1, "e", "baseline", "r2", "three words here")], RUN)
+    missing = runs.limit(0).withColumn("error", F.lit("x")).unionByName(
+        spark.createDataFrame([("s", 1, "e", "with_skill", "r3", None, "output missing: s/iteration-1/e/with_skill")], RUN + ", error string")
+    )
+    everything = runs.withColumn("error", F.lit(None).cast("string")).unionByName(missing)
+    graded = G.grade(everything, local_table(spark, [rule("regex_absent", ["film"])], A))
+    scores = {r.run_id: (r.prog_passed, r.prog_total, r.pending, r.words) for r in G.run_scores(graded).collect()}
+    assert scores == {"r1": (0, 1, 0, 2), "r2": (0, 0, 0, 3), "r3": (0, 0, 0, None)}
+    summary = {r.run_id: (r.prog_passed, r.prog_total, r.body_words) for r in G.programmatic_summary(graded).collect()}
+    assert summary == {"r1": (0, 1, 2), "r2": (0, 0, 3), "r3": (0, 0, 0)}
