@@ -48,12 +48,17 @@ def schedule(pairs: DataFrame, seed: int = 42, batch: int = 8) -> DataFrame:
 
 
 def quota_sample(df: DataFrame, mix: dict[str, float], total: int, kind: str, key: str, seed: int = 42) -> DataFrame:
-    """``total`` rows split over classes by share, in hash order.
+    """``total`` rows split over classes by share, in hash order.  Shares are rounded by largest
+    remainders, so that the quotas add up; a class with fewer rows gives all it has, and
+    nobody else gives more for it.
 
     The fixed upper limit lets every task drop rows beyond the largest quota before the
     shuffle, so a class with most of the rows costs no more than the others.
     """
-    quota = {k: round(total * s) for k, s in mix.items()}
+    exact = {k: total * s / sum(mix.values()) for k, s in mix.items()}
+    quota = {k: int(x) for k, x in exact.items()}
+    for k in sorted(exact, key=lambda k: quota[k] - exact[k])[: total - sum(quota.values())]:
+        quota[k] += 1
     goal = None
     for name, n in quota.items():
         goal = F.when(F.col(kind) == name, n) if goal is None else goal.when(F.col(kind) == name, n)

@@ -260,6 +260,9 @@ def test_quota(spark):
 
 
 # --- governance -------------------------------------------------------------------------
+    assert P.quota_sample(df, {"warm": 0.6, "cold": 0.3, "past": 0.1}, 14, "kind", "id").count() == 14
+
+
 def test_secret_families(spark):
     secrets = ["sk-ant-" + "abc_1-x", "sk-" + "a" * 40, "apify_api_" + "Zz9", "AKIA" + "A" * 16, "gho_" + "b" * 24, "-----BEGIN RSA " + "PRIVATE KEY-----", "DB_PASSWORD = hunter2"]
     texts = [(i, f"before {s} after") for i, s in enumerate(secrets)] + [(90, "token=your-token"), (91, "nothing, a task-list")]
