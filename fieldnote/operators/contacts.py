@@ -105,10 +105,11 @@ def list_entity(df: DataFrame, **eq) -> DataFrame:
 def sla_breaches(
     messages: DataFrame, targets: Sequence[tuple[str, str, int]], opened: str = "received_at", closed: str = "answered_at"
 ) -> DataFrame:
-    """Answers slower than the target of their context.
+    """Answers that miss the target of their context.
 
     ``targets`` is (context, unit, amount); units are ``hours``, ``day`` (the same calendar
-    day) and ``business_days`` (Monday to Friday, whole days).
+    day), ``business_hours`` (hours of Monday to Friday) and ``business_days`` (Monday to Friday,
+    whole days) at most, and ``not_before_days`` at least.  A context may have several.
     """
     goal = local_table(messages.sparkSession, list(targets), "context string, unit string, amount int")
     start, end = F.to_date(opened), F.to_date(closed)
@@ -120,11 +121,18 @@ def sla_breaches(
         rest = F.pmod(n, F.lit(7))
         return (F.floor((n - rest) / 7) * 5 + F.least(rest, F.lit(5))).cast("bigint")
 
+    def weekday_minutes(ts: str) -> Column:
+        d = F.to_date(ts)
+        weekday = F.pmod(F.datediff(d, day("1970-01-05")), F.lit(7)) < 5
+        return weekdays_before(d) * 1440 + F.when(weekday, minutes_between(F.col(ts), d)).otherwise(0)
+
     business = weekdays_before(end) - weekdays_before(start)
     late = (
         F.when(F.col("unit") == "hours", waited > F.col("amount") * 60)
         .when(F.col("unit") == "day", end > start)
+        .when(F.col("unit") == "business_hours", weekday_minutes(closed) - weekday_minutes(opened) > F.col("amount") * 60)
         .when(F.col("unit") == "business_days", business > F.col("amount"))
+        .when(F.col("unit") == "not_before_days", F.datediff(end, start) < F.col("amount"))
     )
     return (
         messages.join(goal, "context")

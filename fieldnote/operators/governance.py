@@ -135,3 +135,11 @@ def anonymized(df: DataFrame, drop: Sequence[str], pseudonym: str) -> DataFrame:
 def forget(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """The rows that stay after an erasure request."""
     return df.join(ids.select(key), key, "left_anti")
+
+
+def forget_everywhere(tables: dict[str, tuple[DataFrame, str]], ids: DataFrame, key: str) -> dict[str, DataFrame]:
+    """Every table, named with the column that holds the person, without the rows of ``ids``."""
+    gone = ids.select(F.col(key).alias("_gone")).distinct()
+    return {
+        name: df.join(gone, F.col(column) == F.col("_gone"), "left_anti") for name, (df, column) in tables.items()
+    }

@@ -307,3 +307,20 @@ def test_local_table_types(spark):
     t = local_table(spark, [(1, "1.50", None)], "a int, b decimal(18,2), c array<string>")
     assert t.dtypes == [("a", "int"), ("b", "decimal(18,2)"), ("c", "array<string>")]
     assert t.first().b == D("1.50")
+
+
+def test_response_targets_with_business_hours_and_a_lower_bound(spark):
+    df = spark.createDataFrame(
+        [(1, "news", "2024-01-05 12:00:00", "2024-01-08 13:00:00"), (2, "news", "2024-01-05 12:00:00", "2024-01-08 11:00:00"),
+         (3, "ask", "2024-01-01 09:00:00", "2024-01-05 09:00:00"), (4, "ask", "2024-01-01 09:00:00", "2024-01-06 08:00:00")],
+        "id int, context string, opened string, closed string",
+    ).selectExpr("id", "context", "CAST(opened AS TIMESTAMP) AS received_at", "CAST(closed AS TIMESTAMP) AS answered_at")
+    got = C.sla_breaches(df, [("news", "business_hours", 24), ("ask", "not_before_days", 5)])
+    assert sorted(r.id for r in got.collect()) == [1, 3]
+
+
+def test_forget_everywhere(spark):
+    people = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    notes = spark.createDataFrame([(10, 1), (11, 2), (12, None)], "note int, person int")
+    left = Q.forget_everywhere({"people": (people, "id"), "notes": (notes, "person")}, people.filter("id = 1"), "id")
+    assert rows(left["people"]) == [(2, "b")] and rows(left["notes"]) == [(11, 2), (12, None)]
