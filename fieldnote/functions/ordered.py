@@ -16,12 +16,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
+from fieldnote.session import cut_lineage, small
 
-# A key is heavy above this many rows and above its share of the table; the share bounds the
-# number of heavy keys, and with it what is collected and broadcast.
+# A key is heavy above this many rows, whatever the size of the table.
 HEAVY_ROWS = 1_000_000
-MOST_HEAVY_KEYS = 10_000
 
 
 @dataclass
@@ -90,21 +90,19 @@ def _pair_keys(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, list[str
 
 
 def heavy_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """Keys with too many rows for one task, at most MOST_HEAVY_KEYS of them; None if none."""
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    """Keys with too many rows for one task; None if none.  They stay a table: nothing is collected."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    heavy = counts.filter(F.col("_n") > F.greatest(F.lit(HEAVY_ROWS), total / MOST_HEAVY_KEYS)).select(*keys)
-    found = heavy.collect()
-    return df.sparkSession.createDataFrame(found, heavy.schema) if found else None
+    found = cut_lineage(counts.filter(F.col("_n") > HEAVY_ROWS).select(*keys))
+    return None if found.isEmpty() else found
 
 
 def _mark_heavy(df: DataFrame, keys: Sequence[str], heavy: DataFrame) -> DataFrame:
-    """Flag the rows of heavy keys; the list is bounded, so it may be broadcast."""
-    listed = heavy.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.lit(True).alias("_heavy"))
+    """Flag the rows of heavy keys; a short list is broadcast, a long one joined by shuffling."""
+    listed = small(heavy).select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.lit(True).alias("_heavy"))
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_h{i}"))
-    return df.join(F.broadcast(listed), same, "left").drop(*[f"_h{i}" for i in range(len(keys))])
+    return df.join(listed, same, "left").drop(*[f"_h{i}" for i in range(len(keys))])
 
 
 def running(
@@ -129,13 +127,23 @@ def running(
     else:
         heavy = heavy_keys(df, keys) if split is None else None
         if heavy is None:
-            return df.select(*cols, *_outputs(specs, list(keys), order, [F.lit(None)] * len(specs)))
+            return _same_types(df, df.select(*cols, *_outputs(specs, list(keys), order, [F.lit(None)] * len(specs))), specs)
         df = _mark_heavy(df, keys, heavy)
         df = df.withColumn("_b", F.when(F.col("_heavy"), bucket))
     df, pair = _pair_keys(df, [*keys, "_b"])
     pairs = _carried(df.filter("_heavy"), len(keys), pair, order, specs)
     joined = df.join(pairs, pair, "left")
-    return joined.select(*cols, *_outputs(specs, pair, order, [F.col(f"_c{i}") for i in range(len(specs))]))
+    out = joined.select(*cols, *_outputs(specs, pair, order, [F.col(f"_c{i}") for i in range(len(specs))]))
+    return _same_types(df, out, specs)
+
+
+def _same_types(df: DataFrame, out: DataFrame, specs: Sequence) -> DataFrame:
+    """Decimal sums as wide as decimals get, on the split and on the plain path."""
+    for i, s in enumerate(specs):
+        kind = df.schema[f"_v{i}"].dataType if isinstance(s, RunningSum) else None
+        if isinstance(kind, DecimalType):
+            out = out.withColumn(s.out, F.col(s.out).cast(DecimalType(38, kind.scale)))
+    return out
 
 
 def _carried(df: DataFrame, width: int, pair: Sequence[str], order: Sequence[str], specs: Sequence) -> DataFrame:

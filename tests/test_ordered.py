@@ -55,14 +55,19 @@ def test_running_equals_loop(spark, monkeypatch, seed, width, heavy):
     assert {r.id: (r.n, r.s, r.m, r.mi, r.l, r.lx, r.p, r.f) for r in got} == loop(data)
 
 
-def test_heavy_keys_are_few_and_exact(spark, monkeypatch):
+def test_heavy_keys_are_exact(spark, monkeypatch):
     df = spark.createDataFrame(make(1), "k string, ts int, id int, v int")
     assert O.heavy_keys(df, ["k"]) is None
     monkeypatch.setattr(O, "HEAVY_ROWS", 150)
     assert [r.k for r in O.heavy_keys(df, ["k"]).collect()] == ["hot"]
     monkeypatch.setattr(O, "HEAVY_ROWS", 0)
-    monkeypatch.setattr(O, "MOST_HEAVY_KEYS", 3)
-    assert O.heavy_keys(df, ["k"]).count() <= 3
+    assert O.heavy_keys(df, ["k"]).count() == df.select("k").distinct().count()
+
+
+def test_both_paths_have_the_same_types(spark):
+    df = spark.createDataFrame(make(1), "k string, ts int, id int, v int").withColumn("d", F.col("v").cast("decimal(18,2)"))
+    plain, cut = (O.running(df, ["k"], ["ts", "id"], F.col("ts"), [O.RunningSum("s", F.col("d"))], split=x) for x in (False, True))
+    assert plain.schema == cut.schema and dict(plain.dtypes)["s"] == "decimal(38,2)"
 
 
 def test_running_without_key(spark):
