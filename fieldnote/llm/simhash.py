@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldnote.llm import scan
@@ -75,18 +75,23 @@ def _fingerprints(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(out.astype(np.uint8), axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id, fp (64 bits as a long) and a hash of the text for every row."""
+def fingerprints(docs: DataFrame, words: int = 4, coarse: int | None = None) -> DataFrame:
+    """doc_id, fp (64 bits as a long) and a hash of the text for every row; with ``coarse`` also
+    the fingerprint over shingles of that many words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    sizes, names = ([words], ["fp"]) if coarse is None else ([words, coarse], ["fp", "coarse"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_fingerprints(h, n) for h, n in _hashes(batch.column(2), words)] or [np.zeros(0, np.uint64)]
-            fp = pa.array(np.concatenate(found).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp], ["doc_id", "text_hash", "fp"])
+            prints = []
+            for size in sizes:
+                found = [_fingerprints(h, n) for h, n in _hashes(batch.column(2), size)] or [np.zeros(0, np.uint64)]
+                prints.append(pa.array(np.concatenate(found).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *prints], ["doc_id", "text_hash", *names])
 
     return ready(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
-        run, f"doc_id {kind}, text_hash long, fp long"
+        run, f"doc_id {kind}, text_hash long, " + ", ".join(f"{n} long" for n in names)
     )
 
 
@@ -104,24 +109,84 @@ def _signed(x: int) -> int:
 def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
     """Pairs (u, v) of distinct fingerprints with at most ``distance`` differing bits."""
     masks = _segments(distance)
-    of_bit = [next(m for m in masks if m >> b & 1) for b in range(64)]
-    entries = F.array(*[F.struct(F.lit(b).cast("byte").alias("bit"), F.col("fp").bitwiseAND(F.lit(_signed(of_bit[b] & ~(1 << b)))).alias("rest")) for b in range(64)])
-    index = distinct.select("fp", F.explode(entries).alias("e")).select("fp", "e.bit", "e.rest")
+    index = _index(distinct.select("fp"), "fp", masks)
     differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    # The first segment with at most one differing bit, and in it that bit or else its lowest.
-    home = F.lit(None).cast("long")
-    for m in reversed(masks):
-        inside = differ.bitwiseAND(F.lit(_signed(m)))
-        lowest = F.lit(_signed(m & -m))
-        home = F.when(F.bit_count(inside) <= 1, F.when(inside == 0, lowest).otherwise(inside)).otherwise(home)
     here = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("a.bit").cast("int"))
     return index.alias("a").join(
         index.alias("b"),
         (F.col("a.bit") == F.col("b.bit")) & (F.col("a.rest") == F.col("b.rest")) & (F.col("a.fp") < F.col("b.fp"))
-        & (F.bit_count(differ) <= distance) & (home == here),
+        & (F.bit_count(differ) <= distance) & (_home(differ, masks) == here),
     ).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
 
+def _home(differ: Column, masks: list[int]) -> Column:
+    """The first segment with at most one differing bit, and in it that bit or else its lowest."""
+    home = F.lit(None).cast("long")
+    for m in reversed(masks):
+        inside = differ.bitwiseAND(F.lit(_signed(m)))
+        home = F.when(F.bit_count(inside) <= 1, F.when(inside == 0, F.lit(_signed(m & -m))).otherwise(inside)).otherwise(home)
+    return home
+
+
+def _index(nodes: DataFrame, column: str, masks: list[int]) -> DataFrame:
+    """``nodes`` once for each bit, with the rest of the bit's segment of ``column``."""
+    of_bit = [next(m for m in masks if m >> b & 1) for b in range(64)]
+    entries = F.array(*[F.struct(F.lit(b).cast("byte").alias("bit"), F.col(column).bitwiseAND(F.lit(_signed(of_bit[b] & ~(1 << b)))).alias("rest")) for b in range(64)])
+    return nodes.select("*", F.explode(entries).alias("e")).select("*", "e.bit", "e.rest").drop("e")
+
+
+HUBS = 4
+
+
+def similar_groups(docs: DataFrame, words: int = 5, bits: int = 12, coarse_bits: int = 3) -> DataFrame:
+    """doc_id, text_hash and component of every row, for a similarity of about 0.8 on shingles of ``words`` words.
+
+    At that similarity a fingerprint over shingles differs in some ten bits, beyond what segments
+    can index.  Single words change far less, so that a second fingerprint over them is
+    indexed with deletion variants (``coarse_bits``) and the one over shingles verifies (``bits``).
+
+    A large group of near copies is not compared pair by pair: every index entry has a few hubs, to
+    which its members are linked where they verify; after that only members of different
+    components are compared, which loses no link between components.
+    """
+    prints = cut_lineage(fingerprints(docs, words, 1).withColumn("node", F.xxhash64("fp", "coarse")))
+    nodes = cut_lineage(prints.select("node", "fp", "coarse").distinct())
+    masks = _segments(coarse_bits)
+    index = _index(nodes, "coarse", masks)
+
+    def close(a: str, b: str) -> Column:
+        near = lambda c: F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
+        return (near("coarse") <= coarse_bits) & (near("fp") <= bits)
+
+    member = F.struct("node", "fp", "coarse")
+    hubs = index.groupBy("bit", "rest").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array(*[F.min_by(member, F.xxhash64("node", F.lit(i))) for i in range(HUBS)]).alias("hubs"),
+    ).filter("n > 1").select("bit", "rest", "hubs")
+    linked = index.alias("a").join(hubs.alias("h"), ["bit", "rest"]).select(
+        F.struct("a.node", "a.fp", "a.coarse").alias("a"), F.explode(F.array_distinct("hubs")).alias("h")
+    ).filter((F.col("a.node") != F.col("h.node")) & close("a", "h")).select(
+        F.col("a.node").alias("u"), F.col("h.node").alias("v")
+    ).distinct()
+    linked = cut_lineage(linked)
+    first = components(linked)
+    labelled = cut_lineage(nodes.join(first.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select(
+        "node", "fp", "coarse", F.coalesce("component", "node").alias("component")
+    ))
+    again = _index(labelled, "coarse", masks)
+    here = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("a.bit").cast("int"))
+    rest = again.alias("a").join(
+        again.alias("b"),
+        (F.col("a.bit") == F.col("b.bit")) & (F.col("a.rest") == F.col("b.rest")) & (F.col("a.node") < F.col("b.node"))
+        & (F.col("a.component") != F.col("b.component")) & close("a", "b")
+        & (_home(F.col("a.coarse").bitwiseXOR(F.col("b.coarse")), masks) == here),
+    ).select(F.col("a.component").alias("u"), F.col("b.component").alias("v"))
+    joined = components(linked.unionByName(rest))
+    return prints.join(joined.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select(
+        "doc_id", "text_hash", F.coalesce("component", "node").alias("component")
+    )
+
+
 def groups(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
     """doc_id, text_hash, fp and component (the smallest fingerprint reachable) of every row."""
     prints = cut_lineage(fingerprints(docs, words))
@@ -141,9 +206,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
     )
 
 
-def first_of_each(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
-    """The document with the smallest id of each component (null ids last), once; columns as in ``docs``."""
-    rows = groups(docs, words, distance)
+def first_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The document with the smallest id of each component of ``rows`` (null ids last), once; columns as in ``docs``."""
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     kept = rows.groupBy("component").agg(least).select(F.col("first.doc_id").alias("i"), F.col("first.text_hash").alias("h"))
     same = F.col("d.doc_id").eqNullSafe(F.col("k.i")) & (F.xxhash64("d.text") == F.col("k.h"))

@@ -124,10 +124,33 @@ def test_simhash(docs):
             least[of[p]].append(i)
     want = [(i, f"{p:016x}", min(least[of[p]], default=None)) for i, p in prints]
     assert _got(simhash.near_duplicates(docs)) == sorted(want, key=repr)
-    kept = simhash.first_of_each(docs).collect()
+    kept = simhash.first_of_each(docs, simhash.groups(docs)).collect()
     assert len(kept) == len(set(of.values())) and kept[0].__fields__ == docs.columns
 
 
+def test_similar_groups(spark, docs):
+    """A group of near copies is one component in whichever way its members meet; others stay apart."""
+    rng = random.Random(8)
+    base = [rng.choice(VOCABULARY) + str(rng.randrange(500)) for _ in range(300)]
+    rows = []
+    for i in range(60):
+        ws = list(base)
+        for _ in range(3):
+            ws[rng.randrange(300)] = "new" + str(rng.randrange(10**6))
+        rows.append((1000 + i, " ".join(ws)))
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = defaultdict(set)
+    for r in simhash.similar_groups(more).collect():
+        got[r.component].add(r.doc_id)
+    near = {r[0] for r in rows}
+    assert max(len(g & near) for g in got.values()) >= 57
+    assert all(not (g - near) for g in got.values() if g & near)
+    prints = {r[0]: (_fingerprint(r[1], 5), _fingerprint(r[1], 1)) for r in more.collect()}
+    close = lambda a, b: (a[0] ^ b[0]).bit_count() <= 12 and (a[1] ^ b[1]).bit_count() <= 3
+    of = _classes(set(prints.values()), close)
+    assert len(got) == len({of[p] for p in prints.values()} | {of[(_fingerprint(r[1], 5), _fingerprint(r[1], 1))] for r in more.collect()})
+
+
 def test_links_are_whole(spark):
     rng = random.Random(3)
     prints = {0, (1 << 64) - 1}
@@ -361,7 +384,7 @@ def test_language_model(docs, block_bytes):
 
 def test_empty_tables(spark, none):
     assert phrases.dedup(none).count() == suffix.dedup(none).count() == lm.score(none).count() == 0
-    assert simhash.near_duplicates(none).count() == simhash.first_of_each(none).count() == 0
+    assert simhash.near_duplicates(none).count() == simhash.first_of_each(none, simhash.similar_groups(none)).count() == 0
     assert mixing.mixture(none).count() == mixing.mix(none).count() == 0
     assert packing.pack(spark, packing.pieces(none, queries._tokenizer())).count() == 0
     assert secret_scan.scan_secrets(none).count() == secret_scan.redact(none).count() == quality.keep(none).count() == 0
