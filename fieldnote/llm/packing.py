@@ -16,10 +16,13 @@ no rows; rows alike in id and text are packed each for itself; extra columns are
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,38 +31,93 @@ from fieldnote.session import cut_lineage
 
 CAPACITY = 2048
 # Words whose ids a worker keeps; beyond it starts anew.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_000_000
 # Pieces that one numbering task holds.
 PIECES_PER_BUCKET = 100_000
+# Bytes of text encoded at once.
+TEXT_BYTES = 1 << 21
+# Letters of ASCII and Latin-1, then marks that end a word of their own; no apostrophe, nothing of a special token.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*)")
 _held: dict = {}
 
 
 class _Ids(dict):
-    """Ids (little-endian, 32 bits) of blank-separated words, encoded in batches."""
+    """Ids (little-endian, 32 bits) of blank-separated words.
+
+    New words are encoded together.  A word of plain letters, with or without plain marks
+    behind them, is put together from these two, which most texts share; others go to the
+    tokenizer as they are."""
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.raw = hasattr(self.tokenizer, "encode_batch_fast")
-
-    def of(self, text: str) -> bytes:
-        words = text.split(" ")
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            pass
-        new = [w for w in set(words) if w not in self]
-        if len(self) + len(new) > CACHED_WORDS:
+        self.parts: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        # Word ends are marked and case is dropped: then parts may be encoded side by side.
+        self.whole = not self.closes.any() or self._direct(["Aa bB"]) != self._direct(["aa bb"])
+
+    def _direct(self, words: list[str]) -> list[bytes]:
+        encode = self.tokenizer.encode_batch_fast
+        return [np.array(e.ids, "<u4").tobytes() for e in encode(words, add_special_tokens=False)]
+
+    def _encode_parts(self, new: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        ends = 4 * (np.flatnonzero(self.closes[ids]) + 1)
+        if len(ends) == len(new) and ends[-1] == 4 * len(ids):
+            data, begin = ids.tobytes(), 0
+            for part, end in zip(new, ends.tolist()):
+                self.parts[part] = data[begin:end]
+                begin = end
+        else:
+            self.parts.update(zip(new, self._direct(new)))
+
+    def learn(self, words: set[str]) -> None:
+        if len(self) + len(words) > CACHED_WORDS:
             self.clear()
-            new = list(set(words))
-        encode = self.tokenizer.encode_batch_fast if self.raw else self.tokenizer.encode_batch
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, encode(part, add_special_tokens=False)):
-                self[w] = b"".join(x.to_bytes(4, "little") for x in e.ids)
-        return b"".join(map(self.__getitem__, words))
+        if len(self.parts) > CACHED_WORDS:
+            self.parts = {"": b""}
+        plain, odd, parts = [], [], set()
+        for w in words:
+            m = None if self.whole else _PLAIN.fullmatch(w)
+            if m:
+                one, two = m[1].lower(), m[2]
+                plain.append((w, one, two))
+                parts.add(one)
+                parts.add(two)
+            else:
+                odd.append(w)
+        unknown = list(parts - self.parts.keys())
+        for i in range(0, len(unknown), 20_000):
+            self._encode_parts(unknown[i : i + 20_000])
+        for w, one, two in plain:
+            self[w] = self.parts[one] + self.parts[two]
+        for i in range(0, len(odd), 4096):
+            self.update(zip(odd[i : i + 4096], self._direct(odd[i : i + 4096])))
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        split = [t.split(" ") for t in texts]
+        found = [list(map(self.get, words)) for words in split]
+        gaps = [_places(ids, None) for ids in found]
+        if any(gaps):
+            self.learn({words[i] for words, at in zip(split, gaps) for i in at})
+            for words, ids, at in zip(split, found, gaps):
+                for i in at:
+                    ids[i] = self[words[i]]
+        return [b"".join(ids) for ids in found]
+
+
+def _places(values: list, wanted) -> list[int]:
+    out, i = [], -1
+    try:
+        while True:
+            i = values.index(wanted, i + 1)
+            out.append(i)
+    except ValueError:
+        return out
 
 
 def _encoder(path: str) -> _Ids:
@@ -80,11 +138,17 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, closing: i
         step = 4 * capacity
         for batch in batches:
             out: list[tuple] = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = ids.of(text.as_py() or "") + end
-                for i in range(0, len(data), step):
-                    part = data[i : i + step]
-                    out.append((key, i // step, i // 4, len(part) // 4, zlib.crc32(part)))
+            keys, at, n = batch.column(0).to_pylist(), 0, len(batch)
+            size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+            upto = np.cumsum(size)
+            while at < n:
+                stop = max(at + 1, int(np.searchsorted(upto, upto[at] - size[at] + TEXT_BYTES, "right")))
+                for key, data in zip(keys[at:stop], ids.of([t or "" for t in batch.column(1)[at:stop].to_pylist()])):
+                    data += end
+                    for i in range(0, len(data), step):
+                        part = data[i : i + step]
+                        out.append((key, i // step, i // 4, len(part) // 4, zlib.crc32(part)))
+                at = stop
             cols = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], batch.schema.field(0).type), pa.array(cols[1], pa.int32())] + [pa.array(c, pa.int64()) for c in cols[2:]],
