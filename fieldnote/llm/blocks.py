@@ -16,6 +16,7 @@ grouping and shuffling of ``part`` and ``block``; nothing reaches the driver.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -65,8 +66,16 @@ def blocked(docs: DataFrame, n: int, *more: str) -> DataFrame:
     return ready(docs).select(*cols).withColumn("block", block(F.col("doc_id").cast("long"))).repartition(n, "block")
 
 
+def give_back() -> None:
+    """Returns what the last group's arrays held to the system, where the C library can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def ordered(table: pa.Table) -> pa.Table:
     """A block's rows by id (null first) and text."""
+    give_back()
     keys = pa.table({"i": table["doc_id"], "t": table["text"]})
     at = pa.compute.sort_indices(keys, sort_keys=[("i", "ascending"), ("t", "ascending")], null_placement="at_start")
     return table.take(at)
@@ -128,14 +137,19 @@ class Keys:
     def __len__(self) -> int:
         return len(self.first)
 
-    def ask(self, block: int, *extra: np.ndarray) -> pa.Table:
-        """One row for each part, also for parts without a key."""
+    def ask(self, block: int, *extra: np.ndarray, note: list[bytes] | None = None) -> pa.Table:
+        """One row for each part, also for parts without a key.  ``note``: what the block will want
+        to know again, which comes back with the answers."""
         data = []
         for p in range(self.parts):
             a, b = self.edges[p], self.edges[p + 1]
             data.append([squeeze(c[a:b], i == 0) for i, c in enumerate(self.columns)] + [squeeze(x[a:b]) for x in extra])
+        parts = list(range(self.parts))
+        if note is not None:
+            data.append(note)
+            parts.append(-1 - block)
         return pa.table(
-            [pa.array(range(self.parts), pa.int32()), pa.array([block] * self.parts, pa.int64()), pa.array(data, pa.list_(pa.binary()))],
+            [pa.array(parts, pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array(data, pa.list_(pa.binary()))],
             schema=_REQUEST,
         )
 
@@ -148,13 +162,17 @@ def answer(
     arrays that every block gets whole.  ``numbered``: it gets the number of the part too."""
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
+        part = table["part"][0].as_py()
+        if part < 0:
+            same = pa.array([-stage] * len(table), pa.int32())
+            return pa.table([table["block"], table["part"], same, table["data"]], schema=_REPLY)
         table = table.sort_by("block")
         blocks = table["block"].to_pylist()
         rows = table["data"].to_pylist()
         columns = [[expand(r[i], k, i == 0) for r in rows] for i, k in enumerate(kinds)]
         sizes = [len(c) for c in columns[0]]
         whose = np.repeat(np.arange(len(rows)), sizes)
-        part = table["part"][0].as_py()
         out, same = fn([np.concatenate(c) for c in columns], whose, *[part] * numbered), []
         if isinstance(out, tuple):
             out, same = out
@@ -175,6 +193,11 @@ def replies(table: pa.Table, stage: int, kinds: list) -> list[np.ndarray]:
     return [np.concatenate([expand(r[i], k) for r in rows]) if rows else np.zeros(0, k) for i, k in enumerate(kinds)]
 
 
+def note_of(table: pa.Table, stage: int) -> list[bytes]:
+    """What the block noted when it asked."""
+    return table.filter(pa.compute.equal(table["stage"], -stage))["data"][0].as_py()
+
+
 def groups_of(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Number of the group of equal keys for each key (groups in sorted order), and a stable order by group."""
     order = np.lexsort(columns[::-1]) if len(columns) > 1 else np.argsort(columns[0], kind="stable")

@@ -99,26 +99,34 @@ def _occurrences(words: _Words, recurring: np.ndarray, phrase: int) -> np.ndarra
 
 
 class _Block:
-    """A block's passes; each works out anew what the one before did."""
+    """A block's passes.  The automaton runs once; where its phrases begin is noted for the last pass."""
 
-    def __init__(self, table: pa.Table, parts: int, window: int, phrase: int):
+    def __init__(self, table: pa.Table, parts: int, window: int, phrase: int, anchored: bool = True):
         self.table = B.ordered(table)
         self.window, self.phrase = window, phrase
         self.parts = parts
         self.chunks = [(i, j, _Words(data, at)) for i, j, data, at in B.texts(self.table)]
+        if not anchored:
+            return
         found = [_anchors(w, window, phrase) for *_, w in self.chunks]
         self.places = [p for p, _ in found]
         self.anchors = B.Keys([np.concatenate([h for _, h in found] or [np.zeros(0, np.uint64)])], parts)
 
-    def confirm(self, recur: np.ndarray) -> None:
-        """Candidate windows, given which anchors recur."""
+    def stream(self, recur: np.ndarray) -> list[np.ndarray]:
+        """For each chunk where recurring phrases begin, given which anchors recur."""
         again = recur.astype(bool)[self.anchors.inverse]
         cuts = np.cumsum([0, *map(len, self.places)])
-        self.windows, keys, checks = [], [], []
+        out = []
         for (_, _, words), places, a, b in zip(self.chunks, self.places, cuts, cuts[1:]):
             inverse = self.anchors.inverse[a:b][again[a:b]]
             _, one = np.unique(inverse, return_index=True)
-            hit = _occurrences(words, places[again[a:b]][one], self.phrase)
+            out.append(_occurrences(words, places[again[a:b]][one], self.phrase))
+        return out
+
+    def confirm(self, hits: list[np.ndarray]) -> None:
+        """Candidate windows: those with a recurring phrase."""
+        self.windows, keys, checks = [], [], []
+        for (_, _, words), hit in zip(self.chunks, hits):
             valid = words.ranges(self.window)
             width = self.window - self.phrase + 1
             near = np.cumsum(np.concatenate(([0], hit)))
@@ -186,12 +194,14 @@ def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, block_byt
 
     def windows(key: tuple[pa.Scalar, ...], table: pa.Table, said: pa.Table) -> pa.Table:
         b = _Block(table, n, window, phrase)
-        b.confirm(B.replies(said, 1, [np.uint8])[0])
-        return b.keys.ask(key[0].as_py())
+        hits = b.stream(B.replies(said, 1, [np.uint8])[0])
+        b.confirm(hits)
+        return b.keys.ask(key[0].as_py(), note=[B.squeeze(np.packbits(x)) for x in hits])
 
     def result(key: tuple[pa.Scalar, ...], table: pa.Table, said: pa.Table) -> pa.Table:
-        b = _Block(table, n, window, phrase)
-        b.confirm(B.replies(said, 1, [np.uint8])[0])
+        b = _Block(table, n, window, phrase, anchored=False)
+        noted = [np.unpackbits(B.expand(x, np.uint8)) for x in B.note_of(said, 2)]
+        b.confirm([bits[: len(words.starts)].astype(bool) for bits, (_, _, words) in zip(noted, b.chunks)])
         n_words, n_removed, digests, kept = [], [], [], []
         for (_, _, words), gone in zip(b.chunks, b.removed(B.replies(said, 2, [np.uint8])[0])):
             flat, lo, hi = _kept(words, ~gone)
@@ -207,6 +217,6 @@ def dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, block_byt
     recur = B.answer(held.groupBy("block").applyInArrow(anchors, B.REQUEST), 1, [np.uint64, np.uint8], _recurs)
     asked = held.groupBy("block").cogroup(recur.groupBy("block")).applyInArrow(windows, B.REQUEST)
     earlier = B.answer(asked, 2, [np.uint64, np.uint32], B.seen_before)
-    return held.groupBy("block").cogroup(recur.unionByName(earlier).groupBy("block")).applyInArrow(
+    return held.groupBy("block").cogroup(earlier.groupBy("block")).applyInArrow(
         result, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + (", kept string" if texts else "")
     )

@@ -12,7 +12,7 @@ IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 # Bytes of text worked on at once; a longer text is worked on alone.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
