@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from fieldnote.llm.workers import ready
 from fieldnote.session import cut_lineage
 
-SAMPLE, PROBES, BRANCHES, LEAF = 20_000, 128, 8, 96
+SAMPLE, PROBES, BRANCHES, LEAF = 20_000, 128, 8, 256
 # Vectors of a leaf that one group holds.
 PER_SALT = 20_000
 # Candidate rows multiplied at once.
@@ -128,8 +128,8 @@ def _level(v: np.ndarray, longest: float) -> np.ndarray:
 
 
 def usable(table: DataFrame, key: str, vector: str) -> DataFrame:
-    """id and v (array<double>) of the vectors that take part."""
-    v = F.col(vector).cast("array<double>")
+    """id and v (as stored) of the vectors that take part."""
+    v = F.col(vector)
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     return table.select(F.col(key).alias("id"), v.alias("v")).filter(F.coalesce(sound, F.lit(False)))
 
@@ -172,7 +172,7 @@ def search(table: DataFrame, key: str = "vec_id", vector: str = "embedding", eve
     spark = table.sparkSession
     whole = ready(usable(table, key, vector))
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    size = whole.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
+    size = whole.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))).first()
     if not size[0]:
         return empty
     longest = float(size[1])
@@ -185,7 +185,8 @@ def search(table: DataFrame, key: str = "vec_id", vector: str = "embedding", eve
         for b in batches:
             yield b.assign(leaf=shared.value.find(_level(_matrix(b["v"]), longest)) if len(b) else np.zeros(0, np.int64))
 
-    indexed = cut_lineage(whole.mapInPandas(place, "id long, v array<double>, leaf long"))
+    kind = table.schema[vector].dataType.simpleString()
+    indexed = cut_lineage(whole.mapInPandas(place, f"id long, v {kind}, leaf long"))
 
     probe_rows = drawn.head(probes)
     pid, pv = probe_rows["id"].to_numpy(), _matrix(probe_rows["v"])
@@ -208,15 +209,16 @@ def search(table: DataFrame, key: str = "vec_id", vector: str = "embedding", eve
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                leaves = [shared.value.order(p, visits, sizes, k + 1) for p in _level(_matrix(b["v"]), longest)]
-                yield b[["id", "v"]].assign(leaf=leaves).explode("leaf").astype({"leaf": "int64"})
+                yield b[["id", "v"]].assign(leaves=[shared.value.order(p, visits, sizes, k + 1) for p in _level(_matrix(b["v"]), longest)])
 
     # At most one row for each leaf, which the sample bounds.
     sizes = dict(map(tuple, indexed.groupBy("leaf").count().collect()))
     salts = [(leaf, -(-n // PER_SALT)) for leaf, n in sizes.items()]
     counts = F.broadcast(spark.createDataFrame(salts, "leaf long, salts int"))
     queries = indexed.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    routed = queries.mapInPandas(route, "id long, v array<double>, leaf long").join(counts, "leaf").select(
+    # The leaves of a query are unfolded row by row in the JVM; in Python a batch would hold them all.
+    found = queries.mapInPandas(route, f"id long, v {kind}, leaves array<long>")
+    routed = found.select("id", "v", F.explode("leaves").alias("leaf")).join(counts, "leaf").select(
         "leaf", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "id", "v"
     )
     dealt = indexed.join(counts, "leaf").select("leaf", F.pmod(F.xxhash64("id", "v"), F.col("salts")).cast("int").alias("salt"), "id", "v")
