@@ -3,7 +3,8 @@
 The tree is fitted on a sample of at most ``sample`` vectors (documented bound; it sets the
 centroids only) and every vector is indexed.  A query goes best bin first: a priority queue
 of branches, the nearest centroid next, yields the leaves in order; a query visits as many
-leaves as calibration asks for.
+leaves as calibration asks for.  The sample's own best are candidates from the start, and what scores
+less than the k-th of them is not passed on.
 
 Calibration widens the visits: for up to ``probes`` vectors the true neighbours are found by
 brute force over all rows, and the visits are set so that the leaves first in order hold the
@@ -166,7 +167,7 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def search(table: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, recall: float = 0.97,
+def search(table: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, recall: float = 0.95,
            sample: int = SAMPLE, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest of each row whose id is divisible by ``every``."""
     spark = table.sparkSession
@@ -206,10 +207,27 @@ def search(table: DataFrame, key: str = "vec_id", vector: str = "embedding", eve
         ranks += [at[x] for x in rows["leaf"]]
     visits = int(np.quantile(ranks, recall, method="higher")) + 1 if ranks else tree.leaves
 
+    sampled = _matrix(drawn["v"])
+    known = spark.sparkContext.broadcast((drawn["id"].to_numpy(), sampled, tree.find(_level(sampled, longest))))
+
+    def start(q: np.ndarray, own: int, leaves: list[int]) -> tuple[float, np.ndarray, np.ndarray]:
+        """A score that the k-th neighbour reaches (that of the k-th best of the sample, a hair lower for
+        rounding), and those of the sample's k best that lie in none of the leaves."""
+        ids, v, at = known.value
+        other = np.flatnonzero(ids != own)
+        scores = v[other] @ q
+        best = _best(ids[other], scores, k)
+        least = float(scores[best[-1]]) - 1e-9 * longest**2 if len(best) == k else -np.inf
+        best = best[~np.isin(at[other[best]], leaves)]
+        return least, ids[other[best]], scores[best]
+
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield b[["id", "v"]].assign(leaves=[shared.value.order(p, visits, sizes, k + 1) for p in _level(_matrix(b["v"]), longest)])
+                v = _matrix(b["v"])
+                leaves = [shared.value.order(p, visits, sizes, k + 1) for p in _level(v, longest)]
+                least, ids, scores = zip(*[start(q, i, x) for q, i, x in zip(v, b["id"], leaves)])
+                yield b[["id", "v"]].assign(least=least, ids=ids, scores=scores, leaves=leaves)
 
     # At most one row for each leaf, which the sample bounds.
     sizes = dict(map(tuple, indexed.groupBy("leaf").count().collect()))
@@ -217,15 +235,22 @@ def search(table: DataFrame, key: str = "vec_id", vector: str = "embedding", eve
     counts = F.broadcast(spark.createDataFrame(salts, "leaf long, salts int"))
     queries = indexed.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
     # The leaves of a query are unfolded row by row in the JVM; in Python a batch would hold them all.
-    found = queries.mapInPandas(route, f"id long, v {kind}, leaves array<long>")
-    routed = found.select("id", "v", F.explode("leaves").alias("leaf")).join(counts, "leaf").select(
-        "leaf", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "id", "v"
+    begun = cut_lineage(queries.mapInPandas(
+        route, f"id long, v {kind}, least double, ids array<long>, scores array<double>, leaves array<long>"
+    ))
+    seeds = begun.select(F.col("id").alias("query_id"), F.explode(F.arrays_zip("ids", "scores")).alias("s")).select(
+        "query_id", F.col("s.ids").alias("id"), F.col("s.scores").alias("score")
+    )
+    routed = begun.select("id", "v", "least", F.explode("leaves").alias("leaf")).join(counts, "leaf").select(
+        "leaf", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "id", "v", "least"
     )
     dealt = indexed.join(counts, "leaf").select("leaf", F.pmod(F.xxhash64("id", "v"), F.col("salts")).cast("int").alias("salt"), "id", "v")
 
     def compare(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         found = list(_top((q["id"].to_numpy(), _matrix(q["v"])), c["id"].to_numpy(), _matrix(c["v"]), k)) if len(q) and len(c) else []
-        return found[0] if found else pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        if found:
+            return found[0][found[0]["score"] >= found[0]["query_id"].map(dict(zip(q["id"], q["least"])))]
+        return pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
 
     found = routed.groupBy("leaf", "salt").cogroup(dealt.groupBy("leaf", "salt")).applyInPandas(compare, "query_id long, id long, score double")
-    return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+    return _ranked(found.unionByName(seeds), k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
