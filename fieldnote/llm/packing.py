@@ -30,8 +30,8 @@ from fieldnote.llm.workers import ready
 from fieldnote.session import cut_lineage
 
 CAPACITY = 2048
-# Words whose ids a worker keeps; beyond it starts anew.
-CACHED_WORDS = 1_000_000
+# Words, and parts of words, whose ids a worker keeps; beyond it starts anew.
+CACHED_WORDS, CACHED_PARTS = 400_000, 600_000
 # Pieces that one numbering task holds.
 PIECES_PER_BUCKET = 100_000
 # Bytes of text encoded at once.
@@ -65,7 +65,8 @@ class _Ids(dict):
         return [np.array(e.ids, "<u4").tobytes() for e in encode(words, add_special_tokens=False)]
 
     def _encode_parts(self, new: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        (encoded,) = self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)
+        ids = np.array(encoded.ids, "<u4")
         ends = 4 * (np.flatnonzero(self.closes[ids]) + 1)
         if len(ends) == len(new) and ends[-1] == 4 * len(ids):
             data, begin = ids.tobytes(), 0
@@ -78,23 +79,29 @@ class _Ids(dict):
     def learn(self, words: set[str]) -> None:
         if len(self) + len(words) > CACHED_WORDS:
             self.clear()
-        if len(self.parts) > CACHED_WORDS:
+        if len(self.parts) > CACHED_PARTS:
             self.parts = {"": b""}
-        plain, odd, parts = [], [], set()
+        letters, marked, odd = {}, [], []
         for w in words:
-            m = None if self.whole else _PLAIN.fullmatch(w)
-            if m:
-                one, two = m[1].lower(), m[2]
-                plain.append((w, one, two))
-                parts.add(one)
-                parts.add(two)
+            if self.whole:
+                odd.append(w)
+            elif w.isascii() and w.isalpha():
+                letters[w] = w.lower()
+            elif m := _PLAIN.fullmatch(w):
+                one, two = m.groups()
+                marked.append((w, one.lower(), two))
             else:
                 odd.append(w)
+        parts = set(letters.values())
+        parts.update(one for _, one, _ in marked)
+        parts.update(two for _, _, two in marked)
         unknown = list(parts - self.parts.keys())
         for i in range(0, len(unknown), 20_000):
             self._encode_parts(unknown[i : i + 20_000])
-        for w, one, two in plain:
-            self[w] = self.parts[one] + self.parts[two]
+        known = self.parts
+        self.update(zip(letters, map(known.__getitem__, letters.values())))
+        for w, one, two in marked:
+            self[w] = known[one] + known[two]
         for i in range(0, len(odd), 4096):
             self.update(zip(odd[i : i + 4096], self._direct(odd[i : i + 4096])))
 
