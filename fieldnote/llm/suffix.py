@@ -38,6 +38,8 @@ from fieldnote.llm import blocks as B
 from fieldnote.llm import scan
 
 LENGTH, GRAM = 100, 50
+# Input bytes of a block: smaller than elsewhere, as a block of copies sorts most of its bytes.
+BLOCK_BYTES = 3 << 20
 _U = np.uint64
 # The symbols of a triple, and the triples of the second round, are so far apart.
 _SYMBOL, _TRIPLE = 8, 24
@@ -211,15 +213,16 @@ def _names(parts: int):
     return ranks
 
 
-def dedup(docs: DataFrame, block_bytes: int = B.BLOCK_BYTES, texts: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (with ``texts`` also the kept bytes) of every document."""
     n = B.count_for(docs, block_bytes)
+    parts = -(-n // 2)
     held = B.blocked(docs, n)
     kind = docs.schema["doc_id"].dataType.simpleString()
     triple = [_U, _U, _U]
 
     def settled(table: pa.Table, said: pa.Table) -> _Block:
-        b = _Block(table, n)
+        b = _Block(table, parts)
         b.settle(B.replies(said, 1, [np.uint8])[0])
         return b
 
@@ -227,7 +230,7 @@ def dedup(docs: DataFrame, block_bytes: int = B.BLOCK_BYTES, texts: bool = False
         return B.replies(said, stage, [_U])[0]
 
     def ask_runs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return _Block(table, n).runs.ask(key[0].as_py())
+        return _Block(table, parts).runs.ask(key[0].as_py())
 
     def ask_triples(key: tuple[pa.Scalar, ...], table: pa.Table, said: pa.Table) -> pa.Table:
         return settled(table, said).triples().ask(key[0].as_py())
@@ -266,9 +269,9 @@ def dedup(docs: DataFrame, block_bytes: int = B.BLOCK_BYTES, texts: bool = False
     blocks = held.groupBy("block")
     said = B.answer(blocks.applyInArrow(ask_runs, B.REQUEST), 1, [_U, np.uint32], _contexts)
     asked = blocks.cogroup(said.groupBy("block")).applyInArrow(ask_triples, B.REQUEST)
-    said = said.unionByName(B.answer(asked, 2, triple, _names(n), numbered=True))
+    said = said.unionByName(B.answer(asked, 2, triple, _names(parts), numbered=True))
     asked = blocks.cogroup(said.groupBy("block")).applyInArrow(ask_names, B.REQUEST)
-    said = said.unionByName(B.answer(asked, 3, triple, _names(n), numbered=True))
+    said = said.unionByName(B.answer(asked, 3, triple, _names(parts), numbered=True))
     asked = blocks.cogroup(said.groupBy("block")).applyInArrow(ask_entries, B.REQUEST)
     said = said.unionByName(B.answer(asked, 4, triple, B.seen_before))
     return blocks.cogroup(said.groupBy("block")).applyInArrow(
