@@ -267,13 +267,15 @@ def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, texts: bool = False)
         return pa.table(cols | ({"kept": pa.array(kept, pa.binary())} if texts else {}))
 
     blocks = held.groupBy("block")
-    said = B.answer(blocks.applyInArrow(ask_runs, B.REQUEST), 1, [_U, np.uint32], _contexts)
+    # Each answer is dealt to the blocks once; the passes after it reuse that exchange.
+    back = lambda replies: replies.repartition(n, "block")
+    said = back(B.answer(blocks.applyInArrow(ask_runs, B.REQUEST), 1, [_U, np.uint32], _contexts))
     asked = blocks.cogroup(said.groupBy("block")).applyInArrow(ask_triples, B.REQUEST)
-    said = said.unionByName(B.answer(asked, 2, triple, _names(parts), numbered=True))
+    said = said.unionByName(back(B.answer(asked, 2, triple, _names(parts), numbered=True)))
     asked = blocks.cogroup(said.groupBy("block")).applyInArrow(ask_names, B.REQUEST)
-    said = said.unionByName(B.answer(asked, 3, triple, _names(parts), numbered=True))
+    said = said.unionByName(back(B.answer(asked, 3, triple, _names(parts), numbered=True)))
     asked = blocks.cogroup(said.groupBy("block")).applyInArrow(ask_entries, B.REQUEST)
-    said = said.unionByName(B.answer(asked, 4, triple, B.seen_before))
+    said = said.unionByName(back(B.answer(asked, 4, triple, B.seen_before)))
     return blocks.cogroup(said.groupBy("block")).applyInArrow(
         result, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "")
     )
