@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from fieldnote.llm import ann, lm, mixing, packing, phrases, quality, queries, secret_scan, simhash, suffix, url_rules
+from fieldnote.llm import ann, lm, mixing, near, packing, phrases, quality, queries, secret_scan, simhash, suffix, url_rules
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, block int, fp string, size string, _n int, ledger string, place int"
 VOCABULARY = "the of and der die und la le que alpha beta gamma delta rain river stone cloud window market".split()
@@ -151,6 +151,48 @@ def test_similar_groups(spark, docs):
     assert len(got) == len({of[p] for p in prints.values()} | {of[(_fingerprint(r[1], 5), _fingerprint(r[1], 1))] for r in more.collect()})
 
 
+def _jaccard(a, b, words=5):
+    sets = [{tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def _edited(rng, ws, how, share):
+    n, new = len(ws), lambda k: [f"new{rng.randrange(10**9)}" for _ in range(k)]
+    k = max(1, round(share * n))
+    if how == "append":
+        return ws + new(k)
+    if how == "cut":
+        return ws[k:]
+    if how == "block":
+        at = rng.randrange(n - k)
+        return ws[:at] + new(k) + ws[at + k :]
+    at = set(rng.sample(range(n), max(1, k // 5)))
+    return [new(1)[0] if i in at else w for i, w in enumerate(ws)]
+
+
+def _edited_pairs(shares, each):
+    """(id of the text, id of its edited copy, their similarity) and the rows."""
+    rng = random.Random(12)
+    rows, pairs = [], []
+    for how in ("append", "cut", "block", "scattered"):
+        for i in range(each):
+            ws = [f"{rng.choice(VOCABULARY)}{rng.randrange(5000)}" for _ in range(rng.randrange(60, 400))]
+            a, b = " ".join(ws), " ".join(_edited(rng, ws, how, rng.uniform(*shares)))
+            pairs.append((len(rows), len(rows) + 1, _jaccard(a, b)))
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    return pairs, rows
+
+
+def test_similar_pairs_are_met(spark):
+    """Recall against exact similarity, for text added, cut, swapped in one piece or word by word."""
+    pairs, rows = _edited_pairs((0.02, 0.2), 100)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    of = {r.doc_id: r.component for r in near.similar_groups(docs).collect()}
+    met = [of[a] == of[b] for a, b, j in pairs if j >= 0.8]
+    print("recall", sum(met), len(met))
+    assert len(met) > 200 and sum(met) >= 0.99 * len(met)
+
+
 def test_links_are_whole(spark):
     rng = random.Random(3)
     prints = {0, (1 << 64) - 1}
