@@ -193,6 +193,19 @@ def test_similar_pairs_are_met(spark):
     assert len(met) > 200 and sum(met) >= 0.99 * len(met)
 
 
+def test_pairs_below_the_similarity_stay_apart(spark, docs):
+    """Neither a pair below 0.8 nor anything beside exact components is joined."""
+    pairs, rows = _edited_pairs((0.15, 0.4), 40)
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10_000 + i, t) for i, t in rows], "doc_id long, text string"))
+    got = near.similar_groups(more).collect()
+    of = {r.doc_id: r.component for r in got}
+    below = [(a, b) for a, b, j in pairs if j < 0.8]
+    assert len(below) > 80 and all(of[10_000 + a] != of[10_000 + b] for a, b in below)
+    texts = {" ".join((t or "").lower().split()) for _, t in more.collect()}
+    classes = _classes(texts, lambda a, b: a == b or bool(a and b) and _jaccard(a, b) >= 0.8)
+    assert len(set(of.values())) <= len({r.component for r in got}) == len(set(classes.values()))
+
+
 def test_links_are_whole(spark):
     rng = random.Random(3)
     prints = {0, (1 << 64) - 1}
