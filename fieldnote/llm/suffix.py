@@ -20,7 +20,8 @@ Before the sort, windows that cannot matter are set aside, exactly: each window
 least hash of the 50-byte strings in it), consecutive windows with one anchor form a run.  An anchor that
 occurs in a single context has no repeated window; a run whose whole context occurs
 earlier is repeated as a whole; only the first run of each context of an anchor with several
-contexts goes into the sort.  Contexts are compared by 96 bits of hash.
+contexts goes into the sort.  Contexts under one anchor are compared by 96 bits of their own: a hash of their bytes
+(64) and an independent one over the hashes of their 50-byte strings (32).
 
 Defined results: a null text is empty; rows with one id count as documents one after the other, in
 order of their text; matches never cross rows; an empty table gives an empty result; extra columns are ignored.
@@ -52,7 +53,8 @@ class _Chunk:
         self.data, self.at = data, at
         self.lo = self.hi = np.zeros(0, np.int64)
         self.anchor = np.zeros(0, _U)
-        self.context = np.zeros(0, np.uint32)
+        self.context = np.zeros(0, _U)
+        self.further = np.zeros(0, np.uint32)
         self.tied = np.zeros(0, bool)
         self.residual = np.zeros(0, np.int64)
         n = len(data) - LENGTH + 1
@@ -73,7 +75,8 @@ class _Chunk:
         closes[:-1] &= ~valid[1:] | (least[1:] != least[:-1])
         self.lo, self.hi = np.flatnonzero(opens), np.flatnonzero(closes)
         self.anchor = least[self.lo]
-        self.context = (scan.between(sums, self.lo, self.hi + LENGTH) >> _U(32)).astype(np.uint32)
+        self.context = scan.between(sums, self.lo, self.hi + LENGTH)
+        self.further = (scan.between(scan.prefix(grams), self.lo, self.hi + width) >> _U(32)).astype(np.uint32)
         # A run that reaches beyond the first place of its anchor may repeat within itself.
         place = self.lo.copy()
         todo = np.flatnonzero(grams[place] != self.anchor)
@@ -139,7 +142,7 @@ class _Block:
     def __init__(self, table: pa.Table, parts: int):
         self.table, self.parts = B.ordered(table), parts
         self.chunks = [_Chunk(data, at) for _, _, data, at in B.texts(self.table)]
-        self.runs = B.Keys([_joined([c.anchor for c in self.chunks], _U), _joined([c.context for c in self.chunks], np.uint32)], parts)
+        self.runs = B.Keys([_joined([c.anchor for c in self.chunks], _U), _joined([c.context for c in self.chunks], _U), _joined([c.further for c in self.chunks], np.uint32)], parts)
 
     def settle(self, said: np.ndarray) -> None:
         """Which runs repeat as a whole, and the windows left for the sort."""
@@ -269,7 +272,7 @@ def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, texts: bool = False)
     blocks = held.groupBy("block")
     # Each answer is dealt to the blocks once; the passes after it reuse that exchange.
     back = lambda replies: replies.repartition(n, "block")
-    said = back(B.answer(blocks.applyInArrow(ask_runs, B.REQUEST), 1, [_U, np.uint32], _contexts))
+    said = back(B.answer(blocks.applyInArrow(ask_runs, B.REQUEST), 1, [_U, _U, np.uint32], _contexts))
     asked = blocks.cogroup(said.groupBy("block")).applyInArrow(ask_triples, B.REQUEST)
     said = said.unionByName(back(B.answer(asked, 2, triple, _names(parts), numbered=True)))
     asked = blocks.cogroup(said.groupBy("block")).applyInArrow(ask_names, B.REQUEST)

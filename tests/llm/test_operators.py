@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -92,6 +93,15 @@ def test_suffixes(docs, block_bytes):
     assert sum(r[2] for r in want) > 500
 
 
+def test_contexts_of_one_anchor_stay_apart():
+    """A passage of many documents with different neighbours has as many contexts: 32 bits take some for one."""
+    passage = "".join(random.Random(3).choices("abcdefghijklmnop ", k=94))
+    n = 300_000
+    table = pa.table({"doc_id": np.arange(n), "text": [f"{passage}{i:06d}" for i in range(n)]})
+    block = suffix._Block(table, 1)
+    assert len(block.runs) == n and np.unique(block.runs.columns[0], return_counts=True)[1].max() > n // 2
+
+
 def _fingerprint(text, words=4):
     ws = (text or "").encode().lower().split()
     grams = [b" ".join(ws[i : i + words]) for i in range(max(1, len(ws) - words + 1))] if ws else []
