@@ -2,7 +2,7 @@
 dictionary of identifiers helps to compress.
 
 Dictionary-primed zstandard novelty: a candidate stands in a sensitive context (a word such
-as key, token or credential shortly before it).  The text around it, without the candidate,
+as key, token or credential shortly before or after it, on any line, or a candidate right before it).  The text around it, without the candidate,
 and common identifiers prime a compressor; the marginal compressed bytes of the candidate
 over its length are its novelty.  Names, paths and repeated words compress, random keys
 do not.
@@ -15,7 +15,9 @@ kept by ``redact``.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,11 +31,13 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-CONTEXT = re.compile(r"(?i:passw|passphrase|secret|token|api.?key|private.?key|access.?key|credential|authori[sz]ation|bearer)[^\n]{0,48}")
+KEYWORD = re.compile(r"(?i:passw|passphrase|secret|token|api.?key|private.?key|access.?key|credential|authori[sz]ation|bearer)", re.S)
+# Characters before and after a keyword in which a candidate may end or begin, over line breaks.
+REACH = 48
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 # Which texts need a closer look; RE2 reads them all at once.
 BASE_HINT = r"""(?i:password|passwd|secret|token|api_?key)["']? *[:=] *["']?[A-Za-z0-9+/_.=-]{6}|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
-CONTEXT_HINT = r"(?i:passw|passphrase|secret|token|api.?key|private.?key|access.?key|credential|authori[sz]ation|bearer)"
+CONTEXT_HINT = r"(?is:passw|passphrase|secret|token|api.?key|private.?key|access.?key|credential|authori[sz]ation|bearer)"
 IDENTIFIERS = (
     b"access account address api application authentication authorization bearer client config connection credential "
     b"database default description development endpoint environment example expires function generate github header "
@@ -65,21 +69,54 @@ def novelty(text: str, start: int, end: int) -> float:
     return (len(press.compress(word)) - len(press.compress(b""))) / len(word)
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Strings near a keyword, and those that follow such a string with nothing but blanks between (a key over several lines)."""
+    words = [(m.start(), m.end()) for m in KEYWORD.finditer(text)]
+    out, at, last = [], 0, -1
+    for m in CANDIDATE.finditer(text) if words else ():
+        a, b = m.span()
+        while at < len(words) and words[at][1] + REACH <= a:
+            at += 1
+        near = at < len(words) and words[at][0] - REACH <= b
+        if near or last >= 0 and not text[last:a].strip():
+            out.append((a, b))
+            last = b
+        else:
+            last = -1
+    return out
+
+
+def _cuts(text: str, a: int, b: int) -> Iterator[list[tuple[int, int]]]:
+    """The string, and its parts from each keyword in it or behind keywords and equals signs: names in front do not dilute it."""
+    yield [(a, b)]
+    words = list(KEYWORD.finditer(text, a, b))
+    signs = [m.end() for m in re.compile("=+").finditer(text, a, b)]
+    for at in ([m.start() for m in words], sorted({m.end() for m in words} | set(signs))):
+        edges = [a, *at, b]
+        yield [(x, y) for x, y in zip(edges, edges[1:]) if y - x >= 16 and (x, y) != (a, b)]
+
+
+def _letters_help(text: str, start: int, end: int) -> bool:
+    """Whether a string of letters alone costs less by the letter pairs of the text around and the identifiers than as random letters."""
+    letters = [w.lower() for w in re.findall("[A-Za-z]+", text[start:end])]
+    if re.search("[0-9]", text[start:end]) or not letters:
+        return False
+    around = (text[max(0, start - AROUND) : start] + " " + text[end : end + AROUND] + " " + IDENTIFIERS.decode()).lower()
+    pairs, firsts = Counter(), Counter()
+    for w in re.findall("[a-z]+", around):
+        pairs.update(zip(w, w[1:]))
+        firsts.update(w[:-1])
+    cost = [math.log2((firsts[a] + 2.6) / (pairs[a, b] + 0.1)) for w in letters for a, b in zip(w, w[1:])]
+    return sum(cost) < len(cost) * math.log2(26)
+
+
 def novel_spans(text: str, known: list[tuple[int, int, int]], least: float = 0.8) -> list[tuple[int, int, int]]:
     """Candidates in a sensitive context that are new and outside the ``known`` spans."""
-    found: dict[int, int] = {}
-    for c in CONTEXT.finditer(text):
-        for m in CANDIDATE.finditer(text, c.start()):
-            if m.start() >= c.end():
-                break
-            found[m.start()] = m.end()
+    new = lambda a, b: novelty(text, a, b) >= least and not _letters_help(text, a, b)
     out = []
-    for a, b in sorted(found.items()):
-        word = text[a:b]
-        if not (any(x.isdigit() for x in word) and any(x.isalpha() for x in word)):
-            continue
-        if not any(a < e and s < b for s, _, e in known) and novelty(text, a, b) >= least:
-            out.append((a, 3, b))
+    for a, b in candidates(text):
+        if not any(a < e and s < b for s, _, e in known):
+            out += [(x, 3, y) for x, y in next(filter(None, ([c for c in cut if new(*c)] for cut in _cuts(text, a, b))), [])]
     return out
 
 
