@@ -438,6 +438,17 @@ def test_context_of_secrets():
     assert found(f"{key} stands far away from it: " + "word " * 20 + " token") == []
 
 
+@pytest.mark.parametrize("letters", ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_long_random_keys_are_novel(letters):
+    rng = random.Random(4)
+    for n in (20, 63, 64, 65, 96, 256, 1024, 4000):
+        for _ in range(10):
+            w = "".join(rng.choices(letters, k=n))
+            assert secret_scan.novel_spans(f"the token is {w} here", []) == [(13, 3, 13 + n)]
+    for w in ("ab12" * 40, "0123456789" * 20, "A1" * 500):
+        assert secret_scan.novel_spans(f"the token is {w} here", []) == []
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 30, 3000])
 def test_language_model(docs, block_bytes):
     rows = [(r[0], [w.decode() for w in (r[1] or "").encode().lower().split()] + [None]) for r in DOCS]
