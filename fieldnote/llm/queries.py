@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldnote.llm import ann, lm, mixing, packing, phrases, quality, secret_scan, simhash, suffix, url_rules
-from fieldnote.session import local_table
+from fieldnote.llm import ann, lm, mixing, packing, phrases, quality, resampling, secret_scan, simhash, suffix, url_rules, warc, whitening
+from fieldnote.session import local_table, scratch_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -155,3 +155,36 @@ def op7_nearest_neighbours(spark, sf):
 @query("op4_suffix_dedup")
 def op4_suffix_dedup(spark, sf):
     return suffix.dedup(read(spark, sf, "documents"))
+
+
+@query("op11_warc", sql="""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, row_number() OVER () AS k FROM pages),
+q AS (
+  SELECT page_id, h, row_number() OVER w AS r, first_value(page_id) OVER w AS top
+  FROM p WINDOW w AS (PARTITION BY h ORDER BY page_id DESC NULLS LAST, k)
+)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest,
+  CASE WHEN r > 1 AND strlen(h) >= 1000 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN r > 1 AND strlen(h) >= 1000 THEN top END AS refers_to
+FROM q
+""")
+def op11_warc(spark, sf):
+    path = scratch_path(spark, "archives")
+    warc.write(read(spark, sf, "pages"), path)
+    found = warc.resolved(warc.captures(warc.read(spark, path)))
+    return found.select(
+        F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest",
+        F.col("type").alias("record_type"), F.col("referred").cast("long").alias("refers_to"),
+    )
+
+
+@query("op12_embedding_whitening")
+def op12_embedding_whitening(spark, sf):
+    found = whitening.whiten(read(spark, sf, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query("op13_importance_resampling")
+def op13_importance_resampling(spark, sf):
+    found = resampling.scored(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
