@@ -310,7 +310,9 @@ def _links(records: DataFrame) -> DataFrame:
 
 
 def captures(records: DataFrame) -> DataFrame:
-    """One row per capture: its record, and nested in it ``requests`` and ``metadata``."""
+    """One row per capture: its record, and nested in it ``requests`` and ``metadata``.  The records are cut off in the shared
+    folder, so that the archives are parsed once."""
+    records = cut_lineage(records)
     links = _links(records)
     many = links.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PER_ROW)
     parts = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / PER_ROW)
