@@ -11,8 +11,10 @@ from fieldnote import schemas
 from fieldnote.operators import snapshots as N
 from fieldnote.plans.registry import query
 from fieldnote.session import scratch_path, spread
+from fieldnote.sources import landing as L
 from fieldnote.sources import records as R
 from fieldnote.sources import sinks as K
+from fieldnote.sources.keyed import KeyedTable
 
 
 def expectations(spark, sf):
@@ -582,3 +584,47 @@ def upsert_metrics(spark, sf):
     agg = [F.count(F.lit(1)).alias("posts"), F.max("ts").alias("seen")]
     batch = new.groupBy("user_id").agg(*agg).withColumn("posts", F.when(F.col("user_id") % 3 != 0, F.col("posts")))
     return K.upsert_metrics(old.groupBy("user_id").agg(*agg), batch, "user_id")
+
+
+@query(
+    "upsert_metrics_table",
+    """
+WITH b AS (SELECT user_id, ts, CASE WHEN ts < TIMESTAMP '2024-01-10' THEN 0 WHEN ts < TIMESTAMP '2024-01-20' THEN 1 ELSE 2 END AS n FROM events),
+g AS (SELECT user_id, n, CASE WHEN user_id % 3 <> n THEN count(*) END AS posts, max(ts) AS seen FROM b GROUP BY 1, 2)
+SELECT user_id, arg_max(posts, n) FILTER (posts IS NOT NULL) AS posts, max(seen) AS seen FROM g GROUP BY 1
+""",
+    times="seen",
+)
+def upsert_metrics_table(spark, sf):
+    """Three batches of scraped figures merged into a keyed table; what a later one lacks stays."""
+    e = S.table(spark, sf, "events")
+    part = F.when(F.col("ts") < "2024-01-10", 0).when(F.col("ts") < "2024-01-20", 1).otherwise(2)
+    figures = e.groupBy("user_id", part.alias("n")).agg(F.count(F.lit(1)).alias("posts"), F.max("ts").alias("seen"))
+    figures = figures.withColumn("posts", F.when(F.col("user_id") % 3 != F.col("n"), F.col("posts")))
+    held = KeyedTable(spark, scratch_path(spark, "metrics"), ["user_id"], figures.drop("n").schema)
+    for n in range(3):
+        held.upsert(figures.filter(F.col("n") == n).drop("n"), n, fill=True, unique=True)
+    return held.read()
+
+
+@query(
+    "landed_records",
+    "SELECT slug, org, status, touch_count + CASE WHEN status = 'responded' THEN 100 ELSE 0 END AS touch_count, created FROM prospects",
+    shapes="prospects",
+    dates="created",
+)
+def landed_records(spark, sf):
+    """A folder with a note per prospect is landed, some notes are rewritten, and what changed is landed again."""
+    notes, at = scratch_path(spark, "notes"), scratch_path(spark, "landed")
+    p = S.prospects(spark, sf)
+    names = [c for c, _ in schemas.PROSPECT if c in p.columns]
+
+    def put(rows):
+        text = rows.select("slug", R.render_record(names).alias("text"))
+        text.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slug").text(notes)
+        return L.land(spark, notes, at, "*.txt")
+
+    put(p)
+    put(p.filter("status = 'responded'").withColumn("touch_count", F.col("touch_count") + 100))
+    slug = F.concat(F.regexp_extract("path", "slug=([^/]+)/", 1), F.lit(".md"))
+    return R.parse_records(L.landed(spark, at).withColumn("path", slug), schemas.PROSPECT).select("slug", "org", "status", "touch_count", "created")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from fieldnote.operators.contacts import contact_state
 from fieldnote.operators.grading import grade, settled
 from fieldnote.session import scratch_path
+from fieldnote.sources.files import Folder
+from fieldnote.sources.keyed import KeyedTable
 
 
 def read_stream(spark: SparkSession, path: str, schema, per_trigger: int | None = None) -> DataFrame:
@@ -22,18 +24,13 @@ def read_stream(spark: SparkSession, path: str, schema, per_trigger: int | None
     reader = spark.readStream.schema(schema)
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
-    where, fs = _at(spark, path)
-    if fs.exists(where) and fs.getFileStatus(where).isFile():  # a stream reads folders: this file of its folder
-        return reader.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
+    at = Folder(spark, path)
+    if at.is_file():  # a stream reads folders: this file of its folder
+        folder, _, name = path.rpartition("/")
+        return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(path)
 
 
-def _at(spark: SparkSession, path: str):
-    """``path`` and its file system, whichever that is."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 # --- running a stream over what is there ------------------------------------------------
 def drain_append(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Run to the end of the input with the exactly-once file sink and read the result."""
@@ -49,13 +46,15 @@ def drain_append(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
 
 
 def drain_updates(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], mode: str = "update") -> DataFrame:
-    """Write changed rows per micro-batch and read the newest row of each key.
+    """Merge the changed rows of each micro-batch into a keyed table and read that.
 
-    A batch that is run again overwrites its own folder, so a retry changes nothing.
+    A batch reads and rewrites the buckets that its keys fall into, however many batches there were; one that is run
+    again changes nothing.
     """
+    table = KeyedTable(stream.sparkSession, path, keys, stream.schema)
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        table.upsert(batch, number, writer=checkpoint, unique=True)
 
     query = (
         stream.writeStream.foreachBatch(save)
@@ -65,15 +64,7 @@ def drain_updates(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[
         .start()
     )
     query.awaitTermination()
-    if not _batches(stream.sparkSession, path):
-        return stream.sparkSession.createDataFrame([], stream.schema)
-    return newest(stream.sparkSession, path, keys, stream.columns)
-
-
-def _batches(spark: SparkSession, path: str) -> list[str]:
-    """Folders of micro-batches below ``path``, seen through Spark's own file system."""
-    where, fs = _at(spark, path)
-    return [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
+    return table.read()
 
 
 def drain_late(touches: DataFrame, ends: Column, lateness: str, path: str, checkpoint: str) -> DataFrame:
@@ -81,31 +72,29 @@ def drain_late(touches: DataFrame, ends: Column, lateness: str, path: str, check
     out, because the window or session that a row would open, which ends at ``ends``, was closed
     when the row came.
 
-    The latest ``ts`` of each micro-batch is written beside the rows.  A batch is held against the
+    The latest ``ts`` of all batches so far is written beside the rows of each.  A batch is held against the
     watermark that closed windows at the end of the batch before it, which is made of the batches up to the one
-    before that.
+    before that: of one earlier mark.
     """
     spark = touches.sparkSession
+    marks = Folder(spark, f"{path}/marks")
     late = touches.withColumn("_ends", ends)
 
     def save(batch: DataFrame, number: int) -> None:
-        seen = [n for n in _batches(spark, f"{path}/marks") if int(n[6:]) < number - 1]
+        def mark(n: int) -> DataFrame | None:
+            return spark.read.schema("ts timestamp").parquet(f"{path}/marks/batch={n}") if marks.exists(f"batch={n}") else None
+
         rows = batch.withColumn("_mark", F.lit(None).cast("timestamp"))
-        if seen:
-            top = spark.read.parquet(*[f"{path}/marks/{n}" for n in seen]).agg(F.max("ts").alias("_top"))
+        if closed := mark(number - 2):
+            top = closed.agg(F.max("ts").alias("_top"))
             rows = batch.join(F.broadcast(top.select((F.col("_top") - F.expr(f"INTERVAL {lateness}")).alias("_mark"))))
         rows.filter(F.col("_ends") <= F.col("_mark")).drop("_mark", "_ends").write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
-        batch.agg(F.max("ts").alias("ts")).write.mode("overwrite").parquet(f"{path}/marks/batch={number}")
+        seen, before = batch.select("ts"), mark(number - 1)
+        seen = seen.unionByName(before) if before else seen
+        seen.agg(F.max("ts").alias("ts")).write.mode("overwrite").parquet(f"{path}/marks/batch={number}")
 
     late.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(touches.schema).parquet(f"{path}/rows") if _batches(spark, f"{path}/rows") else spark.createDataFrame([], touches.schema)
-
-
-def newest(spark: SparkSession, path: str, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Latest row per key over all batches, as an aggregate."""
-    written = spark.read.option("basePath", path).parquet(path)
-    last = written.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("r"))
-    return last.select("r.*")
+    return spark.read.schema(touches.schema).parquet(f"{path}/rows") if Folder(spark, f"{path}/rows").names() else spark.createDataFrame([], touches.schema)
 
 
 def fresh_paths(spark: SparkSession, name: str) -> tuple[str, str]:
@@ -201,12 +190,27 @@ def grade_stream(
     prior: Callable[[], DataFrame | None] = lambda: None,
 ) -> DataFrame:
     """Grade outputs as they land.  The newest grade of a (run, assertion) wins; grading the
-    same output again gives the same rows, and ``prior`` keeps qualitative grades."""
-    kept = prior()
-    kept = None if kept is None else settled(kept).select("run_id", "assertion_id", "_old.*").withColumn("seq", F.lit(0))
+    same output again gives the same rows, and ``prior`` keeps qualitative grades.
+
+    Earlier grades are dealt by run once, so that a micro-batch reads those of its buckets, and the
+    grades go to a keyed table of which it rewrites the buckets that its runs fall into.
+    """
+    spark = runs.sparkSession
+    given = prior()
+    old = None
+    if given is not None:
+        kept = settled(given).select("run_id", "assertion_id", "_old.*").withColumn("seq", F.lit(0))
+        old = KeyedTable(spark, f"{path}-prior", ["run_id", "assertion_id"], kept.schema, deal_by=["run_id"])
+        old.upsert(kept, unique=True)
+
+    def graded(batch: DataFrame) -> DataFrame:
+        return grade(batch, assertions, None if old is None else old.near(batch))
+
+    none = spark.createDataFrame([], runs.schema)
+    table = KeyedTable(spark, path, ["run_id", "assertion_id"], grade(none, assertions).schema, deal_by=["run_id"])
 
     def save(batch: DataFrame, number: int) -> None:
-        grade(batch, assertions, kept).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        table.upsert(graded(batch), number, writer=checkpoint)
 
     query = (
         runs.writeStream.foreachBatch(save)
@@ -215,9 +219,4 @@ def grade_stream(
         .start()
     )
     query.awaitTermination()
-    spark = runs.sparkSession
-    if not _batches(spark, path):
-        none = spark.createDataFrame([], runs.schema)
-        return grade(none, assertions, kept)
-    columns = [c for c in spark.read.parquet(path).columns if c != "batch"]
-    return newest(spark, path, ["run_id", "assertion_id"], columns)
+    return table.read()
