@@ -12,8 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fieldnote.functions.text import is_ascii
-
 Rule = Callable[[], Column]
 RULES: dict[str, Rule] = {}
 
@@ -28,23 +26,6 @@ def verdict(passed: Column, evidence: Column) -> Column:
     return F.struct(passed.alias("passed"), evidence.alias("evidence"))
 
 
-def _pattern(p: Column) -> Column:
-    """Ignore case and treat letters of every script as letters.
-
-    When text and pattern are both ASCII the cheaper ASCII matching finds the same.
-    """
-    plain = F.col("ascii") & is_ascii(p)
-    return F.concat(F.when(plain, "(?i)(?:").otherwise("(?iU)(?:"), p, F.lit(")"))
-
-
-def first_hits() -> Column:
-    """First match of every matching pattern; only bans may look past quoted spans."""
-    past_quotes = (F.col("rule") == "regex_absent") & F.coalesce(F.col("quote_aware"), F.lit(True))
-    text = F.when(past_quotes, F.col("unquoted")).otherwise(F.col("body"))
-    matching = F.filter(F.col("patterns"), lambda p: F.regexp_like(text, _pattern(p)))
-    return F.transform(matching, lambda p: F.call_function("regexp_extract", text, _pattern(p), F.lit(0)))
-
-
 def regex_absent() -> Column:
     hits = F.transform(F.col("hits"), lambda h: F.concat(F.lit("'"), h, F.lit("'")))
     found = F.concat(F.lit("found: "), F.array_join(hits, ", "))

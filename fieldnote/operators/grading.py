@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldnote.functions import text as T
-from fieldnote.functions.rules import apply_rules, first_hits
+from fieldnote.functions.patterns import PatternIndex, hits_of
+from fieldnote.functions.rules import apply_rules
 from fieldnote.functions.stats import pct
-from fieldnote.session import small
+from fieldnote.session import BROADCAST_BYTES, BROADCAST_ROWS, small
 
 MODES = ("with_skill", "baseline")
 PENDING = "pending_llm_grade"
@@ -29,7 +30,7 @@ def latest_iteration(df: DataFrame, name: str = "iteration_name", compat: str =
     ranked = df.withColumn("_rank", rank)
     newest = ranked.groupBy(F.col("skill").alias("_skill")).agg(F.max("_rank").alias("_max"))
     hit = F.col("skill").eqNullSafe(F.col("_skill")) & (F.col("_rank") == F.col("_max"))
-    return ranked.join(small(newest), hit, "left_semi").drop("_rank")
+    return ranked.join(newest, hit, "left_semi").drop("_rank")
 
 
 def expected_grid(specs: DataFrame, iterations: DataFrame, modes: Sequence[str] = MODES) -> DataFrame:
@@ -48,8 +49,9 @@ def with_missing(runs: DataFrame, grid: DataFrame) -> DataFrame:
     return runs.withColumn("error", F.lit(None).cast("string")).unionByName(absent, allowMissingColumns=True)
 
 
-def text_metrics(runs: DataFrame, signers: Sequence[str] = (), text: str = "text") -> DataFrame:
-    """Body, quote-free body, word and line counts, each computed once per document.
+def text_metrics(runs: DataFrame, signers: Sequence[str] = (), text: str = "text", index: PatternIndex | None = None) -> DataFrame:
+    """Body, quote-free body, word and line counts, each computed once per document, and with an
+    ``index`` the first match of each of its patterns (``found``).
 
     They are built inside one higher-order function, which Spark evaluates before the next
     operator.  As plain columns they would be deferred into the join with the assertions and
@@ -66,6 +68,9 @@ def text_metrics(runs: DataFrame, signers: Sequence[str] = (), text: str = "text
         )
 
     measured = T.let(T.extract_body(F.col(text), signers), measure)
+    if index is not None:
+        kept = ("body", "unquoted", "words", "lines", "ascii")
+        measured = T.let(measured, lambda m: F.struct(*[m[c].alias(c) for c in kept], index.found(m).alias("found")))
     return runs.withColumn("_m", measured).select("*", "_m.*").drop("_m")
 
 
@@ -74,15 +79,16 @@ def assertion_union(universal: DataFrame, fixture: DataFrame) -> DataFrame:
     return universal.unionByName(fixture, allowMissingColumns=True)
 
 
-def expand(runs: DataFrame, assertions: DataFrame) -> DataFrame:
+def expand(runs: DataFrame, assertions: DataFrame, few: bool | None = None) -> DataFrame:
     """One row per run and applicable assertion, in one pass over the runs.  A run without any, or
     with an ``error``, stays as one row without assertion, so that summaries list every run.
 
     Universal assertions (``eval`` null) meet every run of their skill, fixture assertions
-    only runs of their eval.  A definition table is broadcast after its size was checked, so
-    the texts stay where they were read.
+    only runs of their eval.  A definition table is broadcast after its size was checked (``few``: by the
+    caller), so the texts stay where they were read.
     """
-    rules = small(assertions).withColumnsRenamed({"skill": "_skill", "eval": "_eval"})
+    rules = small(assertions) if few is None else F.broadcast(assertions) if few else assertions
+    rules = rules.withColumnsRenamed({"skill": "_skill", "eval": "_eval"})
     here = F.col("_eval").isNull() | (F.col("_eval") == F.col("eval"))
     if "error" in runs.columns:
         here = here & F.col("error").isNull()
@@ -97,12 +103,18 @@ def grade(
     legacy: bool = False,
     keys: Sequence[str] = RUN_KEYS,
 ) -> DataFrame:
-    """Expectations in long form: one row per run and assertion with a three-valued grade."""
+    """Expectations in long form: one row per run and assertion with a three-valued grade.
+
+    All patterns of the assertions are tried on a text before the assertions multiply it; what is multiplied are its
+    counts and first matches (and its texts only if a rule of one's own reads them).
+    """
     failed = [c for c in runs.columns if c == "error"]
-    measured = text_metrics(runs, signers).select(*keys, *failed, "body", "unquoted", "words", "lines", "ascii")
-    pairs = expand(measured, assertions)
+    index = PatternIndex.of(assertions)
+    measured = text_metrics(runs, signers, index=index).select(*keys, *failed, "body", "unquoted", "words", "lines", "ascii", "found")
+    few = index.rows <= BROADCAST_ROWS and index.bytes <= BROADCAST_BYTES
+    pairs = expand(measured, assertions.withColumn("_places", index.places_of(F.col("patterns"))), few)
     verdict = F.when(F.col("check") == "programmatic", apply_rules(F.col("rule"), legacy))
-    graded = pairs.withColumn("hits", first_hits()).withColumn("_v", verdict).select(
+    graded = pairs.withColumn("hits", hits_of(F.col("_places"))).withColumn("_v", verdict).select(
         *keys,
         "assertion_id",
         F.col("assertion").alias("text"),
@@ -149,17 +161,19 @@ def classify(expectations: DataFrame, assertions: DataFrame) -> DataFrame:
 
     An id defined under both classes yields a row for each; an id defined nowhere drops out.
     """
-    # All definitions of an id as one short list, so that each expectation joins once.
-    defs = (
-        assertions.filter(F.col("check").isin("programmatic", "qualitative"))
-        .groupBy(F.col("skill").alias("_skill"), F.col("assertion_id").alias("_id"))
-        .agg(F.collect_set(F.struct("eval", "check")).alias("_defs"))
-    )
+    defs = assertions.filter(F.col("check").isin("programmatic", "qualitative")).select(
+        F.col("skill").alias("_skill"), F.col("eval").alias("_eval"), F.col("assertion_id").alias("_id"), F.col("check").alias("_check")
+    ).distinct()
+    everywhere = defs.filter("_eval IS NULL").drop("_eval")
+    # What holds for all evals already needs no second row for one of them.
+    for_one = defs.filter("_eval IS NOT NULL").join(everywhere, ["_skill", "_id", "_check"], "left_anti")
+    plain = expectations.drop("check")
     here = (F.col("skill") == F.col("_skill")) & (F.col("assertion_id") == F.col("_id"))
-    meant = F.filter("_defs", lambda d: d["eval"].isNull() | (d["eval"] == F.col("eval")))
-    classes = F.array_distinct(F.transform(meant, lambda d: d["check"]))
-    found = expectations.drop("check").join(small(defs), here)
-    return found.withColumn("check", F.explode(classes)).drop("_skill", "_id", "_defs")
+    both = [
+        plain.join(small(everywhere), here).drop("_skill", "_id"),
+        plain.join(small(for_one), here & (F.col("eval") == F.col("_eval"))).drop("_skill", "_id", "_eval"),
+    ]
+    return both[0].unionByName(both[1]).withColumnRenamed("_check", "check")
 
 
 def run_scores(expectations: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
