@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldnote.functions.ordered import RowNumber, running
 from fieldnote.functions.stats import product, ratio
-from fieldnote.session import BROADCAST_ROWS, cut_lineage, local_table
+from fieldnote.session import cut_lineage, local_table
 
 
 def numbered(df: DataFrame, order: Sequence[str], bucket: Column, out: str) -> DataFrame:
@@ -238,35 +238,72 @@ def density(edges: DataFrame) -> DataFrame:
     return pairs.withColumn("density", ratio(2 * F.col("linked"), F.col("nodes") * (F.col("nodes") - 1), 6))
 
 
-def reach(edges: DataFrame, roots: DataFrame, types: Sequence[str] | None = None) -> DataFrame:
-    """(root, node, depth) for every node reachable from the roots, nearest depth first.
+def reach(edges: DataFrame, roots: DataFrame, types: Sequence[str] | None = None, rounds: list | None = None) -> DataFrame:
+    """(root, node, depth) for every node reachable from the roots, at the least depth.
 
-    Breadth first: each round joins only the newest nodes to the edges and drops those seen
-    before, so cycles end.  Edges and rounds are checkpointed in the shared folder; the number
-    of rounds is the depth of the graph.  While the newest nodes are few they are broadcast,
-    so that the edges stay in place; their number is known from the round before.
+    Where every node has one way onward, jump tables of 1, 2, 4, ... steps lengthen all paths by doubling.
+    Otherwise a node that is entered from one other node only is reached through it, so pointers
+    backwards are doubled until they arrive at a root or at a node that several enter, and only between such
+    nodes are steps taken one by one.  A chain or tree of any depth takes a logarithmic number of rounds;
+    cycles end.  Every round is checkpointed in the shared folder; ``rounds`` collects their names.
     """
     steps = edges if types is None else edges.filter(F.col("type").isin(list(types)))
-    steps = cut_lineage(steps.select("src", "dst").distinct())
-    newest = cut_lineage(
-        roots.select(F.col("node").alias("root"), "node").distinct().withColumn("depth", F.lit(0).cast("bigint"))
-    )
-    found, count = newest, newest.count()
-    total = count
-    while count:
-        front = F.broadcast(newest) if count <= BROADCAST_ROWS else newest
-        seen = found.select("root", "node")
-        onward = (
-            front.join(steps, F.col("node") == F.col("src"))
-            .select("root", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"))
-            .distinct()
-            .join(F.broadcast(seen) if total <= BROADCAST_ROWS else seen, ["root", "node"], "left_anti")
+    steps = cut_lineage(steps.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    start = cut_lineage(roots.select(F.col("node").alias("root"), "node", F.lit(0).cast("bigint").alias("depth")).distinct())
+    rounds = [] if rounds is None else rounds
+    widest = steps.groupBy("src").count().agg(F.max("count")).first()[0]
+    if widest is None:
+        return start
+    return _along(steps, start, rounds) if widest == 1 else _through_heads(steps, start, rounds)
+
+
+def _along(steps: DataFrame, start: DataFrame, rounds: list) -> DataFrame:
+    """Reach where every node has one way onward.  After k rounds all depths below 2^k are found; nothing new
+    means that every path has ended or closed."""
+    jumps, found, n, length = steps, start, start.count(), 1
+    while True:
+        rounds.append("jump")
+        ahead = found.join(jumps, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), F.col("depth") + length)
+        found = cut_lineage(found.union(ahead).groupBy("root", "node").agg(F.min("depth").alias("depth")))
+        now = found.count()
+        if now == n:
+            return found
+        n, length = now, 2 * length
+        jumps = cut_lineage(jumps.alias("a").join(jumps.alias("b"), F.expr("a.dst = b.src")).select("a.src", "b.dst"))
+
+
+def _through_heads(steps: DataFrame, start: DataFrame, rounds: list) -> DataFrame:
+    entered = steps.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("up"))
+    roots = start.select("node").distinct()
+    heads = cut_lineage(roots.union(entered.filter("n > 1").select("node")).distinct())
+    near = cut_lineage(entered.filter("n = 1").join(heads, "node", "left_anti").select("node", "up", F.lit(1).cast("bigint").alias("dist"), F.lit(True).alias("open")))
+    left = near.count()
+    most = max(1, left).bit_length() + 1  # pointers that are open after that run in a circle without a root
+    while left and most:
+        rounds.append("pointer")
+        most -= 1
+        further = near.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("dist").alias("_dist"))
+        joined = near.join(further, "up", "left")
+        near = cut_lineage(
+            joined.select("node", F.coalesce("_up", "up").alias("up"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"), F.col("_up").isNotNull().alias("open"))
         )
-        newest = cut_lineage(onward)
-        count = newest.count()
-        total += count
-        found = found.unionByName(newest)
-    return found
+        left = near.filter("open").count()
+    near = near.join(heads.withColumnRenamed("node", "up"), "up", "left_semi").select("node", F.col("up").alias("head"), "dist")
+
+    into = steps.join(heads.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    own = into.join(heads.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("src").alias("head"), "dst", F.lit(1).cast("bigint").alias("dist"))
+    over = into.join(near.withColumnRenamed("node", "src"), "src").select("head", "dst", F.col("dist") + 1)
+    links = cut_lineage(own.union(over).filter("head <> dst").groupBy("head", "dst").agg(F.min("dist").alias("dist")))
+
+    found = newest = start
+    while not newest.isEmpty():
+        rounds.append("head")
+        onward = newest.join(links, F.col("node") == F.col("head")).groupBy("root", F.col("dst").alias("node")).agg(F.min(F.col("depth") + F.col("dist")).alias("depth"))
+        known = found.withColumnRenamed("depth", "_depth")
+        newest = cut_lineage(onward.join(known, ["root", "node"], "left").filter("_depth IS NULL OR depth < _depth").select("root", "node", "depth"))
+        found = cut_lineage(found.unionByName(newest).groupBy("root", "node").agg(F.min("depth").alias("depth")))
+    behind = near.join(found.withColumnRenamed("node", "head"), "head").select("root", "node", (F.col("depth") + F.col("dist")).alias("depth"))
+    return found.unionByName(behind)
 
 
 def lineage(edges: DataFrame, root, direction: str = "descendants") -> DataFrame:
