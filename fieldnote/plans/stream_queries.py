@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from fieldnote.plans import shapes as S
 from fieldnote.plans.registry import query
+from fieldnote.session import scratch_path
+from fieldnote.streaming import alerts as A
 from fieldnote.streaming import streams as X
 
 
@@ -150,3 +152,23 @@ def dedup(spark, sf):
     once = X.dedup(posts, ["post_id", "scraped_on"], "7 days").select("post_id", "scraped_on")
     back = X.drain_append(once, *X.fresh_paths(spark, "dedup"))
     return back.groupBy("post_id", "scraped_on").agg(F.count(F.lit(1)).alias("copies_seen"))
+
+
+@query(
+    "stream_alert_timers",
+    """
+WITH m AS (SELECT *, CASE WHEN date - lag(date) OVER w < 90 THEN 0 ELSE 1 END AS o FROM touches WINDOW w AS (PARTITION BY contact_id ORDER BY date, touch_id)),
+n AS (SELECT *, sum(o) OVER (PARTITION BY contact_id ORDER BY date, touch_id) AS s FROM m)
+SELECT contact_id, CAST(min(date) AS TIMESTAMP) AS began, CAST(max(date) + 90 AS TIMESTAMP) AS alert_at, count(*) AS touches FROM n GROUP BY contact_id, s
+HAVING max(date) + 90 <= (SELECT max(date) FROM touches)
+""",
+    shapes="touches",
+    times="began alert_at",
+)
+def alert_timers(spark, sf):
+    """The touches land in three files in no order of dates, one for each micro-batch; alerts that a late touch makes untrue are taken back."""
+    folder = scratch_path(spark, "touches")
+    S.touches(spark, sf).repartition(3, F.xxhash64("touch_id")).write.parquet(folder)
+    source = X.read_stream(spark, folder, spark.read.parquet(folder).schema, per_trigger=1).withColumn("ts", F.col("date").cast("timestamp"))
+    alerts, _ = A.drain_alerts(source, 90, "0 seconds", *X.fresh_paths(spark, "alerts"))
+    return alerts.withColumn("contact_id", F.col("contact_id").cast("bigint"))
