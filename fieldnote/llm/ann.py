@@ -19,7 +19,7 @@ the salts of its leaves, where blocks are multiplied and the best ``k`` are kept
 is bounded by the sample.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no
-part; ties go to the smaller id; rows with one id are candidates each for itself, but not for the one query of
+part, nor do rows without id; ids stay whole numbers of 64 bits; ties go to the smaller id; rows with one id are candidates each for itself, but not for the one query of
 that id, which takes the least of its vectors; a query visits further leaves until they hold more than ``k`` vectors; fewer candidates than ``k`` are all returned; an empty table gives an empty result.
 """
 
@@ -132,7 +132,7 @@ def usable(table: DataFrame, key: str, vector: str) -> DataFrame:
     """id and v (as stored) of the vectors that take part."""
     v = F.col(vector)
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return table.select(F.col(key).alias("id"), v.alias("v")).filter(F.coalesce(sound, F.lit(False)))
+    return table.select(F.col(key).alias("id"), v.alias("v")).filter(F.coalesce(sound, F.lit(False)) & F.col("id").isNotNull())
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -210,24 +210,19 @@ def search(table: DataFrame, key: str = "vec_id", vector: str = "embedding", eve
     sampled = _matrix(drawn["v"])
     known = spark.sparkContext.broadcast((drawn["id"].to_numpy(), sampled, tree.find(_level(sampled, longest))))
 
-    def start(q: np.ndarray, own: int, leaves: list[int]) -> tuple[float, np.ndarray, np.ndarray]:
-        """A score that the k-th neighbour reaches (that of the k-th best of the sample, a hair lower for
-        rounding), and those of the sample's k best that lie in none of the leaves."""
+    def start(q: np.ndarray, own: int, leaves: list[int]) -> float:
+        """A score that the k-th neighbour in these leaves reaches: that of the k-th best of the sample's vectors in
+        them, a hair lower for rounding."""
         ids, v, at = known.value
-        other = np.flatnonzero(ids != own)
-        scores = v[other] @ q
-        best = _best(ids[other], scores, k)
-        least = float(scores[best[-1]]) - 1e-9 * longest**2 if len(best) == k else -np.inf
-        best = best[~np.isin(at[other[best]], leaves)]
-        return least, ids[other[best]], scores[best]
+        scores = v[(ids != own) & np.isin(at, leaves)] @ q
+        return float(np.partition(scores, len(scores) - k)[len(scores) - k]) - 1e-9 * longest**2 if len(scores) >= k else -np.inf
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 v = _matrix(b["v"])
                 leaves = [shared.value.order(p, visits, sizes, k + 1) for p in _level(v, longest)]
-                least, ids, scores = zip(*[start(q, i, x) for q, i, x in zip(v, b["id"], leaves)])
-                yield b[["id", "v"]].assign(least=least, ids=ids, scores=scores, leaves=leaves)
+                yield b[["id", "v"]].assign(least=[start(q, i, x) for q, i, x in zip(v, b["id"], leaves)], leaves=leaves)
 
     # At most one row for each leaf, which the sample bounds.
     sizes = dict(map(tuple, indexed.groupBy("leaf").count().collect()))
@@ -235,12 +230,7 @@ def search(table: DataFrame, key: str = "vec_id", vector: str = "embedding", eve
     counts = F.broadcast(spark.createDataFrame(salts, "leaf long, salts int"))
     queries = indexed.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
     # The leaves of a query are unfolded row by row in the JVM; in Python a batch would hold them all.
-    begun = cut_lineage(queries.mapInPandas(
-        route, f"id long, v {kind}, least double, ids array<long>, scores array<double>, leaves array<long>"
-    ))
-    seeds = begun.select(F.col("id").alias("query_id"), F.explode(F.arrays_zip("ids", "scores")).alias("s")).select(
-        "query_id", F.col("s.ids").alias("id"), F.col("s.scores").alias("score")
-    )
+    begun = cut_lineage(queries.mapInPandas(route, f"id long, v {kind}, least double, leaves array<long>"))
     routed = begun.select("id", "v", "least", F.explode("leaves").alias("leaf")).join(counts, "leaf").select(
         "leaf", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "id", "v", "least"
     )
@@ -253,4 +243,4 @@ def search(table: DataFrame, key: str = "vec_id", vector: str = "embedding", eve
         return pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
 
     found = routed.groupBy("leaf", "salt").cogroup(dealt.groupBy("leaf", "salt")).applyInPandas(compare, "query_id long, id long, score double")
-    return _ranked(found.unionByName(seeds), k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+    return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")

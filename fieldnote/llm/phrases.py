@@ -56,8 +56,8 @@ class _Words:
         return scan.between(self.sums, at, at + width)
 
     def check(self, at: np.ndarray, width: int) -> np.ndarray:
-        """32 more bits of the same ranges, from another mixture of the words."""
-        other = scan.prefix(scan.mix64(self.hashes ^ np.uint64(_OTHER)))
+        """32 more bits of the same ranges, from hashes of the words by another seed."""
+        other = scan.prefix(scan.word_hashes(self.data, self.starts, self.ends, _OTHER))
         return (scan.between(other, at, at + width) >> np.uint64(32)).astype(np.uint32)
 
 

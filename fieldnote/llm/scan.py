@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from fieldnote.llm.ranges import Bytes
+
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -84,9 +86,11 @@ def prefix(values: np.ndarray) -> np.ndarray:
 
 
 def between(sums: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the ranges [lo, hi); they depend on the content alone."""
+    """64-bit hashes of the ranges [lo, hi); they depend on the content alone.  For runs of few, well-spread
+    values: long runs of two values can be built whose sums agree."""
     return mix64((sums[hi] - sums[lo]) * _powers_of(_INVERSE, len(sums))[lo] + (hi - lo).astype(np.uint64))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return between(prefix(data.astype(np.uint64) + np.uint64(1)), starts, ends)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """XXH64 of words."""
+    return Bytes(data).hashes(starts, ends - starts, seed)

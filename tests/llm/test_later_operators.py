@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from fieldnote.llm import queries, resampling, warc, whitening
+from fieldnote.llm import ann, lm, phrases, queries, ranges, resampling, warc, whitening
 from fieldnote.session import scratch_path
 
 # ---- archives
@@ -260,9 +260,9 @@ def test_interned_ranges(monkeypatch):
     flat = np.frombuffer(bytes(rng.choice(b"ab ") for _ in range(5000)), np.uint8)
     start = np.array([rng.randrange(4000) for _ in range(3000)])
     size = np.array([rng.choice([1, 2, 3, 7, 8, 9, 31, 32, 33, 63, 64, 100, 300]) for _ in range(3000)])
-    text, want = resampling.Bytes(flat), [flat.tobytes()[a : a + n] for a, n in zip(start, size)]
-    assert text.hashes(start, size).tolist() == [xxhash.xxh64_intdigest(w, 42) for w in want]
-    for hashes in (text.hashes, lambda s, n: np.zeros(len(s), np.uint64)):
+    text, want = ranges.Bytes(flat), [flat.tobytes()[a : a + n] for a, n in zip(start, size)]
+    assert text.hashes(start, size, 42).tolist() == [xxhash.xxh64_intdigest(w, 42) for w in want]
+    for hashes in (text.hashes, lambda s, n, seed=0: np.zeros(len(s), np.uint64)):
         monkeypatch.setattr(text, "hashes", hashes)
         found = resampling.Interned(text, start, size)
         assert [want[i] for i in found.first[found.slot_of]] == want
@@ -289,3 +289,48 @@ def test_long_texts_in_pieces(chunk, most):
 def test_registered():
     assert {"op11_warc", "op12_embedding_whitening", "op13_importance_resampling"} <= set(queries.QUERIES) and "op11_warc" in queries.ORACLES
     assert list(warc.parse(io.BytesIO(b""))) == []
+
+
+# ---- earlier operators: cases of the review
+
+
+def _alike(n=10):
+    """Two words of 2^n letters for which sums of powers of any odd number agree modulo 2^64."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_only_a_weak_hash_takes_for_one(spark):
+    one, other = _alike()
+    same = " ".join(f"w{i}" for i in range(19))
+    docs = spark.createDataFrame([(0, f"{same} {one}"), (1, f"{same} {other}"), (2, f"{same} {one}")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_removed"]) for r in phrases.dedup(docs).collect()) == [(0, 0), (1, 0), (2, 20)]
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    learned = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 and i != held)
+    docs = spark.createDataFrame([(learned, one), (held, other)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_known"] for r in lm.score(docs).collect()} == {learned: 2, held: 1}
+
+
+def test_neighbours_from_the_tree_alone(spark):
+    """The sample is a twentieth of the table; ids are beyond what a double holds; rows without id take no part."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(5000, 16)) + 3 * rng.normal(size=(20, 16))[rng.integers(0, 20, 5000)]
+    base = (1 << 60) + 1
+    rows = [(base + i, x.tolist()) for i, x in enumerate(v)] + [(None, v[0].tolist())] * 3
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    table = table.withColumns({"id": F.lit("x"), "v": F.lit(1), "leaf": F.lit(2)}).repartition(4)
+    got = ann.search(table, k=20, sample=250).collect()
+    near, hit, total = {}, 0, 0
+    for r in got:
+        near.setdefault(r["query_id"], set()).add(r["vec_id"])
+    asked = [base + i for i in range(5000) if (base + i) % 20 == 0]
+    assert set(near) == set(asked) and None not in set().union(*near.values())
+    for q in asked:
+        s = v @ v[q - base]
+        s[q - base] = -np.inf
+        best = {base + int(i) for i in np.argsort(-s)[:20]}
+        assert len(near[q]) == 20
+        hit, total = hit + len(best & near[q]), total + 20
+    assert hit >= 0.9 * total
