@@ -103,6 +103,20 @@ def reach_estimate(participation: DataFrame, by: str, error: float = 0.02) -> Da
     return participation.groupBy(by).agg(F.approx_count_distinct("participant", error).alias("participants"))
 
 
+def reach_sketches(participation: DataFrame, by: str, period: Column, size: int = 12) -> DataFrame:
+    """One sketch of 2^size small counters per group and period, to be stored once and merged for any span."""
+    return participation.groupBy(by, period.alias("period")).agg(F.hll_sketch_agg("participant", size).alias("sketch"))
+
+
+def reach_merged(sketches: DataFrame, by: str, size: int = 12) -> DataFrame:
+    """Distinct participants over all given periods: the estimate, and bounds three standard errors apart."""
+    error = 3 * 1.04 / (1 << size) ** 0.5
+    merged = sketches.groupBy(by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("participants"))
+    return merged.withColumns(
+        {"low": F.floor(F.col("participants") * (1 - error)).cast("bigint"), "high": F.ceil(F.col("participants") * (1 + error)).cast("bigint")}
+    )
+
+
 def unit_costs(costs: DataFrame, by: str) -> DataFrame:
     """Cost per participant and equipment utilisation (days in use of days available)."""
     return costs.groupBy(by).agg(

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldnote.operators import contacts as C
+from fieldnote.operators import erasure as X
 from fieldnote.operators import governance as Q
 from fieldnote.plans import shapes as S
 from fieldnote.plans.registry import query
-from fieldnote.session import spread
+from fieldnote.session import scratch_path, spread
 
 
 @query(
@@ -134,3 +135,35 @@ def anonymized(spark, sf):
 def forget(spark, sf):
     gone = C.list_entity(S.prospects(spark, sf), status="passed").selectExpr("id AS contact_id")
     return Q.forget(S.touches(spark, sf), gone, "contact_id").select("touch_id", "contact_id")
+
+
+def _stored(spark, sf):
+    """Touches by type and prospects as stored tables, and both without the prospects that passed."""
+    paths = {n: scratch_path(spark, n) for n in ("touches", "prospects")}
+    S.touches(spark, sf).repartitionByRange(24, "contact_id").write.partitionBy("type").parquet(paths["touches"])
+    S.prospects(spark, sf).repartitionByRange(8, "id").write.parquet(paths["prospects"])
+    gone = C.list_entity(S.prospects(spark, sf), status="passed").selectExpr("id")
+    audit = X.erase(spark, {"touches": (paths["touches"], "contact_id"), "prospects": (paths["prospects"], "id")}, gone, "id", "request-1", scratch_path(spark, "audit"))
+    return paths, audit
+
+
+@query(
+    "erase_stored",
+    "SELECT touch_id, contact_id, type FROM touches WHERE contact_id NOT IN (SELECT id FROM prospects WHERE status = 'passed')",
+    shapes="touches prospects",
+)
+def erase_stored(spark, sf):
+    paths, _ = _stored(spark, sf)
+    return spark.read.parquet(paths["touches"]).select("touch_id", "contact_id", "type")
+
+
+@query(
+    "erasure_audit",
+    """
+SELECT 'touches' AS name, count(*) AS rows_erased FROM touches WHERE contact_id IN (SELECT id FROM prospects WHERE status = 'passed')
+UNION ALL SELECT 'prospects', count(*) FROM prospects WHERE status = 'passed'
+""",
+    shapes="touches prospects",
+)
+def erasure_audit(spark, sf):
+    return _stored(spark, sf)[1].select("name", "rows_erased")

@@ -73,12 +73,12 @@ def quota_sample(spark, sf):
 
 @query(
     "untested_pairs",
-    _PAIRS + "SELECT a, b FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM duels d WHERE d.a = p.a AND d.b = p.b AND d.phase = 'P2c' AND d.date < DATE'1996-01-01')",
-    shapes="duels",
+    _PAIRS + "SELECT a, b FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM bouts d WHERE least(d.a, d.b) = p.a AND greatest(d.a, d.b) = p.b AND d.phase = 'P2c' AND d.killed AND len(d.criteria) = 3)",
+    shapes="bouts",
 )
 def untested(spark, sf):
-    early = S.bouts(spark, sf).filter("phase = 'P2c' AND date < DATE'1996-01-01'")
-    return P.untested(_pairs(spark, sf), early)
+    """Pairs that no round-robin bout has settled by all three criteria."""
+    return P.untested(_pairs(spark, sf), S.bouts(spark, sf).filter("phase = 'P2c' AND killed AND size(criteria) = 3"))
 
 
 @query(
@@ -111,13 +111,14 @@ def divergent(spark, sf):
 
 @query(
     "emergent_findings",
-    "SELECT a, b FROM duels WHERE phase = 'P2c' AND killed EXCEPT SELECT a, b FROM duels WHERE phase = 'P3b' AND date < DATE'1996-06-01'",
-    shapes="duels",
+    "SELECT least(a, b) AS a, greatest(a, b) AS b FROM bouts WHERE phase = 'P2c' AND killed "
+    "EXCEPT SELECT least(a, b), greatest(a, b) FROM bouts WHERE phase = 'P3b' AND killed AND len(criteria) = 3",
+    shapes="bouts",
 )
 def emergent(spark, sf):
     b = S.bouts(spark, sf)
     robin = P.findings(b.filter("phase = 'P2c' AND killed"))
-    return P.emergent(robin, P.findings(b.filter("phase = 'P3b' AND date < DATE'1996-06-01'")))
+    return P.emergent(robin, P.findings(b.filter("phase = 'P3b' AND killed AND size(criteria) = 3")))
 
 
 @query(

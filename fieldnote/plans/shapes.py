@@ -397,7 +397,7 @@ _TURN = {
     "client": "CAST(floor(conv_id / 10) AS BIGINT)",
     "session": "conv_id",
     "segment": "turn",
-    "pos": "conv_id * 1000 + turn",
+    "pos": "conv_id * 4294967296 + turn",
     "role": "role",
     "text": "text",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fieldnote.operators import survey as V
 from fieldnote.plans import shapes as S
 from fieldnote.plans.registry import query
+from fieldnote.session import scratch_path
 
 _MEAN = "round_even(CAST(sum({0}) AS DOUBLE) / count({0}), {1})"
 _SCORE = _MEAN.format("score", 4)
@@ -96,14 +97,16 @@ def reach(spark, sf):
 
 @query(
     "reach_estimate_error",
-    "SELECT program, true AS close FROM responses GROUP BY program",
-    shapes="responses",
+    "SELECT l_suppkey AS program, count(DISTINCT l_partkey) AS exact, true AS inside FROM lineitem GROUP BY 1",
 )
 def reach_estimate(spark, sf):
-    r = S.responses(spark, sf)
-    exact = r.groupBy("program").agg(F.count_distinct("participant").alias("exact"))
-    both = V.reach_estimate(r, "program").join(exact, "program")
-    return both.select("program", (F.abs(F.col("participants") - F.col("exact")) <= 0.1 * F.col("exact")).alias("close"))
+    """Sketches per program and month, stored and merged, against the exact number of participants."""
+    visits = S.table(spark, sf, "lineitem").selectExpr("l_suppkey AS program", "l_partkey AS participant", "l_shipdate AS day")
+    path = scratch_path(spark, "sketches")
+    V.reach_sketches(visits, "program", F.date_trunc("month", "day")).write.parquet(path)
+    exact = visits.groupBy("program").agg(F.count_distinct("participant").alias("exact"))
+    both = V.reach_merged(spark.read.parquet(path), "program").join(exact, "program")
+    return both.select("program", "exact", F.col("exact").between(F.col("low"), F.col("high")).alias("inside"))
 
 
 @query(

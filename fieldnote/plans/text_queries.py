@@ -10,7 +10,7 @@ from fieldnote.plans import shapes as S
 from fieldnote import schemas
 from fieldnote.operators import snapshots as N
 from fieldnote.plans.registry import query
-from fieldnote.session import scratch_path, spread
+from fieldnote.session import cut_lineage, scratch_path, spread
 from fieldnote.sources import landing as L
 from fieldnote.sources import records as R
 from fieldnote.sources import sinks as K
@@ -628,3 +628,23 @@ def landed_records(spark, sf):
     put(p.filter("status = 'responded'").withColumn("touch_count", F.col("touch_count") + 100))
     slug = F.concat(F.regexp_extract("path", "slug=([^/]+)/", 1), F.lit(".md"))
     return R.parse_records(L.landed(spark, at).withColumn("path", slug), schemas.PROSPECT).select("slug", "org", "status", "touch_count", "created")
+
+
+@query(
+    "archive_media",
+    "SELECT page_id, CAST(octet_length(encode(html)) + 1 AS BIGINT) AS bytes, sha256(html || chr(10)) AS sha256, CAST(CASE WHEN contains(url, 'example.com') THEN 1 ELSE 2 END AS INTEGER) AS run FROM pages",
+)
+def archive_media(spark, sf):
+    """Files of pages arrive in two parts; the second run opens the second part alone."""
+    media, at = scratch_path(spark, "media"), scratch_path(spark, "manifest")
+    pages = S.table(spark, sf, "pages")
+    first = F.contains("url", F.lit("example.com"))
+    runs = []
+    for part in (first, ~first):
+        pages.filter(part).select("page_id", "html").write.mode("append").partitionBy("page_id").text(media)
+        K.archive_media(spark, media, at, "*.txt")
+        runs.append(cut_lineage(L.table(spark, at, texts=False).read().select("path")).withColumn("run", F.lit(len(runs) + 1)))
+    held = L.table(spark, at, texts=False).read()
+    seen = runs[0].unionByName(runs[1]).groupBy("path").agg(F.min("run").alias("run"))
+    page = F.regexp_extract("path", "page_id=([0-9]+)/", 1).cast("bigint").alias("page_id")
+    return held.join(seen, "path").select(page, F.col("size").alias("bytes"), "sha256", "run")

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 
+def exact(path: str) -> str:
+    """A path that Spark does not take for a pattern."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
 class Folder:
     def __init__(self, spark: SparkSession, root: str):
         self._jvm = spark.sparkContext._jvm
@@ -62,5 +69,10 @@ class Folder:
     def make(self, name: str) -> None:
         self._fs.mkdirs(self._path(name))
 
+    def inside(self, uri: str) -> str:
+        """The name, below this folder, of a file that Spark calls ``uri``."""
+        top = self._fs.makeQualified(self._path("")).toUri().getPath().rstrip("/")
+        return self._jvm.java.net.URI(uri).getPath()[len(top) + 1 :]
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
