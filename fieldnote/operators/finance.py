@@ -54,10 +54,13 @@ def _why(known: str) -> Column:
     return F.when(F.col("floor").isNull(), "unknown_tier").otherwise(known)
 
 
-def disqualified(opps: DataFrame, tiers: DataFrame, tolerance: str = "0.70") -> DataFrame:
-    """Budget more than 30 percent below the floor and not flexible; an unknown tier is told apart."""
+def disqualified(opps: DataFrame, tiers: DataFrame, tolerance: str | Column = "0.70") -> DataFrame:
+    """Budget more than 30 percent below the floor and not flexible; an unknown tier is told apart.
+
+    Here and below a threshold may be a column: that of a rule book as of the row's date.
+    """
     joined = opps.join(tiers.select("tier", "floor"), "tier", "left").withColumn("reason", _why("low_budget"))
-    low = F.col("floor").isNull() | (F.col("price") < F.col("floor") * _dec(tolerance))
+    low = F.col("floor").isNull() | (F.col("price") < F.col("floor") * (tolerance if isinstance(tolerance, Column) else _dec(tolerance)))
     return joined.filter(low & ~F.coalesce(F.col("flexible"), F.lit(False)))
 
 
@@ -92,8 +95,8 @@ def buffer_conflicts(projects: DataFrame, days: int = 7, keys: Sequence[str] = (
     return seen.withColumn("gap_days", gap).filter(F.col("gap_days") < days)
 
 
-def pause_breaches(events: DataFrame, days: int = 5) -> DataFrame:
-    """Projects edited or delivered less than ``days`` after the last filming."""
+def pause_breaches(events: DataFrame, days: int | Column = 5) -> DataFrame:
+    """Projects edited or delivered less than ``days`` (a column of ``filmed``) after the last filming."""
     film = F.col("stage") == "film"
     spans = events.groupBy("project").agg(
         F.max(F.when(film, F.col("date"))).alias("filmed"),
@@ -210,13 +213,16 @@ def revenue(ledger: DataFrame, targets: Sequence[tuple[int, str]]) -> DataFrame:
     return both.select("tier", "quarter", "level", "amount", total(short).alias("over_target"))
 
 
-def reserve(ledger: DataFrame, rate: str = RESERVE_RATE) -> DataFrame:
-    """Tax reserve on payments received and what is left after expenses, per month."""
+def reserve(ledger: DataFrame, rate: str | Column = RESERVE_RATE) -> DataFrame:
+    """Tax reserve on payments received and what is left after expenses, per month.  A rate that is a column
+    holds for each payment by itself."""
     income, spent = (money(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("amount"))), F.lit(0))) for k in ("income", "expense"))
+    dated = isinstance(rate, Column)
+    each = F.sum(F.when(F.col("kind") == "income", F.col("amount") * rate)) if dated else F.lit(None)
     monthly = ledger.groupBy(F.trunc("date", "month").alias("month")).agg(
-        income.alias("received"), spent.alias("spent")
+        income.alias("received"), spent.alias("spent"), money(F.coalesce(each, F.lit(0))).alias("reserve")
     )
-    held = money(F.col("received") * _dec(rate))
+    held = F.col("reserve") if dated else money(F.col("received") * _dec(rate))
     return monthly.withColumn("reserve", held).withColumn(
         "net", money(F.col("received") - F.col("reserve") - F.col("spent"))
     )
@@ -377,8 +383,12 @@ def quote(lines: DataFrame) -> DataFrame:
     return total.withColumn("deposit", half).withColumn("balance", money(F.col("total") - F.col("deposit")))
 
 
-def effective_rate(projects: DataFrame, floor: int = 500) -> DataFrame:
-    """Value per hour by tier against the hourly floor."""
+def effective_rate(projects: DataFrame, floor: int | Column = 500) -> DataFrame:
+    """Value per hour by tier against the hourly floor; with a floor that is a column, by tier and floor."""
+    if isinstance(floor, Column):
+        by = projects.groupBy("tier", floor.alias("floor"))
+        rates = by.agg(ratio(F.sum("value"), F.sum("hours"), 2).alias("hourly"), F.count(F.lit(1)).alias("projects"))
+        return rates.withColumn("below_floor", F.col("hourly") < F.col("floor"))
     return (
         projects.groupBy("tier")
         .agg(ratio(F.sum("value"), F.sum("hours"), 2).alias("hourly"), F.count(F.lit(1)).alias("projects"))

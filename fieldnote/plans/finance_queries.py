@@ -9,7 +9,8 @@ from fieldnote.operators import finance as M
 from fieldnote.plans import shapes as S
 from fieldnote.plans.registry import query
 from fieldnote.plans.shapes import AS_OF
-from fieldnote.sources.catalog import tiers
+from fieldnote.session import local_table
+from fieldnote.sources.catalog import DATED_SCHEMA, RULES, RuleBook, tiers
 from fieldnote.sources.sinks import append_ledger as append
 from fieldnote.session import scratch_path
 
@@ -474,3 +475,84 @@ def score_bands(spark, sf):
         band(p % 90 - 5, DEADLINE).alias("deadline"),
         band(F.col("energy"), ENERGY).alias("energy"),
     )
+
+
+# Rules that change on a day, as rows.
+_CHANGES = [
+    ("reserve_rate", "0.35", "1997-03-15"), ("floor_tolerance", "0.85", "1997-01-01"), ("pause_days", "9", "1996-06-01"),
+    ("pause_days", "3", "1998-01-01"), ("hourly_floor", "2110", "1996-01-01"), ("hourly_floor", "2200", "1998-07-01"),
+]
+_BOOK_SQL = (
+    "b(rule, amount, valid_from) AS (SELECT rule, CAST(amount AS DECIMAL(18,4)), CAST(day AS DATE) FROM (VALUES "
+    + ", ".join(f"('{r}', '{a}', '{d}')" for r, a, d in [*[(r, a, "0001-01-01") for r, a in RULES], *_CHANGES])
+    + ") AS v(rule, amount, day))"
+)
+
+
+def _in_force(rule: str, on: str) -> str:
+    return f"(SELECT arg_max(b.amount, b.valid_from) FROM b WHERE b.rule = '{rule}' AND b.valid_from <= {on})"
+
+
+def _book(spark):
+    rows = [*[(r, a, None) for r, a in RULES], *_CHANGES]
+    return RuleBook.of(local_table(spark, rows, DATED_SCHEMA))
+
+
+@query(
+    "dated_disqualified",
+    f"""
+WITH {_BOOK_SQL}
+SELECT project, tier, price, CASE WHEN floor IS NULL THEN 'unknown_tier' ELSE 'low_budget' END AS reason FROM projects p LEFT JOIN tiers USING (tier)
+WHERE (floor IS NULL OR price < floor * {_in_force("floor_tolerance", "p.started")}) AND NOT coalesce(flexible, false)
+""",
+    shapes="projects tiers",
+)
+def dated_disqualified(spark, sf):
+    tolerance = _book(spark).amount("floor_tolerance", F.col("started"))
+    return M.disqualified(S.projects(spark, sf), tiers(spark), tolerance).select("project", "tier", "price", "reason")
+
+
+@query(
+    "dated_pause_breaches",
+    f"""
+WITH {_BOOK_SQL},
+s AS (SELECT project, max(CASE WHEN line <= 2 THEN date END) AS filmed, min(CASE WHEN line > 2 THEN date END) AS edited FROM ledger GROUP BY project)
+SELECT project, filmed, edited, CAST(edited - filmed AS BIGINT) AS pause FROM s WHERE edited - filmed < {_in_force("pause_days", "s.filmed")}
+""",
+    shapes="ledger",
+    dates="filmed edited",
+)
+def dated_pause_breaches(spark, sf):
+    stage = F.when(F.col("line") <= 2, "film").when(F.col("line") <= 5, "edit").otherwise("deliver")
+    return M.pause_breaches(S.ledger(spark, sf).withColumn("stage", stage), _book(spark).amount("pause_days", F.col("filmed")))
+
+
+@query(
+    "dated_tax_reserve",
+    f"""
+WITH {_BOOK_SQL},
+l AS (SELECT *, {_in_force("reserve_rate", "ledger.date")} AS rate FROM ledger),
+m AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, {_M.format("coalesce(sum(amount) FILTER (kind = 'income'), 0)")} AS received,
+        {_M.format("coalesce(sum(amount) FILTER (kind = 'expense'), 0)")} AS spent,
+        {_M.format("coalesce(sum(CAST(amount * rate AS DECIMAL(38,6))) FILTER (kind = 'income'), 0)")} AS reserve FROM l GROUP BY 1)
+SELECT month, received, spent, reserve, {_M.format("received - reserve - spent")} AS net FROM m
+""",
+    shapes="ledger",
+    dates="month",
+)
+def dated_reserve(spark, sf):
+    return M.reserve(S.ledger(spark, sf), _book(spark).amount("reserve_rate", F.col("date")))
+
+
+@query(
+    "dated_effective_rate",
+    f"""
+WITH {_BOOK_SQL},
+p AS (SELECT *, {_in_force("hourly_floor", "projects.started")} AS floor FROM projects),
+r AS (SELECT tier, floor, round_even(CAST(sum(value) AS DOUBLE) / CAST(sum(hours) AS DOUBLE), 2) AS hourly, count(*) AS projects FROM p GROUP BY 1, 2)
+SELECT *, hourly < floor AS below_floor FROM r
+""",
+    shapes="projects",
+)
+def dated_effective_rate(spark, sf):
+    return M.effective_rate(S.projects(spark, sf), _book(spark).amount("hourly_floor", F.col("started")))
