@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from fieldnote.llm import ann, lm, phrases, queries, ranges, resampling, warc, whitening
+from fieldnote.llm import ann, lm, near, packing, phrases, queries, ranges, resampling, warc, whitening
 from fieldnote.session import scratch_path
 
 # ---- archives
@@ -334,3 +334,64 @@ def test_neighbours_from_the_tree_alone(spark):
         assert len(near[q]) == 20
         hit, total = hit + len(best & near[q]), total + 20
     assert hit >= 0.9 * total
+
+
+def test_cells_join_what_hubs_leave_apart(spark, monkeypatch):
+    """Copies that resemble each other below and above 0.8, in cells of a few texts, against brute force; the rows of cells stay few."""
+    rng = random.Random(31)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(120), rng.choice((1, 2, 4, 5))):
+            words[at] = f"x{i}y{at}"
+        texts.append(" ".join(words))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in texts]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) and group[a] != group[b]:
+                group = [group[b] if g == group[a] else g for g in group]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cells, made = near._cells, []
+    monkeypatch.setattr(near, "CELL_HASHES", 2_000)
+    monkeypatch.setattr(near, "_cells", lambda labelled: made.append(cells(labelled)) or made[-1])
+    got = {r.doc_id: r.component for r in near.similar_groups(docs, sketch_bits=near.MINIMA).collect()}
+    assert 1 < len(set(group)) == len(set(got.values()))
+    assert len({(group[i], got[i]) for i in got}) == len(set(group))
+    assert made[0].groupBy("band", "main", "i", "j").count().count() > near.BANDS
+    # Both sides of a cell are bounded, whatever the size of the band.
+    assert made[0].groupBy("band", "main", "i", "j", "side").agg({"n": "sum"}).agg({"sum(n)": "max"}).first()[0] < 3 * 2_000
+
+
+def test_cell_links_leave_earlier_bands_alone(spark):
+    """A pair is compared in the first of its bands only; equal components give no link."""
+    bands = [[7, 8] + [i * 100 + j for j in range(near.BANDS - 2)] for i in range(3)]
+    cell = lambda place, component: pa.table({
+        "side": pa.array([0, 0, 0], pa.int8()), "node": [1, 2, 3], "n": [2, 2, 2], "component": component, "s0": [0, 0, 0], "s1": [0, 0, 0],
+        "bands": bands, "place": [place] * 3, "shingles": [[5, 6], [5, 6], [5, 9]],
+    })
+    assert near._cell_links(cell(0, [1, 2, 3]), 0.8, 30) == [(1, 2)]
+    assert near._cell_links(cell(0, [1, 1, 3]), 0.8, 30) == []
+    assert near._cell_links(cell(1, [1, 2, 3]), 0.8, 30) == []
+
+
+def test_packed_words_of_every_kind(spark):
+    """Ids put together from parts equal the tokenizer's, whatever stands in a word; one text is of several MB."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(8)
+    bits = ["Don't", "ABC", "été!", "ÀÖ÷", "a\n\nb", "x.\nY", "\n", "\t", "<|endoftext|>", "<b>", "...", "1234", "ß?", "it's\nIt'S", "日本", "é", "", "_", "a_b", "'", "\r\n", " "]
+    texts = [None, "", " ", "\n"] + [" ".join(rng.choices(bits, k=rng.randrange(1, 30))) for _ in range(300)]
+    texts.append(" ".join(f"Word{rng.randrange(50)}. plain{'abc'[i % 3]}, 'tis" for i in range(150_000)))
+    rows = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    tokenizer, got = Tokenizer.from_file(path), {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.piece)):
+        got.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32))
+    for i, text in enumerate(texts):
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
+        cut = [ids[k : k + 2048] for k in range(0, len(ids), 2048)]
+        assert got[i] == [(k * 2048, len(c), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in c))) for k, c in enumerate(cut)], i
