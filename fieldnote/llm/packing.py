@@ -16,7 +16,6 @@ no rows; rows alike in id and text are packed each for itself; extra columns are
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,26 +29,24 @@ from fieldnote.llm.workers import ready
 from fieldnote.session import cut_lineage
 
 CAPACITY = 2048
-# Words, and parts of words, whose ids a worker keeps; beyond it starts anew.
-CACHED_WORDS, CACHED_PARTS = 400_000, 600_000
+# Parts of words whose ids a worker keeps; beyond it starts anew.
+CACHED_PARTS = 600_000
 # Pieces that one numbering task holds.
 PIECES_PER_BUCKET = 100_000
 # Bytes of text encoded at once.
-TEXT_BYTES = 1 << 21
+TEXT_BYTES = 1 << 22
 # Letters of ASCII and Latin-1, then marks that end a word of their own; no apostrophe, nothing of a special token.
-_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*)")
+_PLAIN = "^(?P<one>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)(?P<two>[!\"#$%&()*+,\\-./:;=?@\\[\\\\\\]^_`{}~]*)$"
 _held: dict = {}
 
 
-class _Ids(dict):
-    """Ids (little-endian, 32 bits) of blank-separated words.
+class _Ids:
+    """Ids of blank-separated words.
 
-    New words are encoded together.  A word of plain letters, with or without plain marks
-    behind them, is put together from these two, which most texts share; others go to the
-    tokenizer as they are."""
+    A word of plain letters, plain marks or marks behind letters is put together from these two parts, which most
+    texts share and which are kept; others go to the tokenizer as they are."""
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -59,10 +56,14 @@ class _Ids(dict):
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         # Word ends are marked and case is dropped: then parts may be encoded side by side.
         self.whole = not self.closes.any() or self._direct(["Aa bB"]) != self._direct(["aa bb"])
+        # A line break is a blank.
+        self.lines = self._direct(["Aa\nbB", "a.\n\n.b", "a\n's 1\n2"]) == self._direct(["Aa bB", "a.  .b", "a 's 1 2"])
 
     def _direct(self, words: list[str]) -> list[bytes]:
-        encode = self.tokenizer.encode_batch_fast
-        return [np.array(e.ids, "<u4").tobytes() for e in encode(words, add_special_tokens=False)]
+        encode, out = self.tokenizer.encode_batch_fast, []
+        for i in range(0, len(words), 4096):
+            out += [np.array(e.ids, "<u4").tobytes() for e in encode(words[i : i + 4096], add_special_tokens=False)]
+        return out
 
     def _encode_parts(self, new: list[str]) -> None:
         (encoded,) = self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)
@@ -76,55 +77,57 @@ class _Ids(dict):
         else:
             self.parts.update(zip(new, self._direct(new)))
 
-    def learn(self, words: set[str]) -> None:
-        if len(self) + len(words) > CACHED_WORDS:
-            self.clear()
+    def _of_parts(self, parts: list[str]) -> list[bytes]:
         if len(self.parts) > CACHED_PARTS:
             self.parts = {"": b""}
-        letters, marked, odd = {}, [], []
-        for w in words:
-            if self.whole:
-                odd.append(w)
-            elif w.isascii() and w.isalpha():
-                letters[w] = w.lower()
-            elif m := _PLAIN.fullmatch(w):
-                one, two = m.groups()
-                marked.append((w, one.lower(), two))
-            else:
-                odd.append(w)
-        parts = set(letters.values())
-        parts.update(one for _, one, _ in marked)
-        parts.update(two for _, _, two in marked)
-        unknown = list(parts - self.parts.keys())
+        found = list(map(self.parts.get, parts))
+        unknown = [p for p, ids in zip(parts, found) if ids is None]
         for i in range(0, len(unknown), 20_000):
             self._encode_parts(unknown[i : i + 20_000])
-        known = self.parts
-        self.update(zip(letters, map(known.__getitem__, letters.values())))
-        for w, one, two in marked:
-            self[w] = known[one] + known[two]
-        for i in range(0, len(odd), 4096):
-            self.update(zip(odd[i : i + 4096], self._direct(odd[i : i + 4096])))
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        found = [list(map(self.get, words)) for words in split]
-        gaps = [_places(ids, None) for ids in found]
-        if any(gaps):
-            self.learn({words[i] for words, at in zip(split, gaps) for i in at})
-            for words, ids, at in zip(split, found, gaps):
-                for i in at:
-                    ids[i] = self[words[i]]
-        return [b"".join(ids) for ids in found]
-
-
-def _places(values: list, wanted) -> list[int]:
-    out, i = [], -1
-    try:
-        while True:
-            i = values.index(wanted, i + 1)
-            out.append(i)
-    except ValueError:
-        return out
+        return list(map(self.parts.__getitem__, parts)) if unknown else found
+
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, one word after the other, and how many each has."""
+        if self.whole:
+            return _joined(self._direct(words.to_pylist()))
+        split = pc.extract_regex(words, _PLAIN)
+        plain = split.is_valid()
+        split, n = split.filter(plain), pc.sum(plain).as_py() or 0
+        parts = pa.concat_arrays([pc.utf8_lower(pc.struct_field(split, "one")), pc.struct_field(split, "two")]).dictionary_encode()
+        known = self._of_parts(parts.dictionary.to_pylist())
+        flat, size = _joined([*known, *self._direct(words.filter(pc.invert(plain)).to_pylist()), b""])
+        # Two places for each word; the second of one that is not plain is empty.
+        place = np.full((len(words), 2), len(size) - 1)
+        plain, of = plain.to_numpy(zero_copy_only=False), parts.indices.to_numpy()
+        place[plain, 0], place[plain, 1] = of[:n], of[n:]
+        place[~plain, 0] = len(known) + np.arange(len(words) - n)
+        return _gathered(flat, size, place.ravel()), size[place].sum(axis=1)
+
+    def of(self, column: pa.Array, closing: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each closed, one after the other, and how many each has.
+
+        Arrow numbers the distinct words; their ids are looked up once and gathered by number."""
+        texts = pc.fill_null(column, "")
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " ") if self.lines else texts, " ")
+        at = split.offsets.to_numpy()
+        coded = split.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
+        flat, size = self._of_words(coded.dictionary)
+        flat, size = np.append(flat, np.uint32(closing)), np.append(size, 1)
+        ends = at[1:] - at[0]
+        number = np.insert(coded.indices.to_numpy(), ends, len(size) - 1)
+        upto = np.cumsum(size[number])[ends + np.arange(len(ends))]
+        return _gathered(flat, size, number), np.diff(upto, prepend=0)
+
+
+def _joined(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
+
+def _gathered(flat: np.ndarray, size: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` (of ``size``) that ``number`` names, one after the other."""
+    many, begin = size[number], np.cumsum(size) - size
+    upto = np.cumsum(many)
+    return flat[np.repeat(begin[number] - upto + many, many) + np.arange(many.sum())]
 
 
 def _encoder(path: str) -> _Ids:
@@ -141,26 +144,24 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, closing: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _encoder(tokenizer)
-        end = closing.to_bytes(4, "little")
-        step = 4 * capacity
         for batch in batches:
-            out: list[tuple] = []
-            keys, at, n = batch.column(0).to_pylist(), 0, len(batch)
+            at = 0
             size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
             upto = np.cumsum(size)
-            while at < n:
+            while at < len(batch):
                 stop = max(at + 1, int(np.searchsorted(upto, upto[at] - size[at] + TEXT_BYTES, "right")))
-                for key, data in zip(keys[at:stop], ids.of([t or "" for t in batch.column(1)[at:stop].to_pylist()])):
-                    data += end
-                    for i in range(0, len(data), step):
-                        part = data[i : i + step]
-                        out.append((key, i // step, i // 4, len(part) // 4, zlib.crc32(part)))
+                flat, total = ids.of(batch.column(1)[at:stop], closing)
+                cut = -(-total // capacity)
+                row = np.repeat(np.arange(at, stop), cut)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(cut) - cut, cut)
+                length = np.minimum(capacity, np.repeat(total, cut) - piece * capacity)
+                data, ends = memoryview(flat.astype("<u4", copy=False).tobytes()), 4 * np.cumsum(length)
+                crc = [zlib.crc32(data[i:j]) for i, j in zip((ends - 4 * length).tolist(), ends.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (piece * capacity, length, crc))],
+                    ["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
                 at = stop
-            cols = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], batch.schema.field(0).type), pa.array(cols[1], pa.int32())] + [pa.array(c, pa.int64()) for c in cols[2:]],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
 
     return ready(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
