@@ -17,14 +17,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldnote.llm import scan
 from fieldnote.llm.workers import ready
 
 KINDS = ("assign", "access", "hex", "novel")
@@ -50,6 +51,11 @@ IDENTIFIERS = (
 AROUND = 256
 # Bytes compressed at once: from 64 on the alphabet of a random string would lower its cost.
 PIECE = 48
+# Parts of a candidate, and in them words with the number behind (camel case apart).
+SEGMENT = re.compile(r"[A-Za-z0-9]+")
+WORD = re.compile(r"([A-Z]?[a-z]{3,}|[A-Z][a-z]{2}|[A-Z]{3,}(?![a-z]))([0-9]{0,4}(?![0-9]))")
+# Bits of the dearest pair of letters, so that one rare pair makes no name a key.
+DEAREST = 8.0
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -102,23 +108,85 @@ def _cuts(text: str, a: int, b: int) -> Iterator[list[tuple[int, int]]]:
         yield [(x, y) for x, y in zip(edges, edges[1:]) if y - x >= 16 and (x, y) != (a, b)]
 
 
-def _letters_help(text: str, start: int, end: int) -> bool:
-    """Whether a string of letters alone costs less by the letter pairs of the text around and the identifiers than as random letters."""
-    letters = [w.lower() for w in re.findall("[A-Za-z]+", text[start:end])]
-    if re.search("[0-9]", text[start:end]) or not letters:
-        return False
-    around = (text[max(0, start - AROUND) : start] + " " + text[end : end + AROUND] + " " + IDENTIFIERS.decode()).lower()
-    pairs, firsts = Counter(), Counter()
-    for w in re.findall("[a-z]+", around):
-        pairs.update(zip(w, w[1:]))
-        firsts.update(w[:-1])
-    cost = [math.log2((firsts[a] + 2.6) / (pairs[a, b] + 0.1)) for w in letters for a, b in zip(w, w[1:])]
-    return sum(cost) < len(cost) * math.log2(26)
+def _pairs_of(data: np.ndarray) -> np.ndarray:
+    """27 x 27 counts of neighbouring letters in UTF-8 bytes; 26 is whatever is no letter, either case is one."""
+    low = data | 32
+    code = np.where((low >= 97) & (low <= 122), low.astype(np.int64) - 97, 26)
+    return np.bincount(code[:-1] * 27 + code[1:], minlength=729).reshape(27, 27)[:26, :26] if len(code) > 1 else np.zeros((26, 26), np.int64)
 
 
-def novel_spans(text: str, known: list[tuple[int, int, int]], least: float = 0.8) -> list[tuple[int, int, int]]:
+def _bits(pairs: np.ndarray) -> np.ndarray:
+    """Bits that a letter costs behind another, at most ``DEAREST``."""
+    return np.minimum(np.log2((pairs.sum(axis=1, keepdims=True) + 2.6) / (pairs + 0.1)), DEAREST)
+
+
+def letter_pairs(docs: DataFrame) -> np.ndarray:
+    """Counts of neighbouring letters (26 x 26) in the texts of all documents, each stretch of letters and digits of up to 15 characters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((26, 26), np.int64)
+        for batch in batches:
+            data, at = scan.raw(batch.column(0))
+            for i, j in scan.chunks(data, at):
+                total += _pairs_of(_short(data[at[i] : at[j]]))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total.ravel()[at])], ["pair", "n"])
+
+    out = np.zeros(676, np.int64)
+    for pair, n in ready(docs).select("text").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n")).collect():
+        out[pair] = n
+    return out.reshape(26, 26)
+
+
+def _short(data: np.ndarray) -> np.ndarray:
+    """Bytes with every stretch of 16 or more letters and digits blanked: keys must not teach what a name is."""
+    low = data | 32
+    inside = ((low >= 97) & (low <= 122)) | ((data >= 48) & (data <= 57))
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, ends = edge[::2], edge[1::2]
+    out = np.append(data, np.uint8(32))
+    step = np.zeros(len(data) + 1, np.int32)
+    long = ends - starts >= 16
+    step[starts[long]] += 1
+    step[ends[long]] -= 1
+    out[np.cumsum(step) > 0] = 32
+    return out
+
+
+class Names:
+    """Which segments are made of names and numbers, by the letter pairs of the identifiers or of the corpus, and of the text around."""
+
+    def __init__(self, corpus: np.ndarray | None = None):
+        self.pairs = [_pairs_of(np.frombuffer(IDENTIFIERS, np.uint8))] + ([] if corpus is None else [corpus])
+
+    def around(self, text: str, start: int, end: int) -> list[np.ndarray]:
+        near = text[max(0, start - AROUND) : start] + " " + text[end : end + AROUND]
+        more = _pairs_of(_short(np.frombuffer(near.encode(), np.uint8)))
+        return [_bits(p + more) for p in self.pairs]
+
+    def strange(self, text: str, start: int, end: int) -> bool:
+        """Whether at least half of the string lies in segments that are neither short, nor numbers, nor names."""
+        bits = self.around(text, start, end)
+        odd = sum(len(s) for s in SEGMENT.findall(text[start:end]) if len(s) > 3 and not self.plain(s, bits))
+        return 2 * odd >= end - start
+
+    @staticmethod
+    def plain(segment: str, bits: list[np.ndarray]) -> bool:
+        """A number of up to 12 digits, or six tenths of it words of three letters or more; the number behind a word of four or more counts with it."""
+        if segment.isdigit():
+            return len(segment) <= 12
+        held = 0
+        for word, number in WORD.findall(segment):
+            code = np.frombuffer(word.lower().encode(), np.uint8).astype(np.int64) - 97
+            if min(b[code[:-1], code[1:]].mean() for b in bits) < math.log2(26):
+                held += len(word) + len(number) * (len(word) > 3)
+        return 10 * held >= 6 * len(segment)
+
+
+def novel_spans(text: str, known: list[tuple[int, int, int]], least: float = 0.8, names: Names | None = None) -> list[tuple[int, int, int]]:
     """Candidates in a sensitive context that are new and outside the ``known`` spans."""
-    new = lambda a, b: novelty(text, a, b) >= least and not _letters_help(text, a, b)
+    names = names or Names()
+    new = lambda a, b: novelty(text, a, b) >= least and names.strange(text, a, b)
     out = []
     for a, b in candidates(text):
         if not any(a < e and s < b for s, _, e in known):
@@ -135,21 +203,22 @@ def _hints(column: pa.Array) -> tuple[list[bool], list[bool]]:
     return look(BASE_HINT), look(CONTEXT_HINT)
 
 
-def _spans(column: pa.Array) -> Iterator[tuple[list, list]]:
+def _spans(column: pa.Array, names: Names) -> Iterator[tuple[list, list]]:
     for i, (base, context) in enumerate(zip(*_hints(column))):
         text = column[i].as_py() if base or context else ""
         fixed = base_spans(text) if base else []
-        yield fixed, sorted(fixed + novel_spans(text, fixed)) if context else fixed
+        yield fixed, sorted(fixed + novel_spans(text, fixed, names=names)) if context else fixed
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_novel, base_sha256 and spans of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = Names(letter_pairs(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for fixed, every in _spans(batch.column(1)):
+            for fixed, every in _spans(batch.column(1), names):
                 n = [sum(k == i for _, k, _ in every) for i in range(4)]
                 rows.append((*n, hashlib.sha256(_shown(fixed).encode()).hexdigest(), _shown(every)))
             cols = list(zip(*rows)) or [[]] * 6
@@ -177,11 +246,12 @@ def blotted(text: str, spans: list[tuple[int, int, int]], mark: str = "[secret]"
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with the secrets in ``text`` replaced; ``n_chars`` is renewed where there is one."""
     at = docs.columns.index("text")
+    names = Names(letter_pairs(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(at)
-            new = [blotted(column[i].as_py(), every, mark) if every else column[i].as_py() for i, (_, every) in enumerate(_spans(column))]
+            new = [blotted(column[i].as_py(), every, mark) if every else column[i].as_py() for i, (_, every) in enumerate(_spans(column, names))]
             cols = [pa.array(new, column.type) if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
