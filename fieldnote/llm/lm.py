@@ -1,28 +1,37 @@
 """Language-model scores by a weighted backoff automaton.
 
-The model is a smoothed bigram model over words and one end per text:
+The model is smoothed from n-grams of up to ``order`` tokens; tokens are words and one end per text:
 
     p(w) = (c(w) + alpha) / (N + alpha (V + 1))
-    p(w | h) = max(c(h w) - d, 0) / c(h) + d t(h) / c(h) * p(w)
+    p(w | h) = max(c(h w) - d, 0) / c(h) + d t(h) / c(h) * p(w | h without its first token)
 
 c counts training tokens, t(h) the kinds of token seen after h, d is the discount.  As an
-automaton: a state for each word and for the start of a text; an arc with its full weight
-for every pair seen; otherwise the failure arc, weight d t(h) / c(h), to the state without
-history, whose arcs carry p(w).  A text is one run through it from left to right; the state
-is the last word, and the log probabilities of the arcs taken add up.
-
-Scale: a block of documents asks the corpus for the counts of its own words and pairs, and so builds
-the part of the automaton in which its texts run, as large as the block.  Three passes: counts,
-kinds after each word (every pair is counted by the first block that holds it), scores.
-All counts are whole; none is pruned or sampled.
+automaton: a state for each history h of fewer than ``order`` tokens that training holds, the start of a
+text among them; an arc with its full weight for every n-gram h w seen; otherwise the failure arc of
+h, weight d t(h) / c(h), to the state without the first token of h; the state without history has an
+arc for every word.  A text is one run from left to right: at each token failure arcs are followed until
+a state has an arc for it, the logarithms of the weights add up, and the arc leads to the longest
+state that ends in this token.
+
+Long texts run as lanes of ``LANE`` tokens side by side.  A later lane reads the ``order`` - 1 tokens in front of it
+from the state without history and without scoring them, after which it is in the state of the whole run, as no state is longer.
+
+Scale: a block of documents asks the corpus for the counts of its own n-grams, all orders at once, and
+builds the part of the automaton in which its texts run, as large as the block.  Three passes: counts,
+kinds after each history seen twice or more (every n-gram is counted by the first block that holds it; after
+one seen once there is one kind), scores.  All counts are whole; none is pruned or sampled.  Documents are dealt to
+blocks by a hash of id and text, so that one id, or null, is spread over all blocks.
 
 Defined results: a null or blank text has the end as its only token; a null id counts as held
 out; rows with one id are scored each for itself; without training tokens p(w) is
-1 / (V + 1) with V = 0, so that every score is 0; extra columns are ignored.
+1 / (V + 1) with V = 0, so that every score is 0; extra columns are ignored; a very long text is scored
+whole, in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,14 +39,20 @@ from pyspark.sql import functions as F
 
 from fieldnote.llm import blocks as B
 from fieldnote.llm import scan
+from fieldnote.llm.workers import ready
 
-ALPHA, DISCOUNT = 0.1, 0.75
+ALPHA, DISCOUNT, ORDER = 0.1, 0.75, 3
+LANE = 1024
 _START, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
 class _Block:
-    def __init__(self, table: pa.Table, parts: int):
-        self.table = table
+    """Tokens of a block's texts, each between a start and an end, and hashes of the n-grams that end at them."""
+
+    def __init__(self, table: pa.Table, order: int, parts: int):
+        B.give_back()
+        self.table, self.parts = table, parts
         self.train = table["train"].to_numpy(zero_copy_only=False).astype(bool)
         hashes, lengths = [], []
         for _, _, data, at in B.texts(table):
@@ -45,116 +60,170 @@ class _Block:
             hashes.append(scan.word_hashes(scan.LOWER[data], starts, ends))
             lengths.append(np.diff(first))
         count = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
-        words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        # Each text's words and its end, and before them the start as the first state.
-        self.sizes = count + 1
-        last = np.cumsum(self.sizes) - 1
-        self.tokens = np.full(int(self.sizes.sum()), _END, np.uint64)
-        inner = np.ones(len(self.tokens), bool)
-        inner[last] = False
-        self.tokens[inner] = words
-        self.states = np.empty_like(self.tokens)
-        self.states[1:] = self.tokens[:-1]
-        self.begin = last - count
-        self.states[self.begin] = _START
+        self.sizes = count + 2
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        tokens = np.full(int(self.sizes.sum()), _END, np.uint64)
+        inner = np.ones(len(tokens), bool)
+        inner[self.begin] = inner[self.begin + count + 1] = False
+        tokens[inner] = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        tokens[self.begin] = _START
+        self.place = np.arange(len(tokens)) - np.repeat(self.begin, self.sizes)
         self.learn = np.repeat(self.train, self.sizes)
-        self.words = B.Keys([self.tokens], parts)
-        pair = scan.mix64(self.states * np.uint64(0xD6E8FEB86659FD93) + scan.mix64(self.tokens))
-        self.pairs = B.Keys([pair], parts)
-
-    def counts(self, keys: B.Keys) -> np.ndarray:
-        return np.bincount(keys.inverse, weights=self.learn, minlength=len(keys)).astype(np.uint32)
-
-    def state_of_pair(self) -> np.ndarray:
-        return self.states[self.pairs.first]
-
-
-
-def _word_totals(columns: list[np.ndarray], whose: np.ndarray) -> tuple[list, list]:
-    """Count of each word; and for the part as a whole its tokens and kinds."""
-    group, _ = B.groups_of(columns[:1])
-    total = np.bincount(group, weights=columns[1])
-    return [total[group].astype(np.uint64)], [np.array([total.sum(), (total > 0).sum()], np.uint64)]
-
-
-def _pair_totals(columns: list[np.ndarray], whose: np.ndarray) -> list[np.ndarray]:
-    """Count of each pair, and whether the asking block is the first that holds it."""
-    group, order = B.groups_of(columns[:1])
-    total = np.bincount(group, weights=columns[1])
-    first = np.zeros(len(group), np.uint8)
-    at = group[order]
-    first[order[np.flatnonzero(np.diff(at, prepend=-1))]] = 1
-    return [total[group].astype(np.uint64), first]
-
-
-def _sums(columns: list[np.ndarray], whose: np.ndarray) -> list[np.ndarray]:
-    group, _ = B.groups_of(columns[:1])
-    return [np.bincount(group, weights=columns[1])[group].astype(np.uint64)]
-
-
-def score(docs: DataFrame, alpha: float = ALPHA, discount: float = DISCOUNT, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+        self.grams = [tokens]
+        own = scan.mix64(tokens)
+        for _ in range(1, order):
+            longer = own.copy()
+            longer[1:] += self.grams[-1][:-1] * _STEP
+            self.grams.append(scan.mix64(longer))
+
+    def keys(self) -> Iterator[tuple[int, np.ndarray, B.Keys]]:
+        """For each order (from 0 for words) the places at which an n-gram ends, and the distinct n-grams."""
+        for k, gram in enumerate(self.grams):
+            at = np.flatnonzero(self.place >= max(k, 1))
+            yield k, at, B.Keys([gram[at]], self.parts)
+
+    def counted(self, said: pa.Table) -> Iterator[tuple[int, np.ndarray, B.Keys, np.ndarray, np.ndarray, np.ndarray]]:
+        """``keys`` with the counts at all places, the counts of the distinct n-grams and whether this block counts their kind.
+
+        A start is counted as often as there are texts to learn from, which is how often their end is."""
+        total, first = B.replies(said, 1, [np.uint64, np.uint8])
+        done = 0
+        for k, at, keys in self.keys():
+            own = slice(done, done + len(keys))
+            done += len(keys)
+            c = np.zeros(len(self.place))
+            c[at] = total[own][keys.inverse]
+            if k == 0:
+                c[self.begin] = c[self.begin + self.sizes - 1]
+            yield k, at, keys, c, total[own], first[own]
+
+
+def _moved(request: pa.Table, by: int) -> pa.Table:
+    """A request to the parts ``by`` further on."""
+    part = pa.compute.add(request["part"], pa.scalar(by, pa.int32()))
+    return request.set_column(0, "part", part)
+
+
+def traverse(begin: np.ndarray, sizes: np.ndarray, has: np.ndarray, arc: np.ndarray, fail: np.ndarray, first: int, lane: int = LANE) -> np.ndarray:
+    """Sum of the weights (logarithms) of the arcs that each text takes.
+
+    A text begins at ``begin`` with its start and has ``sizes`` tokens with it.  has[k, i]: whether the state of the k tokens before
+    token i has an arc for it; arc[k, i]: its weight; fail[k, i]: weight of that state's failure arc; first: length of the state of the start."""
+    order = len(has)
+    lane = max(lane, order)
+    n = -(-(sizes - 1) // lane)
+    text = np.repeat(np.arange(len(sizes)), n)
+    j = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    scored = begin[text] + 1 + lane * j
+    stop = np.minimum(scored + lane, (begin + sizes)[text])
+    enter = np.where(j > 0, scored - (order - 1), scored)
+    longest = np.argsort(enter - stop, kind="stable")
+    text, enter, scored, length = text[longest], enter[longest], scored[longest], (stop - enter)[longest]
+    state = np.where(j[longest] > 0, 0, first)
+    score = np.zeros(len(text))
+    active = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), "left")
+    for step, m in enumerate(active.tolist()):
+        i, s = enter[:m] + step, state[:m]
+        gain = np.zeros(m)
+        for k in range(order - 1, 0, -1):
+            stuck = (s == k) & ~has[k, i]
+            gain += np.where(stuck, fail[k, i], 0.0)
+            s = s - stuck
+        gain += arc[s, i]
+        score[:m] += np.where(i >= scored[:m], gain, 0.0)
+        state[:m] = np.where(has[s, i], np.minimum(s + 1, order - 1), 0)
+    return np.bincount(text, weights=score, minlength=len(sizes))
+
+
+def score(docs: DataFrame, alpha: float = ALPHA, discount: float = DISCOUNT, block_bytes: int = B.BLOCK_BYTES, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
-    Held out are the documents whose crc32 of the id as text is divisible by 10."""
+    Held out are the documents whose crc32 of the id as text is divisible by 10.  ``order``: longest n-gram, 1 or more."""
+    if order < 1:
+        raise ValueError("order must be 1 or more")
     n = B.count_for(docs, block_bytes)
     rest = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)), F.lit(0))
-    held = B.blocked(docs.select("doc_id", "text", (rest != 0).alias("train")), n, "train")
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n).cast("long")).alias("block")
+    held = ready(docs).select("doc_id", "text", (rest != 0).alias("train"), block).repartition(n, "block")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def ask_words(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        b = _Block(table, n)
-        return b.words.ask(key[0].as_py(), b.counts(b.words))
-
-    def ask_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        b = _Block(table, n)
-        return b.pairs.ask(key[0].as_py(), b.counts(b.pairs))
-
-    def states(b: _Block) -> B.Keys:
-        return B.Keys([b.state_of_pair()], n)
+    def ask_counts(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        b = _Block(table, order, n)
+        out = []
+        for k, at, keys in b.keys():
+            seen = np.bincount(keys.inverse, weights=b.learn[at], minlength=len(keys)).astype(np.uint32)
+            out.append(_moved(keys.ask(key[0].as_py(), seen), k * n))
+        return pa.concat_tables(out)
+
+    def totals(columns: list[np.ndarray], whose: np.ndarray, part: int) -> tuple[list, list]:
+        """Count of each n-gram, whether the asking block is the first that holds it; and tokens and kinds of a part of words."""
+        group, by = B.groups_of(columns[:1])
+        total = np.bincount(group, weights=columns[1])
+        first = np.zeros(len(group), np.uint8)
+        first[by[np.flatnonzero(np.diff(group[by], prepend=-1))]] = 1
+        whole = [total.sum(), (total > 0).sum()] if part < n else [0, 0]
+        return [total[group].astype(np.uint64), first], [np.array(whole, np.uint64)]
+
+    def histories(b: _Block, said: pa.Table) -> Iterator[tuple]:
+        """For each order above words what ``counted`` says, the count of the history of each distinct n-gram, and the histories to ask for."""
+        before = None
+        for k, at, keys, c, total, first in b.counted(said):
+            if k:
+                here = at[keys.first] - 1
+                often = before[here] >= 2
+                yield k, at, keys, c, before, (total > 0) & (first > 0), often, B.Keys([b.grams[k - 1][here[often]]], n)
+            before = c
 
     def ask_kinds(key: tuple[pa.Scalar, ...], table: pa.Table, said: pa.Table) -> pa.Table:
-        b = _Block(table, n)
-        count, first = B.replies(said, 2, [np.uint64, np.uint8])
-        known = states(b)
-        kinds = np.bincount(known.inverse, weights=(count > 0) & (first > 0), minlength=len(known))
-        context = np.bincount(known.inverse, weights=b.counts(b.pairs), minlength=len(known))
-        return known.ask(key[0].as_py(), kinds.astype(np.uint32), context.astype(np.uint32))
+        b = _Block(table, order, n)
+        out = []
+        for k, _, _, _, _, new, often, asked in histories(b, said):
+            kinds = np.bincount(asked.inverse, weights=new[often], minlength=len(asked)).astype(np.uint32)
+            out.append(_moved(asked.ask(key[0].as_py(), kinds), (k - 1) * n))
+        return pa.concat_tables(out)
+
+    def sums(columns: list[np.ndarray], whose: np.ndarray) -> list[np.ndarray]:
+        group, _ = B.groups_of(columns[:1])
+        return [np.bincount(group, weights=columns[1])[group].astype(np.uint64)]
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, said: pa.Table) -> pa.Table:
-        b = _Block(table, n)
-        rows = said.filter(pa.compute.equal(said["stage"], 1)).sort_by("part")["data"].to_pylist()
-        sums = np.array([B.expand(r[1], np.uint64) for r in rows]).sum(axis=0)
-        total, kinds = float(sums[0]), float(sums[1])
-        count_w = B.replies(said, 1, [np.uint64])[0]
-        count_p, _ = B.replies(said, 2, [np.uint64, np.uint8])
-        after, context = B.replies(said, 3, [np.uint64, np.uint64])
-        p_word = (count_w + alpha) / (total + alpha * (kinds + 1))
-        # The automaton: weights of the failure arcs by state, of the arcs by pair.
-        known = states(b)
-        c_state, t_state = context.astype(float), after.astype(float)
-        seen = c_state > 0
-        fail = np.where(seen, discount * t_state / np.where(seen, c_state, 1), 1.0)
-        of_pair = known.inverse
-        arc = np.where(seen[of_pair], np.maximum(count_p - discount, 0) / np.where(seen, c_state, 1)[of_pair], 0.0)
-        weight = arc[b.pairs.inverse] + fail[of_pair][b.pairs.inverse] * p_word[b.words.inverse]
-        one = np.add.reduceat(np.log10(weight), b.begin) if len(b.begin) else np.zeros(0)
-        base = np.add.reduceat(np.log10(p_word)[b.words.inverse], b.begin) if len(b.begin) else np.zeros(0)
-        hit = np.add.reduceat((count_w > 0)[b.words.inverse].astype(np.int64), b.begin) if len(b.begin) else np.zeros(0, np.int64)
+        b = _Block(table, order, n)
+        parts = pa.compute.and_(pa.compute.equal(said["stage"], 1), pa.compute.less(said["part"], n))
+        tokens, kinds = np.array([B.expand(r[2], np.uint64) for r in said.filter(parts)["data"].to_pylist()]).sum(axis=0).tolist()
+        after = B.replies(said, 2, [np.uint64])[0]
+        words = next(b.counted(said))[3]
+        has = np.zeros((order, len(b.place)), bool)
+        arc, fail = np.zeros(has.shape), np.zeros(has.shape)
+        has[0] = words > 0
+        p = (words + alpha) / (tokens + alpha * (kinds + 1))
+        arc[0] = np.log10(p)
+        done = 0
+        for k, at, keys, c, before, _, often, asked in histories(b, said):
+            t = np.ones(len(keys))
+            t[often] = after[done : done + len(asked)][asked.inverse]
+            done += len(asked)
+            h = before[at - 1]
+            seen = h > 0
+            at, h = at[seen], h[seen]
+            backoff = discount * t[keys.inverse[seen]] / h
+            p[at] = np.maximum(c[at] - discount, 0) / h + backoff * p[at]
+            has[k] = c > 0
+            arc[k, at], fail[k, at] = np.log10(p[at]), np.log10(backoff)
+        first = int(order > 1 and len(b.begin) > 0 and words[b.begin[0]] > 0)
+        scored = np.ones(len(b.place), bool)
+        scored[b.begin] = False
+        text = np.repeat(np.arange(len(b.sizes)), b.sizes)[scored]
+        of_text = lambda x: np.bincount(text, weights=x[scored], minlength=len(b.sizes))
         return pa.table({
-            "doc_id": b.table["doc_id"], "held_out": pa.array(~b.train), "n_tokens": pa.array(b.sizes.astype(np.int64)),
-            "n_known": pa.array(hit), "train_tokens": pa.array(np.full(len(hit), int(total), np.int64)),
-            "base_score": pa.array(base), "score": pa.array(one),
+            "doc_id": b.table["doc_id"], "held_out": pa.array(~b.train), "n_tokens": pa.array((b.sizes - 1).astype(np.int64)),
+            "n_known": pa.array(of_text(has[0]).astype(np.int64)), "train_tokens": pa.array(np.full(len(b.sizes), int(tokens), np.int64)),
+            "base_score": pa.array(of_text(arc[0])), "score": pa.array(traverse(b.begin, b.sizes, has, arc, fail, first)),
         })
 
-    words = B.answer(held.groupBy("block").applyInArrow(ask_words, B.REQUEST), 1, [np.uint64, np.uint32], _word_totals)
-    pairs = B.answer(held.groupBy("block").applyInArrow(ask_pairs, B.REQUEST), 2, [np.uint64, np.uint32], _pair_totals)
-    asked = held.groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(ask_kinds, B.REQUEST)
-
-    def both(columns: list[np.ndarray], whose: np.ndarray) -> list[np.ndarray]:
-        return [*_sums(columns, whose), *_sums([columns[0], columns[2]], whose)]
-
-    kinds = B.answer(asked, 3, [np.uint64, np.uint32, np.uint32], both)
-    said = words.unionByName(pairs).unionByName(kinds)
+    said = B.answer(held.groupBy("block").applyInArrow(ask_counts, B.REQUEST), 1, [np.uint64, np.uint32], totals, numbered=True)
+    if order > 1:
+        asked = held.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(ask_kinds, B.REQUEST)
+        said = said.unionByName(B.answer(asked, 2, [np.uint64, np.uint32], sums))
     return held.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(
         run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
