@@ -16,11 +16,12 @@ state that ends in this token.
 Long texts run as lanes of ``LANE`` tokens side by side.  A later lane reads the ``order`` - 1 tokens in front of it
 from the state without history and without scoring them, after which it is in the state of the whole run, as no state is longer.
 
-Scale: a block of documents asks the corpus for the counts of its own n-grams, all orders at once, and
-builds the part of the automaton in which its texts run, as large as the block.  Three passes: counts,
-kinds after each history seen twice or more (every n-gram is counted by the first block that holds it; after
-one seen once there is one kind), scores.  All counts are whole; none is pruned or sampled.  Documents are dealt to
-blocks by a hash of id and text, so that one id, or null, is spread over all blocks.
+Scale: a block of documents asks the corpus for the counts of its own n-grams, and
+builds the part of the automaton in which its texts run, as large as the block.  Words and pairs are asked for at once, then order by
+order what is longer, with the kinds after the histories of the order before.  What one block alone can hold is not asked for: an
+n-gram of which a part occurs in no other block is counted in whole by its own block, and so are the kinds after a history that
+no other block holds; after one seen once there is one kind.  Every n-gram counts as a kind in the first block that holds it.  All counts are whole;
+none is pruned or sampled.  Documents are dealt to blocks by a hash of id and text, so that one id, or null, is spread over all blocks.
 
 Defined results: a null or blank text has the end as its only token; a null id counts as held
 out; rows with one id are scored each for itself; without training tokens p(w) is
@@ -76,26 +77,64 @@ class _Block:
             longer[1:] += self.grams[-1][:-1] * _STEP
             self.grams.append(scan.mix64(longer))
 
-    def keys(self) -> Iterator[tuple[int, np.ndarray, B.Keys]]:
-        """For each order (from 0 for words) the places at which an n-gram ends, and the distinct n-grams."""
+    def levels(self, said: pa.Table | None, passes: int) -> Iterator[_Level]:
+        """The n-grams of each order by what the answers of the first ``passes`` say, as far as they tell what to ask next."""
+        heard = [B.replies(said, j + 1, [np.uint64, np.uint8]) for j in range(passes)]
+        done, last = 0, None
         for k, gram in enumerate(self.grams):
             at = np.flatnonzero(self.place >= max(k, 1))
-            yield k, at, B.Keys([gram[at]], self.parts)
-
-    def counted(self, said: pa.Table) -> Iterator[tuple[int, np.ndarray, B.Keys, np.ndarray, np.ndarray, np.ndarray]]:
-        """``keys`` with the counts at all places, the counts of the distinct n-grams and whether this block counts their kind.
-
-        A start is counted as often as there are texts to learn from, which is how often their end is."""
-        total, first = B.replies(said, 1, [np.uint64, np.uint8])
-        done = 0
-        for k, at, keys in self.keys():
-            own = slice(done, done + len(keys))
-            done += len(keys)
-            c = np.zeros(len(self.place))
-            c[at] = total[own][keys.inverse]
+            keys = B.Keys([gram[at]], self.parts)
+            ends = at[keys.first]
+            own = np.bincount(keys.inverse, weights=self.learn[at], minlength=len(keys))
+            ask = np.ones(len(keys), bool) if k < 2 else last.shared[ends] & last.shared[ends - 1]
+            level = _Level(k, at, keys, own, ask)
+            if passes < max(k, 1):
+                yield level
+                if k < 1:
+                    continue
+                return
+            total, flag = own.copy(), np.ones(len(keys), np.uint8)
+            n = int(ask.sum())
+            total[ask], flag[ask] = (x[done : done + n] for x in heard[max(k, 1) - 1])
+            level.total, level.new = total, (total > 0) & (flag & 1 > 0)
+            level.count, level.shared = np.zeros(len(self.place)), np.zeros(len(self.place), bool)
+            level.count[at], level.shared[at] = total[keys.inverse], (flag > 1)[keys.inverse]
             if k == 0:
-                c[self.begin] = c[self.begin + self.sizes - 1]
-            yield k, at, keys, c, total[own], first[own]
+                # A start is counted as often as there are texts to learn from, which is how often their end is.
+                level.count[self.begin] = level.count[self.begin + self.sizes - 1]
+                level.shared[self.begin] = True
+                done = n
+            else:
+                before = B.Keys([self.grams[k - 1][ends - 1]], self.parts)
+                place = (ends - 1)[before.first]
+                h = last.count[place]
+                level.own_kinds = np.bincount(before.inverse, weights=level.new, minlength=len(before))
+                level.ask_kinds = (h >= 2) & last.shared[place]
+                level.histories = before
+                kinds, done = np.where(h == 1, 1, level.own_kinds), int(level.ask_kinds.sum())
+                if passes > k:
+                    kinds[level.ask_kinds] = heard[k][0][:done]
+                level.kinds = kinds[before.inverse]
+            last = level
+            yield level
+
+
+class _Level:
+    """Distinct n-grams of one order: places, counts in this block and whether to ask for them; then counts, kinds and what is shared with other blocks."""
+
+    def __init__(self, k: int, at: np.ndarray, keys: B.Keys, own: np.ndarray, ask: np.ndarray):
+        self.k, self.at, self.keys, self.own, self.ask = k, at, keys, own, ask
+
+    def request(self, block: int, by: int) -> pa.Table:
+        return _request(self.keys, self.ask, self.own, block, by)
+
+    def request_kinds(self, block: int) -> pa.Table:
+        return _request(self.histories, self.ask_kinds, self.own_kinds, block, 0)
+
+
+def _request(keys: B.Keys, which: np.ndarray, number: np.ndarray, block: int, by: int) -> pa.Table:
+    """Asks the parts from ``by`` on for some of the keys, with a number for each.  Answers come in the order of the keys, which are sorted."""
+    return _moved(B.Keys([keys.columns[0][which]], keys.parts).ask(block, number[which].astype(np.uint32)), by)
 
 
 def _moved(request: pa.Table, by: int) -> pa.Table:
@@ -147,69 +186,54 @@ def score(docs: DataFrame, alpha: float = ALPHA, discount: float = DISCOUNT, blo
     held = ready(docs).select("doc_id", "text", (rest != 0).alias("train"), block).repartition(n, "block")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def ask_counts(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        b = _Block(table, order, n)
-        out = []
-        for k, at, keys in b.keys():
-            seen = np.bincount(keys.inverse, weights=b.learn[at], minlength=len(keys)).astype(np.uint32)
-            out.append(_moved(keys.ask(key[0].as_py(), seen), k * n))
-        return pa.concat_tables(out)
+    def ask_first(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        b = _Block(table, min(order, 2), n)
+        return pa.concat_tables([level.request(key[0].as_py(), level.k * n) for level in b.levels(None, 0)])
+
+    def ask_next(passes: int):
+        """The kinds after the histories of the order last answered, and the counts of the next."""
+
+        def ask(key: tuple[pa.Scalar, ...], table: pa.Table, said: pa.Table) -> pa.Table:
+            b, out = _Block(table, min(order, passes + 2), n), []
+            for level in b.levels(said, passes):
+                if level.k == passes:
+                    out.append(level.request_kinds(key[0].as_py()))
+                elif level.k > passes:
+                    out.append(level.request(key[0].as_py(), n))
+            return pa.concat_tables(out)
+
+        return ask
 
     def totals(columns: list[np.ndarray], whose: np.ndarray, part: int) -> tuple[list, list]:
-        """Count of each n-gram, whether the asking block is the first that holds it; and tokens and kinds of a part of words."""
+        """Sum of each key; 1 for the first block that asks and 2 if several do, added; and sum and kinds of a part of words."""
         group, by = B.groups_of(columns[:1])
         total = np.bincount(group, weights=columns[1])
-        first = np.zeros(len(group), np.uint8)
-        first[by[np.flatnonzero(np.diff(group[by], prepend=-1))]] = 1
+        flag = (2 * (np.bincount(group) > 1))[group].astype(np.uint8)
+        flag[by[np.flatnonzero(np.diff(group[by], prepend=-1))]] += 1
         whole = [total.sum(), (total > 0).sum()] if part < n else [0, 0]
-        return [total[group].astype(np.uint64), first], [np.array(whole, np.uint64)]
-
-    def histories(b: _Block, said: pa.Table) -> Iterator[tuple]:
-        """For each order above words what ``counted`` says, the count of the history of each distinct n-gram, and the histories to ask for."""
-        before = None
-        for k, at, keys, c, total, first in b.counted(said):
-            if k:
-                here = at[keys.first] - 1
-                often = before[here] >= 2
-                yield k, at, keys, c, before, (total > 0) & (first > 0), often, B.Keys([b.grams[k - 1][here[often]]], n)
-            before = c
-
-    def ask_kinds(key: tuple[pa.Scalar, ...], table: pa.Table, said: pa.Table) -> pa.Table:
-        b = _Block(table, order, n)
-        out = []
-        for k, _, _, _, _, new, often, asked in histories(b, said):
-            kinds = np.bincount(asked.inverse, weights=new[often], minlength=len(asked)).astype(np.uint32)
-            out.append(_moved(asked.ask(key[0].as_py(), kinds), (k - 1) * n))
-        return pa.concat_tables(out)
-
-    def sums(columns: list[np.ndarray], whose: np.ndarray) -> list[np.ndarray]:
-        group, _ = B.groups_of(columns[:1])
-        return [np.bincount(group, weights=columns[1])[group].astype(np.uint64)]
+        return [total[group].astype(np.uint64), flag], [np.array(whole, np.uint64)]
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, said: pa.Table) -> pa.Table:
         b = _Block(table, order, n)
         parts = pa.compute.and_(pa.compute.equal(said["stage"], 1), pa.compute.less(said["part"], n))
         tokens, kinds = np.array([B.expand(r[2], np.uint64) for r in said.filter(parts)["data"].to_pylist()]).sum(axis=0).tolist()
-        after = B.replies(said, 2, [np.uint64])[0]
-        words = next(b.counted(said))[3]
         has = np.zeros((order, len(b.place)), bool)
         arc, fail = np.zeros(has.shape), np.zeros(has.shape)
-        has[0] = words > 0
-        p = (words + alpha) / (tokens + alpha * (kinds + 1))
-        arc[0] = np.log10(p)
-        done = 0
-        for k, at, keys, c, before, _, often, asked in histories(b, said):
-            t = np.ones(len(keys))
-            t[often] = after[done : done + len(asked)][asked.inverse]
-            done += len(asked)
-            h = before[at - 1]
-            seen = h > 0
-            at, h = at[seen], h[seen]
-            backoff = discount * t[keys.inverse[seen]] / h
-            p[at] = np.maximum(c[at] - discount, 0) / h + backoff * p[at]
+        for level in b.levels(said, order):
+            k, at, c = level.k, level.at, level.count
             has[k] = c > 0
-            arc[k, at], fail[k, at] = np.log10(p[at]), np.log10(backoff)
-        first = int(order > 1 and len(b.begin) > 0 and words[b.begin[0]] > 0)
+            if k == 0:
+                p = (c + alpha) / (tokens + alpha * (kinds + 1))
+                arc[0] = np.log10(p)
+            else:
+                h = before[at - 1]
+                seen = h > 0
+                at, h = at[seen], h[seen]
+                backoff = discount * level.kinds[level.keys.inverse[seen]] / h
+                p[at] = np.maximum(c[at] - discount, 0) / h + backoff * p[at]
+                arc[k, at], fail[k, at] = np.log10(p[at]), np.log10(backoff)
+            before = c
+        first = int(order > 1 and len(b.begin) > 0 and has[0, b.begin[0]])
         scored = np.ones(len(b.place), bool)
         scored[b.begin] = False
         text = np.repeat(np.arange(len(b.sizes)), b.sizes)[scored]
@@ -220,10 +244,11 @@ def score(docs: DataFrame, alpha: float = ALPHA, discount: float = DISCOUNT, blo
             "base_score": pa.array(of_text(arc[0])), "score": pa.array(traverse(b.begin, b.sizes, has, arc, fail, first)),
         })
 
-    said = B.answer(held.groupBy("block").applyInArrow(ask_counts, B.REQUEST), 1, [np.uint64, np.uint32], totals, numbered=True)
-    if order > 1:
-        asked = held.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(ask_kinds, B.REQUEST)
-        said = said.unionByName(B.answer(asked, 2, [np.uint64, np.uint32], sums))
+    kinds_of = [np.uint64, np.uint32]
+    said = B.answer(held.groupBy("block").applyInArrow(ask_first, B.REQUEST), 1, kinds_of, totals, numbered=True)
+    for passes in range(1, order):
+        asked = held.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(ask_next(passes), B.REQUEST)
+        said = said.unionByName(B.answer(asked, passes + 1, kinds_of, totals, numbered=True))
     return held.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(
         run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
