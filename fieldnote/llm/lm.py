@@ -20,7 +20,8 @@ Scale: a block of documents asks the corpus for the counts of its own n-grams, a
 builds the part of the automaton in which its texts run, as large as the block.  Words and pairs are asked for at once, then order by
 order what is longer, with the kinds after the histories of the order before.  What one block alone can hold is not asked for: an
 n-gram of which a part occurs in no other block is counted in whole by its own block, and so are the kinds after a history that
-no other block holds; after one seen once there is one kind.  Every n-gram counts as a kind in the first block that holds it.  All counts are whole;
+no other block holds; after one seen once there is one kind.  Kinds are sent as bare numbers in the order of the histories asked for
+before, whose keys the parts read again.  Every n-gram counts as a kind in the first block that holds it.  All counts are whole;
 none is pruned or sampled.  Documents are dealt to blocks by a hash of id and text, so that one id, or null, is spread over all blocks.
 
 Defined results: a null or blank text has the end as its only token; a null id counts as held
@@ -44,6 +45,7 @@ from fieldnote.llm.workers import ready
 
 ALPHA, DISCOUNT, ORDER = 0.1, 0.75, 3
 LANE = 1024
+REPLY = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("stage", pa.int32()), ("data", pa.list_(pa.binary()))])
 _START, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -82,7 +84,8 @@ class _Block:
         heard = [B.replies(said, j + 1, [np.uint64, np.uint8]) for j in range(passes)]
         done, last = 0, None
         for k, gram in enumerate(self.grams):
-            at = np.flatnonzero(self.place >= max(k, 1))
+            # A start counts as a word here, and so as often as there are texts to learn from.
+            at = np.flatnonzero(self.place >= k)
             keys = B.Keys([gram[at]], self.parts)
             ends = at[keys.first]
             own = np.bincount(keys.inverse, weights=self.learn[at], minlength=len(keys))
@@ -96,25 +99,24 @@ class _Block:
             total, flag = own.copy(), np.ones(len(keys), np.uint8)
             n = int(ask.sum())
             total[ask], flag[ask] = (x[done : done + n] for x in heard[max(k, 1) - 1])
-            level.total, level.new = total, (total > 0) & (flag & 1 > 0)
-            level.count, level.shared = np.zeros(len(self.place)), np.zeros(len(self.place), bool)
-            level.count[at], level.shared[at] = total[keys.inverse], (flag > 1)[keys.inverse]
+            level.total, level.wide, new = total, flag > 1, (total > 0) & (flag & 1 > 0)
+            level.count, level.shared, level.number = np.zeros(len(self.place)), np.zeros(len(self.place), bool), np.zeros(len(self.place), np.int64)
+            level.count[at], level.shared[at], level.number[at] = total[keys.inverse], level.wide[keys.inverse], keys.inverse
+            done = n
+            if k:
+                history = last.number[ends - 1]
+                kinds = np.bincount(history, weights=new, minlength=len(last.keys))
+                elsewhere = last.wide & (last.total >= 2)
+                level.told = np.where(elsewhere, kinds, 0)[last.ask]
+                level.before, done = last, int(last.ask.sum())
+                kinds = np.where(last.total == 1, 1, kinds)
+                if passes > k:
+                    heard_of = np.zeros(len(kinds))
+                    heard_of[last.ask] = heard[k][0][:done]
+                    kinds = np.where(elsewhere, heard_of, kinds)
+                level.kinds = kinds[history]
             if k == 0:
-                # A start is counted as often as there are texts to learn from, which is how often their end is.
-                level.count[self.begin] = level.count[self.begin + self.sizes - 1]
-                level.shared[self.begin] = True
                 done = n
-            else:
-                before = B.Keys([self.grams[k - 1][ends - 1]], self.parts)
-                place = (ends - 1)[before.first]
-                h = last.count[place]
-                level.own_kinds = np.bincount(before.inverse, weights=level.new, minlength=len(before))
-                level.ask_kinds = (h >= 2) & last.shared[place]
-                level.histories = before
-                kinds, done = np.where(h == 1, 1, level.own_kinds), int(level.ask_kinds.sum())
-                if passes > k:
-                    kinds[level.ask_kinds] = heard[k][0][:done]
-                level.kinds = kinds[before.inverse]
             last = level
             yield level
 
@@ -125,16 +127,22 @@ class _Level:
     def __init__(self, k: int, at: np.ndarray, keys: B.Keys, own: np.ndarray, ask: np.ndarray):
         self.k, self.at, self.keys, self.own, self.ask = k, at, keys, own, ask
 
-    def request(self, block: int, by: int) -> pa.Table:
-        return _request(self.keys, self.ask, self.own, block, by)
+    def _asked(self) -> B.Keys:
+        """The keys asked for; answers come in their order, which is sorted."""
+        return B.Keys([self.keys.columns[0][self.ask]], self.keys.parts)
 
-    def request_kinds(self, block: int) -> pa.Table:
-        return _request(self.histories, self.ask_kinds, self.own_kinds, block, 0)
+    def request(self, block: int) -> pa.Table:
+        return _moved(self._asked().ask(block, self.own[self.ask].astype(np.uint32)), self.k * self.keys.parts)
 
-
-def _request(keys: B.Keys, which: np.ndarray, number: np.ndarray, block: int, by: int) -> pa.Table:
-    """Asks the parts from ``by`` on for some of the keys, with a number for each.  Answers come in the order of the keys, which are sorted."""
-    return _moved(B.Keys([keys.columns[0][which]], keys.parts).ask(block, number[which].astype(np.uint32)), by)
+    def request_kinds(self, block: int) -> pa.Table:
+        """Kinds after the histories in the order in which they were asked for, without the keys."""
+        edges, told = self.before._asked().edges, self.told.astype(np.uint32)
+        data = [[B.squeeze(told[a:b])] for a, b in zip(edges, edges[1:])]
+        n = len(data)
+        return _moved(
+            pa.table({"part": pa.array(range(n), pa.int32()), "block": pa.array([block] * n, pa.int64()), "data": pa.array(data, pa.list_(pa.binary()))}),
+            self.before.k * n,
+        )
 
 
 def _moved(request: pa.Table, by: int) -> pa.Table:
@@ -188,7 +196,7 @@ def score(docs: DataFrame, alpha: float = ALPHA, discount: float = DISCOUNT, blo
 
     def ask_first(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         b = _Block(table, min(order, 2), n)
-        return pa.concat_tables([level.request(key[0].as_py(), level.k * n) for level in b.levels(None, 0)])
+        return pa.concat_tables([level.request(key[0].as_py()) for level in b.levels(None, 0)])
 
     def ask_next(passes: int):
         """The kinds after the histories of the order last answered, and the counts of the next."""
@@ -199,7 +207,7 @@ def score(docs: DataFrame, alpha: float = ALPHA, discount: float = DISCOUNT, blo
                 if level.k == passes:
                     out.append(level.request_kinds(key[0].as_py()))
                 elif level.k > passes:
-                    out.append(level.request(key[0].as_py(), n))
+                    out.append(level.request(key[0].as_py()))
             return pa.concat_tables(out)
 
         return ask
@@ -213,6 +221,27 @@ def score(docs: DataFrame, alpha: float = ALPHA, discount: float = DISCOUNT, blo
         whole = [total.sum(), (total > 0).sum()] if part < n else [0, 0]
         return [total[group].astype(np.uint64), flag], [np.array(whole, np.uint64)]
 
+    def answer_next(passes: int):
+        """Counts of the n-grams asked for; for kinds the sum of their numbers by the keys of the earlier request."""
+
+        def reply(key: tuple[pa.Scalar, ...], earlier: pa.Table, table: pa.Table) -> pa.Table:
+            B.give_back()
+            part = key[0].as_py()
+            if not len(table):
+                return REPLY.empty_table()
+            table, told = table.sort_by("block"), part < passes * n
+            rows = table["data"].to_pylist()
+            number = [B.expand(r[0 if told else 1], np.uint32) for r in rows]
+            keys = [B.expand(r[0], np.uint64, True) for r in (earlier.sort_by("block")["data"].to_pylist() if told else rows)]
+            sizes = [len(x) for x in keys]
+            (total, flag), _ = totals([np.concatenate(keys), np.concatenate(number)], None, part)
+            cuts = np.cumsum([0, *sizes])
+            data = [[B.squeeze(total[a:b]), B.squeeze(np.zeros(b - a, np.uint8) if told else flag[a:b])] for a, b in zip(cuts, cuts[1:])]
+            m = len(rows)
+            return pa.table([table["block"], pa.array([part] * m, pa.int32()), pa.array([passes + 1] * m, pa.int32()), pa.array(data, pa.list_(pa.binary()))], schema=REPLY)
+
+        return reply
+
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, said: pa.Table) -> pa.Table:
         b = _Block(table, order, n)
         parts = pa.compute.and_(pa.compute.equal(said["stage"], 1), pa.compute.less(said["part"], n))
@@ -223,6 +252,8 @@ def score(docs: DataFrame, alpha: float = ALPHA, discount: float = DISCOUNT, blo
             k, at, c = level.k, level.at, level.count
             has[k] = c > 0
             if k == 0:
+                texts = int(c[b.begin[0]])
+                tokens, kinds = tokens - texts, kinds - (texts > 0)
                 p = (c + alpha) / (tokens + alpha * (kinds + 1))
                 arc[0] = np.log10(p)
             else:
@@ -233,7 +264,7 @@ def score(docs: DataFrame, alpha: float = ALPHA, discount: float = DISCOUNT, blo
                 p[at] = np.maximum(c[at] - discount, 0) / h + backoff * p[at]
                 arc[k, at], fail[k, at] = np.log10(p[at]), np.log10(backoff)
             before = c
-        first = int(order > 1 and len(b.begin) > 0 and has[0, b.begin[0]])
+        first = int(order > 1 and texts > 0)
         scored = np.ones(len(b.place), bool)
         scored[b.begin] = False
         text = np.repeat(np.arange(len(b.sizes)), b.sizes)[scored]
@@ -244,11 +275,12 @@ def score(docs: DataFrame, alpha: float = ALPHA, discount: float = DISCOUNT, blo
             "base_score": pa.array(of_text(arc[0])), "score": pa.array(traverse(b.begin, b.sizes, has, arc, fail, first)),
         })
 
-    kinds_of = [np.uint64, np.uint32]
-    said = B.answer(held.groupBy("block").applyInArrow(ask_first, B.REQUEST), 1, kinds_of, totals, numbered=True)
+    asked = [held.groupBy("block").applyInArrow(ask_first, B.REQUEST)]
+    said = B.answer(asked[0], 1, [np.uint64, np.uint32], totals, numbered=True)
     for passes in range(1, order):
-        asked = held.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(ask_next(passes), B.REQUEST)
-        said = said.unionByName(B.answer(asked, passes + 1, kinds_of, totals, numbered=True))
+        asked.append(held.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(ask_next(passes), B.REQUEST))
+        earlier = asked[max(passes - 2, 0)]
+        said = said.unionByName(earlier.groupBy("part").cogroup(asked[-1].groupBy("part")).applyInArrow(answer_next(passes), B.REPLY))
     return held.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(
         run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
