@@ -80,13 +80,14 @@ class _Block:
             self.grams.append(scan.mix64(longer))
 
     def levels(self, said: pa.Table | None, passes: int) -> Iterator[_Level]:
-        """The n-grams of each order by what the answers of the first ``passes`` say, as far as they tell what to ask next."""
+        """To be walked once.  The n-grams of each order by what the answers of the first ``passes`` say, as far as they tell what to ask next."""
         heard = [B.replies(said, j + 1, [np.uint64, np.uint8]) for j in range(passes)]
         done, last = 0, None
         for k, gram in enumerate(self.grams):
             # A start counts as a word here, and so as often as there are texts to learn from.
             at = np.flatnonzero(self.place >= k)
             keys = B.Keys([gram[at]], self.parts)
+            self.grams[k] = gram = None
             ends = at[keys.first]
             own = np.bincount(keys.inverse, weights=self.learn[at], minlength=len(keys))
             ask = np.ones(len(keys), bool) if k < 2 else last.shared[ends] & last.shared[ends - 1]
@@ -108,17 +109,15 @@ class _Block:
                 kinds = np.bincount(history, weights=new, minlength=len(last.keys))
                 elsewhere = last.wide & (last.total >= 2)
                 level.told = np.where(elsewhere, kinds, 0)[last.ask]
-                level.before, done = last, int(last.ask.sum())
+                done = int(last.ask.sum())
                 kinds = np.where(last.total == 1, 1, kinds)
                 if passes > k:
                     heard_of = np.zeros(len(kinds))
                     heard_of[last.ask] = heard[k][0][:done]
                     kinds = np.where(elsewhere, heard_of, kinds)
-                level.kinds = kinds[history]
-            if k == 0:
-                done = n
-            last = level
+                level.kinds, level.before = kinds[history], last
             yield level
+            level.before, last = None, level
 
 
 class _Level:
