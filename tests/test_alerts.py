@@ -68,3 +68,25 @@ def test_no_touches(spark, tmp_path):
     source = X.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], "contact_id string, ts timestamp").schema)
     alerts, late = A.drain_alerts(source, 90, "0 seconds", str(tmp_path / "o"), str(tmp_path / "c"))
     assert alerts.count() == 0 and late.count() == 0
+
+
+def test_contacts_share_the_state_and_timer_of_their_bucket(spark, tmp_path):
+    """200 contacts in 4 buckets: state and timers are kept by bucket, not by contact and session."""
+    root, before = str(tmp_path / "in"), spark.conf.get(A.PROVIDER)
+    touch = "CAST(DATE '2024-01-01' + CAST({} AS INT) AS TIMESTAMP) AS ts"
+    who = "IF(id = 0, NULL, CAST(id AS STRING)) AS contact_id"
+    for day in ("200", "IF(id < 100, 0, 300)", "IF(id = 7, NULL, 120)"):  # the last comes behind the watermark
+        spark.range(0, 200, 1, 1).selectExpr(who, touch.format(day)).write.mode("append").parquet(root)
+    changes = A.quiet_changes(X.read_stream(spark, root, spark.read.parquet(root).schema, 1), 90, "0 seconds", buckets=4)
+    spark.conf.set(A.PROVIDER, A.ROCKS)
+    try:
+        out, said = str(tmp_path / "o"), f"{tmp_path}/c"
+        query = changes.writeStream.foreachBatch(lambda b, n: b.write.mode("append").parquet(out)).outputMode("update").option("checkpointLocation", said).trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert 0 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3 * 4
+    finally:
+        spark.conf.set(A.PROVIDER, before)
+    counts = {r["kind"]: r["count"] for r in spark.read.parquet(out).groupBy("kind").count().collect()}
+    # Late: days 0 (100) and 120 (199, without the touch that has no time).  Alerts by day 300: day 0 + 90 (100), and days 120 to 200 + 90,
+    # or 200 + 90 alone (200).
+    assert counts["late"] == 299 and counts["alert"] - counts.get("reopened", 0) == 300
