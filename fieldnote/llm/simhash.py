@@ -197,6 +197,19 @@ def groups(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
     )
 
 
+def united(rows: DataFrame, other: DataFrame) -> DataFrame:
+    """doc_id, text_hash and component of ``rows``, whose components are joined where a component of ``other`` holds several.
+
+    Both hold the rows of one table.  Only one link leaves each component, to the least that shares one of ``other``."""
+    rows = cut_lineage(rows)
+    texts = rows.select("text_hash", "component").distinct()
+    met = texts.join(other.select("text_hash", F.col("component").alias("theirs")).distinct(), "text_hash").select("component", "theirs").distinct()
+    least = met.groupBy("theirs").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most")
+    links = met.join(least, "theirs").filter("component <> least").select(F.col("least").alias("u"), F.col("component").alias("v")).distinct()
+    joined = components(cut_lineage(links)).withColumnsRenamed({"node": "own", "component": "whole"})
+    return rows.join(joined, F.col("component") == F.col("own"), "left").select("doc_id", "text_hash", F.coalesce("whole", "component").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
     """doc_id, fingerprint and component_id, the smallest id in its component."""
     rows = cut_lineage(groups(docs, words, distance))
