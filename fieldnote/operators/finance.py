@@ -341,14 +341,27 @@ def triage(opps: DataFrame, questions: Sequence[str], yellow: Sequence[str], lea
     )
 
 
-def budget(lines: DataFrame) -> DataFrame:
-    """Hours times rate plus travel per line, with a total per project and overall."""
+# Lines of a budget in one task.
+BUDGET_ROWS = 250_000
+
+
+def budget(lines: DataFrame, rows_per_task: int = BUDGET_ROWS) -> DataFrame:
+    """Hours times rate plus travel per line, with a total per project and overall.
+
+    Lines are dealt by project to as many tasks as they need, so that a task's groups do not grow with the table; both finer
+    levels then need no other shuffle, and what is summed overall is a row per task.
+    """
     cost = F.col("hours") * F.col("rate") + F.col("travel")
-    summed = lines.groupBy("project", "line").agg(F.sum("hours").alias("hours"), F.sum(cost).alias("cost"))
-    return summed.rollup("project", "line").agg(
-        total(F.sum("hours")).alias("hours"),
-        total(F.sum("cost")).alias("cost"),
-        F.grouping_id().cast("bigint").alias("level"),
+    tasks = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // rows_per_task))
+    dealt = lines.select("project", "line", "hours", cost.alias("cost")).repartition(tasks, "project")
+    by_line = dealt.groupBy("project", "line").agg(F.sum("hours").alias("hours"), F.sum("cost").alias("cost"))
+    sums = [total(F.sum("hours")).alias("hours"), total(F.sum("cost")).alias("cost")]
+    none = [F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in ("project", "line")]
+    level = lambda n: F.lit(n).cast("bigint").alias("level")
+    return (
+        by_line.select("project", "line", total(F.col("hours")).alias("hours"), total(F.col("cost")).alias("cost"), level(0))
+        .unionByName(by_line.groupBy("project").agg(*sums).select("project", none[1], "hours", "cost", level(1)))
+        .unionByName(by_line.agg(*sums).select(*none, "hours", "cost", level(3)))
     )
 
 

@@ -324,3 +324,20 @@ def test_forget_everywhere(spark):
     notes = spark.createDataFrame([(10, 1), (11, 2), (12, None)], "note int, person int")
     left = Q.forget_everywhere({"people": (people, "id"), "notes": (notes, "person")}, people.filter("id = 1"), "id")
     assert rows(left["people"]) == [(2, "b")] and rows(left["notes"]) == [(11, 2), (12, None)]
+
+
+def test_budget_deals_lines_to_as_many_tasks_as_they_need(spark):
+    """No task of the plan's only large shuffle gets more rows because the table has more; all levels are the plain rollup's."""
+    lines = spark.range(0, 3000, 1, 3).selectExpr(
+        "IF(id % 50 = 0, NULL, id % 97) AS project", "CAST(id % 7 AS INT) AS line", "CAST(id % 13 AS DECIMAL(18,2)) AS hours",
+        "CAST(150 AS DECIMAL(5,0)) AS rate", "CAST(id % 3 AS DECIMAL(5,0)) AS travel",
+    )
+    found = M.budget(lines, rows_per_task=100)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString() and ", 30)" in found._jdf.queryExecution().toString()
+    plain = lines.rollup("project", "line").agg(
+        F.sum("hours").cast("decimal(18,2)").alias("hours"),
+        F.sum(F.col("hours") * F.col("rate") + F.col("travel")).cast("decimal(18,2)").alias("cost"),
+        F.grouping_id().cast("bigint").alias("level"),
+    )
+    shown = lambda df: rows(df.select("project", "line", *[F.col(c).cast("decimal(18,2)") for c in ("hours", "cost")], "level"))
+    assert shown(found) == shown(plain) and found.columns == plain.columns
