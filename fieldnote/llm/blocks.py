@@ -46,8 +46,8 @@ def count_for(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     return max(1, -(-size // block_bytes))
 
 
-def blocked(docs: DataFrame, n: int, *more: str) -> DataFrame:
-    """block, doc_id, text and the columns ``more``, dealt out by block.  ``doc_id`` is a whole number.
+def blocked(docs: DataFrame, n: int, *more: str, bundle: bool = False) -> DataFrame:
+    """block, doc_id, text and the columns ``more``, dealt out by block (``bundle``: as ``bundled`` rows).  ``doc_id`` is a whole number.
 
     The borders are n - 1 approximate quantiles of the ids, from one pass over that column.
     """
@@ -63,7 +63,36 @@ def blocked(docs: DataFrame, n: int, *more: str) -> DataFrame:
         return pd.Series(np.where(known, at, 0))
 
     cols = ["doc_id", "text", *more]
-    return ready(docs).select(*cols).withColumn("block", block(F.col("doc_id").cast("long"))).repartition(n, "block")
+    held = ready(docs).select(*cols).withColumn("block", block(F.col("doc_id").cast("long")))
+    return bundled(held, n) if bundle else held.repartition(n, "block")
+
+
+def bundled(held: DataFrame, n: int) -> DataFrame:
+    """``held`` dealt out by its column ``block``, with the other columns of the rows of a batch and block as one compressed
+    value ``rows``: texts take two thirds of the shuffle that they take as rows.  ``unbundled`` gives the rows back."""
+    at = held.columns.index("block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))
+        for batch in batches:
+            block = batch.column(at).to_numpy()
+            order = np.argsort(block, kind="stable")
+            rows = pa.Table.from_batches([batch]).drop_columns(["block"])
+            numbers, first = np.unique(block[order], return_index=True)
+            data = []
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
+                    out.write_table(rows.take(order[a:b]).combine_chunks())
+                data.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(data, pa.binary())], ["block", "rows"])
+
+    return held.mapInArrow(run, "block long, rows binary").repartition(n, "block")
+
+
+def unbundled(table: pa.Table) -> pa.Table:
+    """The rows of a block."""
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table["rows"]])
 
 
 def give_back() -> None:

@@ -46,20 +46,31 @@ _U = np.uint64
 _SYMBOL, _TRIPLE = 8, 24
 
 
+def _ranges(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First number and length of the ranges that rising numbers make up."""
+    first = np.flatnonzero(np.diff(s, prepend=-2) != 1)
+    return s[first], np.diff(np.append(first, len(s)))
+
+
 class _Chunk:
     """Runs of windows of a chunk: first and last window, anchor and context."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray):
         self.data, self.at = data, at
+        # Bytes of runs that repeat as a whole, as ranges, and the windows left for the sort.
+        self.whole = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.residual = np.zeros(0, np.int64)
+
+    def measure(self) -> _Chunk:
+        data, at = self.data, self.at
         self.lo = self.hi = np.zeros(0, np.int64)
         self.anchor = np.zeros(0, _U)
         self.context = np.zeros(0, _U)
         self.further = np.zeros(0, np.uint32)
         self.tied = np.zeros(0, bool)
-        self.residual = np.zeros(0, np.int64)
         n = len(data) - LENGTH + 1
         if n <= 0:
-            return
+            return self
         sums = scan.prefix(data.astype(_U) + _U(1))
         count = len(data) - GRAM + 1
         grams = scan.mix64((sums[GRAM:] - sums[:-GRAM]) * scan._powers_of(scan._INVERSE, len(sums))[:count])
@@ -68,22 +79,25 @@ class _Chunk:
         size = np.diff(at)
         valid = np.arange(n) + LENGTH <= np.repeat(at[1:], size)[:n]
         if not valid.any():
-            return
+            return self
         opens = valid.copy()
         opens[1:] &= ~valid[:-1] | (least[1:] != least[:-1])
         closes = valid.copy()
         closes[:-1] &= ~valid[1:] | (least[1:] != least[:-1])
         self.lo, self.hi = np.flatnonzero(opens), np.flatnonzero(closes)
-        self.anchor = least[self.lo]
+        # The least of many hashes is small: mixed again it is spread evenly over the parts.
+        least = least[self.lo]
+        self.anchor = scan.mix64(least)
         self.context = scan.between(sums, self.lo, self.hi + LENGTH)
         self.further = (scan.between(scan.prefix(grams), self.lo, self.hi + width) >> _U(32)).astype(np.uint32)
         # A run that reaches beyond the first place of its anchor may repeat within itself.
         place = self.lo.copy()
-        todo = np.flatnonzero(grams[place] != self.anchor)
+        todo = np.flatnonzero(grams[place] != least)
         while len(todo):
             place[todo] += 1
-            todo = todo[grams[place[todo]] != self.anchor[todo]]
+            todo = todo[grams[place[todo]] != least[todo]]
         self.tied = self.hi > place
+        return self
 
     def windows(self, runs: np.ndarray) -> np.ndarray:
         """The starts of all windows of some runs."""
@@ -139,9 +153,18 @@ def _joined(parts: list[np.ndarray], kind) -> np.ndarray:
 
 
 class _Block:
-    def __init__(self, table: pa.Table, parts: int):
+    """``note``: what an earlier pass noted; without it the runs are found."""
+
+    def __init__(self, table: pa.Table, parts: int, note: list[bytes] | None = None):
         self.table, self.parts = B.ordered(table), parts
         self.chunks = [_Chunk(data, at) for _, _, data, at in B.texts(self.table)]
+        # Where each chunk begins in the block.
+        self.base = np.cumsum([0, *(len(c.data) for c in self.chunks)])
+        if note is not None:
+            self._read(note)
+            return
+        for c in self.chunks:
+            c.measure()
         self.runs = B.Keys([_joined([c.anchor for c in self.chunks], _U), _joined([c.context for c in self.chunks], _U), _joined([c.further for c in self.chunks], np.uint32)], parts)
 
     def settle(self, said: np.ndarray) -> None:
@@ -153,10 +176,31 @@ class _Block:
         for c in self.chunks:
             own = slice(at, at + len(c.lo))
             at += len(c.lo)
-            c.repeated = twice[own]
+            step = np.zeros(len(c.data) + 1, np.int64)
+            np.add.at(step, c.lo[twice[own]], 1)
+            np.add.at(step, c.hi[twice[own]] + LENGTH, -1)
+            c.whole = _ranges(np.flatnonzero(np.cumsum(step[:-1])))
             c.residual = c.windows(np.flatnonzero(~twice[own] & (several[own] | c.tied)))
         self.cover = [c.cover() for c in self.chunks]
 
+    def note(self) -> list[bytes]:
+        """Ranges of bytes and of windows that ``settle`` found, so that later passes need no runs."""
+        out = []
+        for pairs in ([c.whole for c in self.chunks], [_ranges(c.residual) for c in self.chunks]):
+            begin = [b + base for (b, _), base in zip(pairs, self.base.tolist())]
+            out += [B.squeeze(_joined(begin, np.int64), True), B.squeeze(_joined([n for _, n in pairs], np.int64))]
+        return out
+
+    def _read(self, note: list[bytes]) -> None:
+        found = []
+        for begin, size in (note[:2], note[2:]):
+            begin, size = B.expand(begin, np.int64, True), B.expand(size, np.int64)
+            cuts = np.searchsorted(begin, self.base).tolist()
+            found.append([(begin[a:b] - base, size[a:b]) for a, b, base in zip(cuts, cuts[1:], self.base.tolist())])
+        for c, c.whole, (begin, size) in zip(self.chunks, *found):
+            c.residual = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        self.cover = [c.cover() for c in self.chunks]
+
     def triples(self) -> B.Keys:
         columns = [[c.symbols(p + d) for c, (_, p) in zip(self.chunks, self.cover)] for d in (0, _SYMBOL, 2 * _SYMBOL)]
         return B.Keys([_joined(x, _U) for x in columns], self.parts, hashed=False)
@@ -188,8 +232,9 @@ class _Block:
         out, at = [], 0
         for c in self.chunks:
             step = np.zeros(len(c.data) + 1, np.int64)
-            np.add.at(step, c.lo[c.repeated], 1)
-            np.add.at(step, c.hi[c.repeated] + LENGTH, -1)
+            begin, size = c.whole
+            step[begin] += 1
+            step[begin + size] -= 1
             gone = c.residual[twice[at : at + len(c.residual)]]
             at += len(c.residual)
             step[gone] += 1
@@ -220,23 +265,23 @@ def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, texts: bool = False)
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (with ``texts`` also the kept bytes) of every document."""
     n = B.count_for(docs, block_bytes)
     parts = -(-n // 2)
-    held = B.blocked(docs, n)
+    held = B.blocked(docs, n, bundle=True)
     kind = docs.schema["doc_id"].dataType.simpleString()
     triple = [_U, _U, _U]
 
     def settled(table: pa.Table, said: pa.Table) -> _Block:
-        b = _Block(table, parts)
-        b.settle(B.replies(said, 1, [np.uint8])[0])
-        return b
+        return _Block(B.unbundled(table), parts, B.note_of(said, 2))
 
     def names(said: pa.Table, stage: int) -> np.ndarray:
         return B.replies(said, stage, [_U])[0]
 
     def ask_runs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return _Block(table, parts).runs.ask(key[0].as_py())
+        return _Block(B.unbundled(table), parts).runs.ask(key[0].as_py())
 
     def ask_triples(key: tuple[pa.Scalar, ...], table: pa.Table, said: pa.Table) -> pa.Table:
-        return settled(table, said).triples().ask(key[0].as_py())
+        b = _Block(B.unbundled(table), parts)
+        b.settle(B.replies(said, 1, [np.uint8])[0])
+        return b.triples().ask(key[0].as_py(), note=b.note())
 
     def ask_names(key: tuple[pa.Scalar, ...], table: pa.Table, said: pa.Table) -> pa.Table:
         return settled(table, said).pairs(names(said, 2)).ask(key[0].as_py())

@@ -485,3 +485,24 @@ def test_empty_tables(spark, none):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     pages = spark.createDataFrame([], "page_id long, url string")
     assert url_rules.filter_urls(pages, spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")).count() == 0
+
+
+def test_runs_are_spread_over_the_parts():
+    """An anchor is the least of many hashes, so that its own leading bits send most runs to the first part."""
+    letters = random.Random(5)
+    table = pa.table({"doc_id": np.arange(200), "text": ["".join(letters.choices("abcdefghijklmnop ", k=2000)) for _ in range(200)]})
+    sizes = np.diff(suffix._Block(table, 16).runs.edges)
+    assert sizes.sum() > 10_000 and sizes.max() < 1.5 * sizes.mean()
+
+
+def test_later_passes_go_by_notes(docs):
+    """What a block notes when its runs are settled stands for the runs."""
+    texts = [(t or "") * 2 for _, t in _in_order()]
+    table = pa.table({"doc_id": np.arange(len(texts)), "text": texts})
+    block = suffix._Block(table, 3)
+    said = np.arange(len(block.runs)) % 4
+    block.settle(said.astype(np.uint8))
+    again = suffix._Block(table, 3, block.note())
+    assert sum(len(c.residual) for c in block.chunks) > 100 and any(len(c.whole[0]) for c in block.chunks)
+    for a, b in zip(block.chunks, again.chunks):
+        assert np.array_equal(a.residual, b.residual) and np.array_equal(a.whole, b.whole)
