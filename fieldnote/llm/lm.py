@@ -45,6 +45,8 @@ from fieldnote.llm.workers import ready
 
 ALPHA, DISCOUNT, ORDER = 0.1, 0.75, 3
 LANE = 1024
+# Input bytes of a block: smaller than elsewhere, as a block holds counts and weights of n-grams of every order at once.
+BLOCK_BYTES = 4 << 20
 REPLY = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("stage", pa.int32()), ("data", pa.list_(pa.binary()))])
 _START, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -55,7 +57,7 @@ class _Block:
 
     def __init__(self, table: pa.Table, order: int, parts: int):
         B.give_back()
-        self.table, self.parts = table, parts
+        self.ids, self.parts = table["doc_id"], parts
         self.train = table["train"].to_numpy(zero_copy_only=False).astype(bool)
         hashes, lengths = [], []
         for _, _, data, at in B.texts(table):
@@ -81,7 +83,7 @@ class _Block:
 
     def levels(self, said: pa.Table | None, passes: int) -> Iterator[_Level]:
         """To be walked once.  The n-grams of each order by what the answers of the first ``passes`` say, as far as they tell what to ask next."""
-        heard = [B.replies(said, j + 1, [np.uint64, np.uint8]) for j in range(passes)]
+        heard: dict[int, list[np.ndarray]] = {}
         done, last = 0, None
         for k, gram in enumerate(self.grams):
             # A start counts as a word here, and so as often as there are texts to learn from.
@@ -99,6 +101,9 @@ class _Block:
                 return
             total, flag = own.copy(), np.ones(len(keys), np.uint8)
             n = int(ask.sum())
+            if max(k, 1) - 1 not in heard:
+                # Only the answers of this order, which are let go after it.
+                heard = {max(k, 1) - 1: B.replies(said, max(k, 1), [np.uint64, np.uint8])}
             total[ask], flag[ask] = (x[done : done + n] for x in heard[max(k, 1) - 1])
             level.total, level.wide, new = total, flag > 1, (total > 0) & (flag & 1 > 0)
             level.count, level.shared, level.number = np.zeros(len(self.place)), np.zeros(len(self.place), bool), np.zeros(len(self.place), np.int64)
@@ -113,6 +118,7 @@ class _Block:
                 kinds = np.where(last.total == 1, 1, kinds)
                 if passes > k:
                     heard_of = np.zeros(len(kinds))
+                    heard = {k: B.replies(said, k + 1, [np.uint64, np.uint8])}
                     heard_of[last.ask] = heard[k][0][:done]
                     kinds = np.where(elsewhere, heard_of, kinds)
                 level.kinds, level.before = kinds[history], last
@@ -181,7 +187,7 @@ def traverse(begin: np.ndarray, sizes: np.ndarray, has: np.ndarray, arc: np.ndar
     return np.bincount(text, weights=score, minlength=len(sizes))
 
 
-def score(docs: DataFrame, alpha: float = ALPHA, discount: float = DISCOUNT, block_bytes: int = B.BLOCK_BYTES, order: int = ORDER) -> DataFrame:
+def score(docs: DataFrame, alpha: float = ALPHA, discount: float = DISCOUNT, block_bytes: int = BLOCK_BYTES, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     Held out are the documents whose crc32 of the id as text is divisible by 10.  ``order``: longest n-gram, 1 or more."""
@@ -190,18 +196,18 @@ def score(docs: DataFrame, alpha: float = ALPHA, discount: float = DISCOUNT, blo
     n = B.count_for(docs, block_bytes)
     rest = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)), F.lit(0))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n).cast("long")).alias("block")
-    held = ready(docs).select("doc_id", "text", (rest != 0).alias("train"), block).repartition(n, "block")
+    held = B.bundled(ready(docs).select("doc_id", "text", (rest != 0).alias("train"), block), n)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def ask_first(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        b = _Block(table, min(order, 2), n)
+        b = _Block(B.unbundled(table), min(order, 2), n)
         return pa.concat_tables([level.request(key[0].as_py()) for level in b.levels(None, 0)])
 
     def ask_next(passes: int):
         """The kinds after the histories of the order last answered, and the counts of the next."""
 
         def ask(key: tuple[pa.Scalar, ...], table: pa.Table, said: pa.Table) -> pa.Table:
-            b, out = _Block(table, min(order, passes + 2), n), []
+            b, out = _Block(B.unbundled(table), min(order, passes + 2), n), []
             for level in b.levels(said, passes):
                 if level.k == passes:
                     out.append(level.request_kinds(key[0].as_py()))
@@ -242,7 +248,7 @@ def score(docs: DataFrame, alpha: float = ALPHA, discount: float = DISCOUNT, blo
         return reply
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, said: pa.Table) -> pa.Table:
-        b = _Block(table, order, n)
+        b = _Block(B.unbundled(table), order, n)
         parts = pa.compute.and_(pa.compute.equal(said["stage"], 1), pa.compute.less(said["part"], n))
         tokens, kinds = np.array([B.expand(r[2], np.uint64) for r in said.filter(parts)["data"].to_pylist()]).sum(axis=0).tolist()
         has = np.zeros((order, len(b.place)), bool)
@@ -269,7 +275,7 @@ def score(docs: DataFrame, alpha: float = ALPHA, discount: float = DISCOUNT, blo
         text = np.repeat(np.arange(len(b.sizes)), b.sizes)[scored]
         of_text = lambda x: np.bincount(text, weights=x[scored], minlength=len(b.sizes))
         return pa.table({
-            "doc_id": b.table["doc_id"], "held_out": pa.array(~b.train), "n_tokens": pa.array((b.sizes - 1).astype(np.int64)),
+            "doc_id": b.ids, "held_out": pa.array(~b.train), "n_tokens": pa.array((b.sizes - 1).astype(np.int64)),
             "n_known": pa.array(of_text(has[0]).astype(np.int64)), "train_tokens": pa.array(np.full(len(b.sizes), int(tokens), np.int64)),
             "base_score": pa.array(of_text(arc[0])), "score": pa.array(traverse(b.begin, b.sizes, has, arc, fail, first)),
         })

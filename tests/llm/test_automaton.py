@@ -6,9 +6,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from fieldnote.llm import blocks as B
 from fieldnote.llm import lm
+from fieldnote.llm.workers import ready
 
 
 def _train(i):
@@ -109,3 +112,19 @@ def test_higher_orders_tell_more_on_held_out_texts(spark):
     docs = spark.createDataFrame([(i, text()) for i in range(300)], "doc_id long, text string")
     total = [sum(r["score"] for r in lm.score(docs, order=k).collect() if r["held_out"]) for k in (1, 2, 3)]
     assert total[2] > max(total[:2]) + 100
+
+
+def test_a_block_lets_its_texts_go():
+    """Only ids and numbers stay in memory beside the counts of n-grams."""
+    table = pa.table({"doc_id": np.arange(50), "text": ["some words " * 500] * 50, "train": [True] * 50})
+    held = vars(lm._Block(table, 3, 2)).values()
+    assert sum(x.nbytes for x in held if isinstance(x, (pa.Table, pa.ChunkedArray))) < table["text"].nbytes / 10
+
+
+def test_bundled_rows_come_back(spark):
+    rows = [(None if i % 7 == 0 else i, None if i % 5 == 0 else f"text {i}", i % 3 == 0, i % 4) for i in range(200)]
+    held = B.bundled(ready(spark.createDataFrame(rows, "doc_id long, text string, train boolean, block long")), 4)
+    got = []
+    for r in held.collect():
+        got += [(*x.values(), r["block"]) for x in B.unbundled(pa.table({"rows": [bytes(r["rows"])]})).to_pylist()]
+    assert sorted(got, key=repr) == sorted(rows, key=repr)
