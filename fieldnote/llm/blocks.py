@@ -16,7 +16,6 @@ grouping and shuffling of ``part`` and ``block``; nothing reaches the driver.
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldnote.llm import scan
-from fieldnote.llm.workers import ready
+from fieldnote.llm.workers import give_back, ready
 
 # Input bytes (as stored) of a block; a worker needs some 30 times as much memory.
 BLOCK_BYTES = 6 << 20
@@ -95,13 +94,6 @@ def unbundled(table: pa.Table) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table["rows"]])
 
 
-def give_back() -> None:
-    """Returns what the last group's arrays held to the system, where the C library can."""
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def ordered(table: pa.Table) -> pa.Table:
     """A block's rows by id (null first) and text."""
     give_back()

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from fieldnote.llm import scan
 from fieldnote.llm.components import components
 from fieldnote.llm.simhash import SEED, _hashes
-from fieldnote.llm.workers import ready
+from fieldnote.llm.workers import ready, tidy
 from fieldnote.session import cut_lineage, small
 
 # Minima of a text: BANDS x PER_BAND of them find candidates, and a bit of each makes up the sketch.
@@ -73,6 +73,7 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, text_hash, node (a hash of the set of shingles), n (its size), sketch (s0, s1) and bands of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, n, sketch, bands = [], [], [], []
@@ -106,6 +107,7 @@ def _near(a: str, b: str, similarity: float, bits: int) -> Column:
 def _shingles(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
     """node and its set of shingle hashes, from the row (``row``) that stands for each ``needed`` node."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for hashes, counts in _sets(batch.column(0), words):

@@ -25,11 +25,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldnote.llm.workers import ready
+from fieldnote.llm.workers import ready, tidy
 from fieldnote.session import cut_lineage
 
 CAPACITY = 2048
-# Parts of words whose ids a worker keeps; beyond it starts anew.
+# Parts of words whose ids a task keeps; beyond it starts anew.
 CACHED_PARTS = 600_000
 # Pieces that one numbering task holds.
 PIECES_PER_BUCKET = 100_000
@@ -59,6 +59,10 @@ class _Ids:
         # A line break is a blank.
         self.lines = self._direct(["Aa\nbB", "a.\n\n.b", "a\n's 1\n2"]) == self._direct(["Aa bB", "a.  .b", "a 's 1 2"])
 
+    def forget(self) -> None:
+        """Drops the parts that are kept."""
+        self.parts = {"": b""}
+
     def _direct(self, words: list[str]) -> list[bytes]:
         encode, out = self.tokenizer.encode_batch_fast, []
         for i in range(0, len(words), 4096):
@@ -79,7 +83,7 @@ class _Ids:
 
     def _of_parts(self, parts: list[str]) -> list[bytes]:
         if len(self.parts) > CACHED_PARTS:
-            self.parts = {"": b""}
+            self.forget()
         found = list(map(self.parts.get, parts))
         unknown = [p for p, ids in zip(parts, found) if ids is None]
         for i in range(0, len(unknown), 20_000):
@@ -142,6 +146,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, closing: i
     must be at the same path on every executor."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _encoder(tokenizer)
         for batch in batches:
@@ -162,6 +167,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, closing: i
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
                 at = stop
+        # A worker waits for further tasks, of other steps too, with all that it keeps.
+        ids.forget()
 
     return ready(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldnote.llm import scan
-from fieldnote.llm.workers import ready
+from fieldnote.llm.workers import ready, tidy
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -123,6 +123,7 @@ def _bits(pairs: np.ndarray) -> np.ndarray:
 def letter_pairs(docs: DataFrame) -> np.ndarray:
     """Counts of neighbouring letters (26 x 26) in the texts of all documents, each stretch of letters and digits of up to 15 characters."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((26, 26), np.int64)
         for batch in batches:
@@ -215,6 +216,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = Names(letter_pairs(docs))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -248,6 +250,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     at = docs.columns.index("text")
     names = Names(letter_pairs(docs))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(at)

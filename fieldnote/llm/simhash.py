@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from fieldnote.llm import scan
 from fieldnote.llm.components import components
-from fieldnote.llm.workers import ready
+from fieldnote.llm.workers import ready, tidy
 from fieldnote.session import cut_lineage
 
 SEED = 42
@@ -82,6 +82,7 @@ def fingerprints(docs: DataFrame, words: int = 4, coarse: int | None = None) ->
 
     sizes, names = ([words], ["fp"]) if coarse is None else ([words, coarse], ["fp", "coarse"])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = []

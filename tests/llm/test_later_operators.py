@@ -395,3 +395,20 @@ def test_packed_words_of_every_kind(spark):
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
         cut = [ids[k : k + 2048] for k in range(0, len(ids), 2048)]
         assert got[i] == [(k * 2048, len(c), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in c))) for k, c in enumerate(cut)], i
+
+
+def test_a_worker_keeps_no_words_after_packing(spark):
+    """Workers wait for tasks of other steps, beside which kept words would take memory."""
+    import public_tokenizers
+
+    texts = spark.range(400).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 20), x -> concat('w', char(97 + id % 26), char(97 + x)))) as text")
+    packing.pieces(texts, public_tokenizers.path("word_bpe_49k.json")).count()
+
+    def kept(batches):
+        from fieldnote.llm import packing
+
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"n": [max((len(x.parts) for x in packing._held.values()), default=0)]})
+
+    assert max(r["n"] for r in spark.range(0, 16, 1, 4).mapInArrow(kept, "n long").collect()) <= 1
