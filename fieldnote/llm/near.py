@@ -176,16 +176,23 @@ def _cell_links(cell: pa.Table, similarity: float, bits: int) -> list[tuple[int,
     return out
 
 
+def _shared(nodes: DataFrame) -> DataFrame:
+    """node, n, place and band of the bands that several nodes hold.  No sketch or list of bands is moved for the many that
+    one node alone holds."""
+    index = nodes.filter("n > 0").select("node", F.posexplode("bands").alias("place", "band"))
+    several = index.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("band")
+    return cut_lineage(index.join(several, "band").join(nodes.select("node", "n"), "node"))
+
+
 def _cells(labelled: DataFrame) -> DataFrame:
-    """Every node of a band with several components, once for each cell that it belongs to.
+    """Every node of a band with several components, once for each cell that it belongs to; ``labelled``: node, n, component, place and band.
 
     The members of a band outside its main component, and those in it, are dealt to tiles by a hash; a cell is a pair
     of tiles of which at least one lies outside.  Its key is (band, main, i, j), and ``side`` tells the two tiles apart."""
-    again = labelled.filter("n > 0").select("*", F.posexplode("bands").alias("place", "band"))
-    split = again.groupBy("band").agg(
+    split = labelled.groupBy("band").agg(
         F.min("component").alias("least"), F.max("component").alias("most"), F.min_by("component", F.xxhash64("node", F.lit(0))).alias("main")
     ).filter("least < most").select("band", F.col("main").alias("chief"))
-    still = cut_lineage(again.join(split, "band").withColumn("main", F.col("component") == F.col("chief")).drop("chief"))
+    still = cut_lineage(labelled.join(split, "band").withColumn("main", F.col("component") == F.col("chief")).drop("chief"))
     tiles = lambda main: F.ceil(F.sum(F.when(F.col("main") == main, F.col("n")).otherwise(0)) / CELL_HASHES).cast("int")
     sizes = still.groupBy("band").agg(tiles(False).alias("outside"), tiles(True).alias("inside"))
     dealt = still.join(sizes, "band").withColumn("t", F.pmod(F.xxhash64("node", F.lit("tile")), F.when(F.col("main"), F.col("inside")).otherwise(F.col("outside"))).cast("int"))
@@ -195,13 +202,13 @@ def _cells(labelled: DataFrame) -> DataFrame:
     to_main = F.when(F.col("inside") > 0, F.transform(upto("inside"), lambda j: cell(True, t, j, zero))).otherwise(F.array().cast("array<struct<main: boolean, i: int, j: int, side: tinyint>>"))
     among = F.transform(upto("outside"), lambda j: cell(False, F.least(t, j), F.greatest(t, j), F.when(t <= j, zero).otherwise(one)))
     places = F.when(F.col("main"), F.transform(upto("outside"), lambda i: cell(True, i, t, one))).otherwise(F.concat(to_main, among))
-    return dealt.select("node", "n", "s0", "s1", "component", "bands", "place", "band", F.explode(places).alias("c")).select("*", "c.*").drop("c")
+    return dealt.select("node", "n", "component", "place", "band", F.explode(places).alias("c")).select("*", "c.*").drop("c")
 
 
 def _across(labelled: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, similarity: float, bits: int) -> DataFrame:
     """Links (u, v) between components of nodes that share a band."""
     cells = _cells(labelled)
-    sets = _sets_of(cells.select(F.col("node").alias("end")), docs, nodes, words)
+    sets = _sets_of(cells.select(F.col("node").alias("end")), docs, nodes, words).join(nodes.select("node", "s0", "s1", "bands"), "node")
 
     def run(cell: pa.Table) -> pa.Table:
         links = _cell_links(cell, similarity, bits)
@@ -226,21 +233,20 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, ske
     # The first row of a node stands for it.
     first_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("row")
     nodes = cut_lineage(prints.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "s0", "s1", "bands")], first_row))
-    index = nodes.filter("n > 0").select("node", "n", "s0", "s1", F.explode("bands").alias("band"))
-
-    member = F.struct("node", "n", "s0", "s1")
-    hubs = index.groupBy("band").agg(
-        F.count(F.lit(1)).alias("members"),
-        F.array(*[F.min_by(member, F.xxhash64("node", F.lit(i))) for i in range(HUBS)]).alias("hubs"),
-    ).filter("members > 1").select("band", F.explode(F.array_distinct("hubs")).alias("h"))
-    met = index.alias("a").join(hubs, "band").filter((F.col("a.node") != F.col("h.node")) & _near("a", "h", similarity, sketch_bits)).select(
-        F.least("a.node", "h.node").alias("u"), F.greatest("a.node", "h.node").alias("v")
-    ).distinct()
-    linked = _verified(met, docs, nodes, words, similarity)
-
-    labelled = cut_lineage(nodes.join(components(linked).withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select(
-        "node", "n", "s0", "s1", "bands", F.coalesce("component", "node").alias("component")
-    ))
+    shared = _shared(nodes)
+    hubs = shared.groupBy("band").agg(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(HUBS)]).alias("hubs")).select(
+        "band", F.explode(F.array_distinct("hubs")).alias("h")
+    )
+    met = shared.join(hubs, "band").filter("node <> h").select(F.least("node", "h").alias("u"), F.greatest("node", "h").alias("v")).distinct()
+    sketches = nodes.select("node", "n", "s0", "s1")
+    close = met.join(sketches.alias("a"), F.col("u") == F.col("a.node")).join(sketches.alias("b"), F.col("v") == F.col("b.node")).filter(
+        _near("a", "b", similarity, sketch_bits)
+    ).select("u", "v")
+    linked = _verified(close, docs, nodes, words, similarity)
+
+    labelled = shared.join(components(linked).withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select(
+        "node", "n", "place", "band", F.coalesce("component", "node").alias("component")
+    )
     joined = components(linked.unionByName(_across(labelled, docs, nodes, words, similarity, sketch_bits)))
     return prints.join(joined.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select(
         "doc_id", "text_hash", F.coalesce("component", "node").alias("component")

@@ -365,6 +365,17 @@ def test_cells_join_what_hubs_leave_apart(spark, monkeypatch):
     assert made[0].groupBy("band", "main", "i", "j", "side").agg({"n": "sum"}).agg({"sum(n)": "max"}).first()[0] < 3 * 2_000
 
 
+def test_unlike_texts_move_little(spark):
+    """Bands that one text alone holds cost their number and no sketch or list of bands: bytes shuffled for each text."""
+    rng = random.Random(37)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for i in range(2000)], "doc_id long, text string").cache()
+    docs.count()
+    moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = moved()
+    assert near.similar_groups(docs).select("component").distinct().count() == 2000
+    assert (moved() - before) / 2000 < 2000
+
+
 def test_cell_links_leave_earlier_bands_alone(spark):
     """A pair is compared in the first of its bands only; equal components give no link."""
     bands = [[7, 8] + [i * 100 + j for j in range(near.BANDS - 2)] for i in range(3)]
