@@ -30,6 +30,8 @@ from fieldnote.llm.workers import give_back, ready
 
 # Input bytes (as stored) of a block; a worker needs some 30 times as much memory.
 BLOCK_BYTES = 6 << 20
+# Numbers from which on byte planes are compressed apart.
+PLANE = 1024
 REQUEST = "part int, block long, data array<binary>"
 REPLY = "block long, part int, stage int, data array<binary>"
 _REQUEST = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("data", pa.list_(pa.binary()))])
@@ -72,7 +74,7 @@ def bundled(held: DataFrame, n: int) -> DataFrame:
     at = held.columns.index("block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))
         for batch in batches:
             block = batch.column(at).to_numpy()
             order = np.argsort(block, kind="stable")
@@ -109,8 +111,12 @@ def squeeze(values: np.ndarray, rising: bool = False) -> bytes:
     """Numbers as compressed byte planes; ``rising``: sorted ones, kept as differences."""
     if rising and len(values):
         values = np.concatenate((values[:1], np.diff(values)))
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T)
+    if len(values) < PLANE:
+        return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    # A block of its own, and so a code of its own, for each plane.
+    out = zstandard.ZstdCompressor(level=1).compressobj(size=planes.size)
+    return b"".join([*(out.compress(p.data) + out.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK) for p in planes), out.flush()])
 
 
 def expand(data: bytes, kind, rising: bool = False) -> np.ndarray:
@@ -120,6 +126,17 @@ def expand(data: bytes, kind, rising: bool = False) -> np.ndarray:
     return np.cumsum(values, dtype=kind) if rising else values
 
 
+def squeeze_text(columns: list[np.ndarray]) -> bytes:
+    """Columns of 8 bytes of text each as compressed rows: neighbours begin alike."""
+    rows = np.stack(columns, axis=1).astype(">u8")
+    return zstandard.ZstdCompressor(level=5).compress(rows.tobytes())
+
+
+def expand_text(data: bytes, columns: int) -> list[np.ndarray]:
+    rows = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), ">u8").reshape(-1, columns)
+    return [rows[:, i].astype(np.uint64) for i in range(columns)]
+
+
 # ---- asking and answering
 
 
@@ -138,33 +155,30 @@ class Keys:
             for c in columns:
                 spread = scan.mix64(spread * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64))
         part = ((spread >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        sorted_by = list(columns[::-1]) if hashed else [*columns[::-1], part]
-        order = np.lexsort(sorted_by) if len(sorted_by) > 1 else np.argsort(columns[0], kind="stable")
-        new = np.ones(len(order), bool)
-        if len(order):
-            same = np.ones(len(order) - 1, bool)
-            for c in columns:
-                s = c[order]
-                same &= s[1:] == s[:-1]
-            new[1:] = ~same
-        self.first = order[new]
+        group, order = groups_of(columns) if hashed else _alike(columns, spread)
+        opens = np.flatnonzero(np.diff(group[order], prepend=-1))
+        self.first, self.counts, self.inverse = order[opens], np.diff(np.append(opens, len(order))), group
+        if not hashed:
+            place = _nearby(part[self.first], [c[self.first] for c in columns], parts)
+            self.first, self.counts = self.first[place], self.counts[place]
+            back = np.empty(len(place), np.int64)
+            back[place] = np.arange(len(place))
+            self.inverse = back[group]
         self.columns = [c[self.first] for c in columns]
-        self.counts = np.diff(np.append(np.flatnonzero(new), len(order)))
-        self.inverse = np.empty(len(order), np.int64)
-        self.inverse[order] = np.cumsum(new) - 1
         self.parts = parts
         self.edges = np.searchsorted(part[self.first], np.arange(parts + 1, dtype=np.uint64))
 
     def __len__(self) -> int:
         return len(self.first)
 
-    def ask(self, block: int, *extra: np.ndarray, note: list[bytes] | None = None) -> pa.Table:
+    def ask(self, block: int, *extra: np.ndarray, note: list[bytes] | None = None, text: bool = False) -> pa.Table:
         """One row for each part, also for parts without a key.  ``note``: what the block will want
-        to know again, which comes back with the answers."""
+        to know again, which comes back with the answers.  ``text``: the columns hold text and go as rows of it."""
         data = []
         for p in range(self.parts):
             a, b = self.edges[p], self.edges[p + 1]
-            data.append([squeeze(c[a:b], i == 0) for i, c in enumerate(self.columns)] + [squeeze(x[a:b]) for x in extra])
+            own = [c[a:b] for c in self.columns]
+            data.append([squeeze_text(own)] if text else [squeeze(c, i == 0) for i, c in enumerate(own)] + [squeeze(x[a:b]) for x in extra])
         parts = list(range(self.parts))
         if note is not None:
             data.append(note)
@@ -176,11 +190,11 @@ class Keys:
 
 
 def answer(
-    requests: DataFrame, stage: int, kinds: list, fn: Callable[..., list | tuple], numbered: bool = False
+    requests: DataFrame, stage: int, kinds: list, fn: Callable[..., list | tuple], numbered: bool = False, text: bool = False
 ) -> DataFrame:
     """Replies to ``requests``.  ``fn`` gets all keys (and extras) of a part and for each the number
     of its block, and returns arrays of answers in the same order, or these and
-    arrays that every block gets whole.  ``numbered``: it gets the number of the part too."""
+    arrays that every block gets whole.  ``numbered``: it gets the number of the part too.  ``text``: as asked with it."""
 
     def run(table: pa.Table) -> pa.Table:
         give_back()
@@ -191,7 +205,7 @@ def answer(
         table = table.sort_by("block")
         blocks = table["block"].to_pylist()
         rows = table["data"].to_pylist()
-        columns = [[expand(r[i], k, i == 0) for r in rows] for i, k in enumerate(kinds)]
+        columns = list(zip(*(expand_text(r[0], len(kinds)) for r in rows))) if text else [[expand(r[i], k, i == 0) for r in rows] for i, k in enumerate(kinds)]
         sizes = [len(c) for c in columns[0]]
         whose = np.repeat(np.arange(len(rows)), sizes)
         out, same = fn([np.concatenate(c) for c in columns], whose, *[part] * numbered), []
@@ -221,7 +235,10 @@ def note_of(table: pa.Table, stage: int) -> list[bytes]:
 
 def groups_of(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Number of the group of equal keys for each key (groups in sorted order), and a stable order by group."""
-    order = np.lexsort(columns[::-1]) if len(columns) > 1 else np.argsort(columns[0], kind="stable")
+    return _grouped(columns, scan.lexical(columns))
+
+
+def _grouped(columns: list[np.ndarray], order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(order), bool)
     if len(order):
         same = np.ones(len(order) - 1, bool)
@@ -234,6 +251,32 @@ def groups_of(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return group, order
 
 
+def _alike(columns: list[np.ndarray], spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``groups_of``, in the order of the hash ``spread`` of all columns; the columns themselves decide what is equal."""
+    group, order = _grouped([spread, *columns], scan.rising(spread))
+    if len(order) and group[order[-1]] != np.count_nonzero(np.diff(spread[order])):
+        # Different keys of one hash may lie between each other.
+        return groups_of([spread, *columns])
+    return group, order
+
+
+def _nearby(part: np.ndarray, columns: list[np.ndarray], parts: int) -> np.ndarray:
+    """An order by part and then by the leading bits of the columns, which puts like keys together.  Two sorts of bits with
+    the places below them; what lies behind those bits stays in the order that it has."""
+    n, values = len(part), columns[0].astype(np.uint64)
+    places, leads = max(n - 1, 1).bit_length(), (parts - 1).bit_length()
+    low, place = np.uint64((1 << places) - 1), np.arange(n, dtype=np.uint64)
+    spare = max(int(values.max(initial=0)).bit_length() - (64 - places - leads), 0)
+    order = place
+    if spare and len(columns) > 1:
+        rest = values << np.uint64(64 - spare) | columns[1].astype(np.uint64) >> np.uint64(spare)
+        order = np.sort((rest & ~low) | place) & low
+    packed = (values[order] >> np.uint64(spare)) << np.uint64(places) | place
+    if leads:
+        packed |= part[order] << np.uint64(64 - leads)
+    return order[np.sort(packed) & low].astype(np.int64)
+
+
 def seen_before(columns: list[np.ndarray], whose: np.ndarray) -> list[np.ndarray]:
     """1 for keys that an earlier block holds too.  Keys come block by block."""
     group, order = groups_of(columns)

@@ -20,7 +20,7 @@ Before the sort, windows that cannot matter are set aside, exactly: each window
 least hash of the 50-byte strings in it), consecutive windows with one anchor form a run.  An anchor that
 occurs in a single context has no repeated window; a run whose whole context occurs
 earlier is repeated as a whole; only the first run of each context of an anchor with several
-contexts goes into the sort.  Contexts under one anchor are compared by 96 bits of their own: a hash of their bytes
+contexts goes into the sort.  Contexts under one anchor (40 bits) are compared by 96 bits of their own: a hash of their bytes
 (64) and an independent one over the hashes of their 50-byte strings (32).
 
 Defined results: a null text is empty; rows with one id count as documents one after the other, in
@@ -42,6 +42,7 @@ LENGTH, GRAM = 100, 50
 # Input bytes of a block: smaller than elsewhere, as a block of copies sorts most of its bytes.
 BLOCK_BYTES = 3 << 20
 _U = np.uint64
+_ANCHOR = _U(-1 << 24 & (1 << 64) - 1)
 # The symbols of a triple, and the triples of the second round, are so far apart.
 _SYMBOL, _TRIPLE = 8, 24
 
@@ -87,7 +88,8 @@ class _Chunk:
         self.lo, self.hi = np.flatnonzero(opens), np.flatnonzero(closes)
         # The least of many hashes is small: mixed again it is spread evenly over the parts.
         least = least[self.lo]
-        self.anchor = scan.mix64(least)
+        # Its leading bits are enough: anchors taken for one send more windows to the sort, as contexts are told apart by themselves.
+        self.anchor = scan.mix64(least) & _ANCHOR
         self.context = scan.between(sums, self.lo, self.hi + LENGTH)
         self.further = (scan.between(scan.prefix(grams), self.lo, self.hi + width) >> _U(32)).astype(np.uint32)
         # A run that reaches beyond the first place of its anchor may repeat within itself.
@@ -133,14 +135,14 @@ class _Chunk:
         return out
 
     def forms(self, names: np.ndarray) -> list[np.ndarray]:
-        """Two entries for each window: a tag with leading and closing bytes, and two names."""
+        """Two entries for each window: a name, a tag with leading and closing bytes, and another name."""
         s, r = self.residual, self.residue(self.residual)
         t = self.data.astype(_U)
         one = [_U(1 << 40) | t[s], names[s + 1], names[s + 28]]
         two = [_U(2 << 40) | t[s] | t[s + 1] << _U(8) | t[s + 98] << _U(16) | t[s + 99] << _U(24), names[s + 2], names[s + 26]]
         three = [_U(3 << 40) | t[s + 99], names[s], names[s + 27]]
         out = []
-        for a, b, c in zip(one, two, three):
+        for a, b, c in (list(zip(one, two, three))[i] for i in (1, 0, 2)):
             pair = np.empty(2 * len(s), _U)
             pair[0::2] = np.where(r == 2, b, a)
             pair[1::2] = np.where(r == 0, b, c)
@@ -245,12 +247,15 @@ class _Block:
 
 def _contexts(columns: list[np.ndarray], whose: np.ndarray) -> list[np.ndarray]:
     """Bit 0: an earlier block has the run; bit 1: its anchor has several contexts."""
-    (seen,) = B.seen_before(columns, whose)
-    anchor, _ = B.groups_of(columns[:1])
     run, order = B.groups_of(columns)
     one = order[np.flatnonzero(np.diff(run[order], prepend=-1))]
-    several = np.bincount(anchor[one], minlength=anchor.max(initial=-1) + 1) > 1
-    return [seen | several[anchor].astype(np.uint8) << 1]
+    seen = np.ones(len(run), np.uint8)
+    seen[one] = 0
+    # Runs come in the order of their anchors.
+    anchors = columns[0][one]
+    anchor = np.cumsum(np.concatenate(([True], anchors[1:] != anchors[:-1]))) - 1 if len(one) else np.zeros(0, np.int64)
+    several = np.bincount(anchor)[anchor] > 1
+    return [seen | several[run].astype(np.uint8) << 1]
 
 
 def _names(parts: int):
@@ -281,7 +286,7 @@ def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, texts: bool = False)
     def ask_triples(key: tuple[pa.Scalar, ...], table: pa.Table, said: pa.Table) -> pa.Table:
         b = _Block(B.unbundled(table), parts)
         b.settle(B.replies(said, 1, [np.uint8])[0])
-        return b.triples().ask(key[0].as_py(), note=b.note())
+        return b.triples().ask(key[0].as_py(), note=b.note(), text=True)
 
     def ask_names(key: tuple[pa.Scalar, ...], table: pa.Table, said: pa.Table) -> pa.Table:
         return settled(table, said).pairs(names(said, 2)).ask(key[0].as_py())
@@ -319,7 +324,7 @@ def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, texts: bool = False)
     back = lambda replies: replies.repartition(n, "block")
     said = back(B.answer(blocks.applyInArrow(ask_runs, B.REQUEST), 1, [_U, _U, np.uint32], _contexts))
     asked = blocks.cogroup(said.groupBy("block")).applyInArrow(ask_triples, B.REQUEST)
-    said = said.unionByName(back(B.answer(asked, 2, triple, _names(parts), numbered=True)))
+    said = said.unionByName(back(B.answer(asked, 2, triple, _names(parts), numbered=True, text=True)))
     asked = blocks.cogroup(said.groupBy("block")).applyInArrow(ask_names, B.REQUEST)
     said = said.unionByName(back(B.answer(asked, 3, triple, _names(parts), numbered=True)))
     asked = blocks.cogroup(said.groupBy("block")).applyInArrow(ask_entries, B.REQUEST)

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from fieldnote.llm import ann, lm, mixing, near, packing, phrases, quality, queries, secret_scan, simhash, suffix, url_rules
+from fieldnote.llm import ann, blocks, lm, mixing, near, packing, phrases, quality, queries, scan, secret_scan, simhash, suffix, url_rules
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, block int, fp string, size string, _n int, ledger string, place int"
 VOCABULARY = "the of and der die und la le que alpha beta gamma delta rain river stone cloud window market".split()
@@ -506,3 +506,46 @@ def test_later_passes_go_by_notes(docs):
     assert sum(len(c.residual) for c in block.chunks) > 100 and any(len(c.whole[0]) for c in block.chunks)
     for a, b in zip(block.chunks, again.chunks):
         assert np.array_equal(a.residual, b.residual) and np.array_equal(a.whole, b.whole)
+
+
+def test_orders_of_numbers_with_like_leading_bits():
+    """Leading bits are sorted with places below them; the rest must not be lost, and equal numbers stay as they come."""
+    rng = np.random.default_rng(8)
+    for high, low, n in ((64, 1, 1000), (1, 9, 1000), (3, 40, 5000), (64, 64, 3000), (5, 0, 1), (5, 3, 0)):
+        x = (rng.integers(0, max(high, 1), n).astype(np.uint64) << np.uint64(58)) | (rng.integers(0, 1 << min(low, 57), n).astype(np.uint64))
+        assert np.array_equal(scan.rising(x), np.argsort(x, kind="stable"))
+        columns = [x, rng.integers(0, 4, n).astype(np.uint64), rng.integers(0, 4, n).astype(np.uint32)]
+        assert np.array_equal(scan.lexical(columns), np.lexsort(columns[::-1]))
+
+
+@pytest.mark.parametrize("one_hash", [False, True])
+def test_keys_of_one_hash_stay_apart(monkeypatch, one_hash):
+    """The columns decide what is one key, also where all keys share a hash."""
+    if one_hash:
+        monkeypatch.setattr(scan, "mix64", lambda x: x * np.uint64(0))
+    rng = np.random.default_rng(9)
+    columns = [rng.integers(0, 9, 2000).astype(np.uint64) << np.uint64(s) for s in (56, 3, 30)]
+    keys = blocks.Keys(columns, 7, hashed=False)
+    assert len(keys) == len(np.unique(np.stack(columns), axis=1).T) and keys.edges[-1] == len(keys) and keys.counts.sum() == 2000
+    first = {}
+    for i, key in enumerate(zip(*(c.tolist() for c in columns))):
+        first.setdefault(key, i)
+    assert sorted(first.values()) == sorted(keys.first.tolist())
+    for c, d in zip(columns, keys.columns):
+        assert np.array_equal(d[keys.inverse], c)
+
+
+def test_requests_stay_small(docs):
+    """Bytes sent for a run, and for a triple of 24 bytes of text."""
+    letters = random.Random(6)
+    words = ["".join(letters.choices("abcdefghijklmnop", k=letters.randrange(2, 9))) for _ in range(2000)]
+    table = pa.table({"doc_id": np.arange(300), "text": [" ".join(letters.choices(words, k=300)) for _ in range(300)]})
+    block = suffix._Block(table, 4)
+    sent = lambda request: sum(len(x) for row in request["data"].to_pylist() for x in row)
+    assert sent(block.runs.ask(0)) < 17 * len(block.runs)
+    block.settle(np.full(len(block.runs), 2, np.uint8))
+    triples = block.triples()
+    request = triples.ask(0, text=True)
+    assert sent(request) < 12 * len(triples)
+    got = [np.concatenate(x) for x in zip(*(blocks.expand_text(row[0], 3) for row in request["data"].to_pylist()))]
+    assert all(np.array_equal(a, b) for a, b in zip(got, triples.columns))
