@@ -31,7 +31,7 @@ from fieldnote.llm.workers import give_back, ready
 # Input bytes (as stored) of a block; a worker needs some 30 times as much memory.
 BLOCK_BYTES = 6 << 20
 # Numbers from which on byte planes are compressed apart.
-PLANE = 1024
+PLANE = 256
 REQUEST = "part int, block long, data array<binary>"
 REPLY = "block long, part int, stage int, data array<binary>"
 _REQUEST = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("data", pa.list_(pa.binary()))])
@@ -190,11 +190,12 @@ class Keys:
 
 
 def answer(
-    requests: DataFrame, stage: int, kinds: list, fn: Callable[..., list | tuple], numbered: bool = False, text: bool = False
+    requests: DataFrame, stage: int, kinds: list, fn: Callable[..., list | tuple], numbered: bool = False, text: bool = False, near: bool = False
 ) -> DataFrame:
     """Replies to ``requests``.  ``fn`` gets all keys (and extras) of a part and for each the number
     of its block, and returns arrays of answers in the same order, or these and
-    arrays that every block gets whole.  ``numbered``: it gets the number of the part too.  ``text``: as asked with it."""
+    arrays that every block gets whole.  ``numbered``: it gets the number of the part too.  ``text``: as asked with it.
+    ``near``: answers of neighbours are near each other and go as differences."""
 
     def run(table: pa.Table) -> pa.Table:
         give_back()
@@ -212,7 +213,7 @@ def answer(
         if isinstance(out, tuple):
             out, same = out
         cuts = np.cumsum([0, *sizes])
-        data = [[squeeze(x[a:b]) for x in out] + [squeeze(x) for x in same] for a, b in zip(cuts, cuts[1:])]
+        data = [[squeeze(x[a:b], near) for x in out] + [squeeze(x) for x in same] for a, b in zip(cuts, cuts[1:])]
         n = len(rows)
         return pa.table(
             [pa.array(blocks, pa.int64()), pa.array([part] * n, pa.int32()), pa.array([stage] * n, pa.int32()), pa.array(data, pa.list_(pa.binary()))],
@@ -222,10 +223,10 @@ def answer(
     return requests.groupBy("part").applyInArrow(run, REPLY)
 
 
-def replies(table: pa.Table, stage: int, kinds: list) -> list[np.ndarray]:
-    """A block's answers of one stage, in the order of its keys."""
+def replies(table: pa.Table, stage: int, kinds: list, near: bool = False) -> list[np.ndarray]:
+    """A block's answers of one stage, in the order of its keys; ``near``: as answered with it."""
     rows = table.filter(pa.compute.equal(table["stage"], stage)).sort_by("part")["data"].to_pylist()
-    return [np.concatenate([expand(r[i], k) for r in rows]) if rows else np.zeros(0, k) for i, k in enumerate(kinds)]
+    return [np.concatenate([expand(r[i], k, near) for r in rows]) if rows else np.zeros(0, k) for i, k in enumerate(kinds)]
 
 
 def note_of(table: pa.Table, stage: int) -> list[bytes]:

@@ -278,7 +278,7 @@ def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, texts: bool = False)
         return _Block(B.unbundled(table), parts, B.note_of(said, 2))
 
     def names(said: pa.Table, stage: int) -> np.ndarray:
-        return B.replies(said, stage, [_U])[0]
+        return B.replies(said, stage, [_U], near=True)[0]
 
     def ask_runs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return _Block(B.unbundled(table), parts).runs.ask(key[0].as_py())
@@ -324,9 +324,9 @@ def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, texts: bool = False)
     back = lambda replies: replies.repartition(n, "block")
     said = back(B.answer(blocks.applyInArrow(ask_runs, B.REQUEST), 1, [_U, _U, np.uint32], _contexts))
     asked = blocks.cogroup(said.groupBy("block")).applyInArrow(ask_triples, B.REQUEST)
-    said = said.unionByName(back(B.answer(asked, 2, triple, _names(parts), numbered=True, text=True)))
+    said = said.unionByName(back(B.answer(asked, 2, triple, _names(parts), numbered=True, text=True, near=True)))
     asked = blocks.cogroup(said.groupBy("block")).applyInArrow(ask_names, B.REQUEST)
-    said = said.unionByName(back(B.answer(asked, 3, triple, _names(parts), numbered=True)))
+    said = said.unionByName(back(B.answer(asked, 3, triple, _names(parts), numbered=True, near=True)))
     asked = blocks.cogroup(said.groupBy("block")).applyInArrow(ask_entries, B.REQUEST)
     said = said.unionByName(back(B.answer(asked, 4, triple, B.seen_before)))
     return blocks.cogroup(said.groupBy("block")).applyInArrow(
