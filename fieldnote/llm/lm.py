@@ -280,12 +280,14 @@ def score(docs: DataFrame, alpha: float = ALPHA, discount: float = DISCOUNT, blo
             "base_score": pa.array(of_text(arc[0])), "score": pa.array(traverse(b.begin, b.sizes, has, arc, fail, first)),
         })
 
+    # Each answer is dealt to the blocks once; the passes after it reuse that exchange.
+    back = lambda replies: replies.repartition(n, "block")
     asked = [held.groupBy("block").applyInArrow(ask_first, B.REQUEST)]
-    said = B.answer(asked[0], 1, [np.uint64, np.uint32], totals, numbered=True)
+    said = back(B.answer(asked[0], 1, [np.uint64, np.uint32], totals, numbered=True))
     for passes in range(1, order):
         asked.append(held.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(ask_next(passes), B.REQUEST))
         earlier = asked[max(passes - 2, 0)]
-        said = said.unionByName(earlier.groupBy("part").cogroup(asked[-1].groupBy("part")).applyInArrow(answer_next(passes), B.REPLY))
+        said = said.unionByName(back(earlier.groupBy("part").cogroup(asked[-1].groupBy("part")).applyInArrow(answer_next(passes), B.REPLY)))
     return held.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(
         run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

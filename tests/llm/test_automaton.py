@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -128,3 +129,18 @@ def test_bundled_rows_come_back(spark):
     for r in held.collect():
         got += [(*x.values(), r["block"]) for x in B.unbundled(pa.table({"rows": [bytes(r["rows"])]})).to_pylist()]
     assert sorted(got, key=repr) == sorted(rows, key=repr)
+
+
+def test_every_answer_is_made_once(spark):
+    """Later passes read the exchange of an earlier answer instead of answering again."""
+    docs = spark.createDataFrame([(i, f"a b {i % 7} c") for i in range(50)], "doc_id long, text string")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = lm.score(docs, block_bytes=200)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    steps = [re.search(r"FlatMap(CoGroups|Groups)InArrow", line) for line in plan.splitlines()]
+    steps = [m.group(1) for m in steps if m]
+    # Asked and answered at first; asked and answered for each further order, and the run.
+    assert (steps.count("Groups"), steps.count("CoGroups")) == (2, 5)
