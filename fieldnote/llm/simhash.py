@@ -130,10 +130,12 @@ def _home(differ: Column, masks: list[int]) -> Column:
 
 
 def _index(nodes: DataFrame, column: str, masks: list[int]) -> DataFrame:
-    """``nodes`` once for each bit, with the rest of the bit's segment of ``column``."""
+    """``nodes`` once for each bit, with the rest of the bit's segment of ``column``.
+
+    Spark takes these 64 rows for as large as the one they come from, and would broadcast them; so joins with them are sorted."""
     of_bit = [next(m for m in masks if m >> b & 1) for b in range(64)]
     entries = F.array(*[F.struct(F.lit(b).cast("byte").alias("bit"), F.col(column).bitwiseAND(F.lit(_signed(of_bit[b] & ~(1 << b)))).alias("rest")) for b in range(64)])
-    return nodes.select("*", F.explode(entries).alias("e")).select("*", "e.bit", "e.rest").drop("e")
+    return nodes.select("*", F.explode(entries).alias("e")).select("*", "e.bit", "e.rest").drop("e").hint("merge")
 
 
 HUBS = 4

@@ -235,6 +235,15 @@ def test_links_are_whole(spark):
     assert got == want and found == len(want)
 
 
+def test_wildcard_entries_are_not_broadcast(spark):
+    """Spark takes the 64 entries of a fingerprint for one row; what it broadcast as 10 MB filled the driver."""
+    prints = [(int(p),) for p in scan.mix64(np.arange(2000, dtype=np.uint64)).view(np.int64)]
+    found = simhash.links(spark.createDataFrame(prints, "fp long").distinct())
+    assert found.collect() == []
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_mixing(docs):
     got = mixing.mixture(docs).collect()
     size = Counter()
